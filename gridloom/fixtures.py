@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_COUNTS: dict = {}
+
+
+def raster_height(spark: SparkSession, sf: str) -> int:
+    """Row count of the raster table; read once per session, the inputs never change."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _COUNTS:
+        _COUNTS[key] = table(spark, sf, "embeddings").count()
+    return _COUNTS[key]
+
+
 def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -23,24 +34,21 @@ def lit_array(values) -> Column:
 # ------------------------------------------------------------------ rasters and layers
 def layers(spark: SparkSession, sf: str) -> DataFrame:
     """Three nested layers centred on the origin; their height is the row count of the raster."""
-    specs = [(0, "context-0", "context", 0.25, 1.0), (1, "mission-1", "mission", 0.125, 0.5),
-             (2, "operational-2", "operational", 0.03125, None)]
-    n = table(spark, sf, "embeddings").count()
-    rows = [
-        (o, i, r, res, WIDTH, n, -31.5 * res, -((n - 1) * res) / 2, 31.5 * res, ((n - 1) * res) / 2, eff)
-        for o, i, r, res, eff in specs
-    ]
-    return spark.createDataFrame(
-        rows,
-        "ordinal int, layer_id string, role string, res double, width int, height long, min_x double, "
-        "min_z double, max_x double, max_z double, source_eff_res double",
-    )
+    n = raster_height(spark, sf)
+    specs = [(0, "context-0", "context", 0.25, "1D"), (1, "mission-1", "mission", 0.125, "0.5D"),
+             (2, "operational-2", "operational", 0.03125, "CAST(NULL AS DOUBLE)")]
+    rows = ", ".join(
+        f"({o}, '{i}', '{r}', {res}D, {WIDTH}, {n}L, {-31.5 * res}D, {-((n - 1) * res) / 2}D, {31.5 * res}D, "
+        f"{((n - 1) * res) / 2}D, {eff})" for o, i, r, res, eff in specs)
+    # A values list is a local relation: its size is known, so joins with it broadcast by themselves.
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(ordinal, layer_id, role, res, width, height, min_x, min_z, "
+                     "max_x, max_z, source_eff_res)")
 
 
 def raster_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One record per raster row: heights as float32, with class and source masks."""
     emb = table(spark, sf, "embeddings")
-    n = emb.count()
+    n = raster_height(spark, sf)
     e = F.col("embedding")
     variants = F.array(
         F.struct(F.lit("context-0").alias("layer_id"), F.col("vec_id").alias("row"), e.alias("heights")),
@@ -81,13 +89,13 @@ def _placed(key: str, df: DataFrame, n: int) -> DataFrame:
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "embeddings").count()
+    n = raster_height(spark, sf)
     return _placed("c_custkey", table(spark, sf, "customer"), n)
 
 
 def crater_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """Crater centres and sizes; the geometry is derived by ``functions.crater``."""
-    n = table(spark, sf, "embeddings").count()
+    n = raster_height(spark, sf)
     part = table(spark, sf, "part")
     k = F.col("id")
     return _placed("p_partkey", part, n).join(
@@ -115,7 +123,7 @@ def rock_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ edit log
 def operations(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "embeddings").count()
+    n = raster_height(spark, sf)
     ev = table(spark, sf, "events").select(
         F.col("event_id").alias("seq"), "user_id", "value", "ts",
         F.get_json_object("props", "$.k").cast("long").alias("k"),

@@ -18,6 +18,11 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def dist(dx: Column, dz: Column) -> Column:
+    """Plane distance; the magnitudes here need no overflow-safe (and much slower) hypot."""
+    return F.sqrt(dx * dx + dz * dz)
+
+
 def row_bands(rows: DataFrame, before: int, after: int, value: str = "heights", block: int = ROW_BLOCK) -> DataFrame:
     """Add ``band``: the arrays of rows ``row-before .. row+after`` (null where there is no such row).
 

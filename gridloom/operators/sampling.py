@@ -109,9 +109,9 @@ def nearest_code(points: DataFrame, rows: DataFrame, layers: DataFrame, mask: st
         *points.columns, F.get(mask, c("_col").cast("int")).cast("int").alias("code"))
 
 
-def read_pixels(targets: DataFrame, rows: DataFrame, width: int, height: Column | int, layer_id: str) -> DataFrame:
+def read_pixels(targets: DataFrame, rows: DataFrame, width: int, height: int, layer_id: str) -> DataFrame:
     """Bilinear read at fractional ``pcol, prow`` of one raster; null outside or next to no-data."""
-    grid = targets.sparkSession.createDataFrame([(layer_id, 1.0, width, height, 0.0, 0.0)],
-                                                "layer_id string, res double, width int, height long, min_x double, min_z double")
+    grid = targets.sparkSession.sql(
+        f"SELECT '{layer_id}' AS layer_id, 1D AS res, {width} AS width, {height}L AS height, 0D AS min_x, 0D AS min_z")
     p = targets.withColumn("layer_id", F.lit(layer_id)).withColumn("x", c("pcol")).withColumn("z", c("prow"))
     return bilinear(p, rows.where(c("layer_id") == layer_id), grid, "h").drop("layer_id", "x", "z")

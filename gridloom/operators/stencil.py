@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.codes import CODE
-from gridloom.operators.grid import row_bands
+from gridloom.operators.grid import dist, row_bands
 from gridloom.session import cut_lineage
 
 c = F.col
 
 
 def _slope_deg(dx: Column, dz: Column) -> Column:
-    return F.degrees(F.atan(F.hypot(dx, dz)))
+    return F.degrees(F.atan(dist(dx, dz)))
 
 
 def interior() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["raster"]
+MODULES = ["raster", "edits"]
 
 
 def all_queries():

@@ -255,7 +255,7 @@ _REQ = """SELECT c_custkey AS request_id, (['context-0','mission-1','operational
 
 
 def _requests(spark, sf):
-    n = fx.table(spark, sf, "embeddings").count()
+    n = fx.raster_height(spark, sf)
     k = c("c_custkey")
     return fx.table(spark, sf, "customer").select(
         k.alias("request_id"),
@@ -433,7 +433,7 @@ _SITES = "SELECT s_suppkey AS site, (s_suppkey%40-20)*30e0+7 AS ox, ((s_suppkey*
     layers="SELECT 'context-0' AS layer_id, 1e0 AS res, 64 AS width, n AS height, 0e0 AS min_x, 0e0 AS min_z FROM n",
     reads=bilinear_sql("target", "holes")))
 def resample_grid(spark, sf):
-    n = fx.table(spark, sf, "embeddings").count()
+    n = fx.raster_height(spark, sf)
     k = c("s_suppkey")
     sites = fx.table(spark, sf, "supplier").select(
         k.alias("site"), ((k % 40 - 20) * 30.0 + 7).alias("ox"), (((k * 7) % 100 - 50) * 40.0 + 3).alias("oy"))
