@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from gridloom.codes import (CODE, FEATURE_CLASS, FOOTPRINT_CLASS, OPERATION_KIND
 from gridloom.functions import brush, noise
 from gridloom.operators import fold, grid, sampling
 from gridloom.operators.grid import half_up
+from gridloom.operators.rules import violations
 
 c = F.col
 TAN_REPOSE = math.tan(math.radians(REPOSE_ANGLE_DEG))
@@ -31,12 +33,12 @@ def _finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
 
 
-def op_violations(ops: DataFrame, layer_ids: list[str]) -> DataFrame:
-    """Add ``violations``: the names of the rules a record breaks (empty when it is valid)."""
+def op_rules(layer_ids: list[str]) -> list[tuple[str, Column]]:
+    """Named conditions that make a record invalid."""
     k = c("kind")
     absent_or_finite = lambda n: c(n).isNull() | _finite(c(n))
     need = lambda kinds, n: k.isin(*kinds) & ~_finite(c(n))
-    rules = [
+    return [
         ("kind", ~k.isin(*OPERATION_KINDS)),
         ("layer", ~c("layer_id").isin(*layer_ids)),
         ("centre", ~(_finite(c("cx")) & _finite(c("cz")))),
@@ -51,13 +53,19 @@ def op_violations(ops: DataFrame, layer_ids: list[str]) -> DataFrame:
         ("polygon", k.isin("polygonal_cut", "polygonal_fill") & (F.coalesce(F.size("polygon"), F.lit(0)) < 3)),
         ("polygon_vertex", F.coalesce(F.exists("polygon", lambda v: ~(_finite(v["x"]) & _finite(v["z"]))), F.lit(False))),
     ]
-    return ops.withColumn("violations", F.array_compact(F.array(
-        *[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules])))
+
+
+def op_violations(ops: DataFrame, layer_ids: list[str]) -> DataFrame:
+    """Add ``violations``: the names of the rules a record breaks (empty when it is valid)."""
+    return violations(ops, op_rules(layer_ids))
 
 
 def valid_ops(ops: DataFrame, layers: DataFrame) -> DataFrame:
-    ids = [r["layer_id"] for r in layers.select("layer_id").distinct().collect()]
-    return op_violations(ops, ids).where(F.size("violations") == 0).drop("violations")
+    """Records that break no rule: a plain conjunction, so it stays compiled and no list is built."""
+    ok = F.lit(True)
+    for _, bad in op_rules([r["layer_id"] for r in layers.select("layer_id").distinct().collect()]):
+        ok = ok & ~F.coalesce(bad, F.lit(True))
+    return ops.where(ok)
 
 
 def resolve_layer(ops: DataFrame, layers: DataFrame, column: str = "requested_layer") -> DataFrame:
@@ -107,82 +115,86 @@ def changes(ops: DataFrame, layers: DataFrame) -> DataFrame:
     for name in ("pivot", "near"):
         if name not in o.columns:
             o = o.withColumn(name, F.lit(None).cast("double"))
-    s = fold.explode_boxes(o.where(c("kind") != "smooth"), layers,
-                           {"min_x": "bx0", "max_x": "bx1", "min_z": "bz0", "max_z": "bz1"})
-    k, r, p, depth = c("kind"), c("radius"), c("falloff"), F.abs(c("strength"))
-    dx, dz = c("x") - c("cx"), c("z") - c("cz")
-    s = s.withColumn("d", grid.dist(dx, dz)).withColumn("along", dx * c("ax") + dz * c("az"))
-    s = s.withColumn("fw", brush.falloff(c("d"), r, p))
-    s = s.withColumn("across", grid.dist(dx - c("along") * c("ax"), dz - c("along") * c("az")))
-
-    # Segment tools: distance to the clipped axis.
-    half = c("length") / 2
-    clipped = F.greatest(-half, F.least(half, c("along")))
-    seg_w = brush.falloff(grid.dist(dx - clipped * c("ax"), dz - clipped * c("az")), r, p)
-
-    u = c("d") / r
-    dish = F.when(u < 1, -depth * (F.lit(1.0) - u * u)).otherwise(0.0)
-    rim = (u - 1) / 0.12
-    stamp = F.when(u < 1.3, dish + depth * 0.15 * F.exp(-rim * rim)).otherwise(0.0)
-
-    # Ramp: lateral plateau, faded in at the near end and out past the far end.
-    band, length = c("edge"), c("length")
-    along_w = F.when(c("along") < band, brush.falloff(band - c("along"), band, p)).otherwise(
-        brush.plateau(c("along"), length, band, p))
-    on_ramp = (c("along") > 0) & (c("along") < length + band)
-    ramp_w = F.when(on_ramp, brush.plateau(c("across"), r, band, p) * along_w).otherwise(0.0)
-    ramp_t = c("near") + F.least(F.lit(1.0), c("along") / length) * (c("target") - c("near"))
-    ramp_foot = on_ramp & (brush.plateau(c("across"), r, band, p) > 0) & (c("along") <= length) & (c("across") <= r + band)
-
-    outside = F.when(length > 0, grid.dist(F.greatest(F.lit(0.0), F.abs(c("along")) - length / 2),
-                                         F.greatest(F.lit(0.0), c("across") - r))
-                     ).otherwise(F.greatest(F.lit(0.0), c("d") - r))
-    pad_w = brush.plateau(outside, F.lit(0.0), band, p)
-
+    codes = F.array(*[F.lit(k) for k in OPERATION_KINDS])
+    o = o.where(c("kind") != "smooth").withColumn("code", F.array_position(codes, c("kind"))).withColumn(
+        "seed", noise.seed_of(c("noise_seed")))
+    r = fold.box_rows(o, layers, {"min_x": "bx0", "max_x": "bx1", "min_z": "bz0", "max_z": "bz1"})
+    numbers = ["code", "cx", "cz", "radius", "strength", "falloff", "target", "length", "ax", "az", "edge", "pile",
+               "pivot", "near", "seed"]
+    carry = ["seq", "kind", "layer_id", "row", "z", "res", "mass_conserving", "semantic_class"]
+    r = r.withColumn("polygon", F.when(c("kind").startswith("polygonal"), F.flatten(
+        F.transform("polygon", lambda v: F.array(v["x"], v["z"])))))
+    return fold.map_boxes(r.drop("segments"), numbers, carry, _edit_shape, "mode tinyint, t double, w double, foot boolean")
+
+
+def _edit_shape(get, x, z):
+    """Mode, target, weight and footprint flag of edits at samples; most tools are one falloff of a distance."""
+    code = get("code").astype(int) - 1
+    is_ = lambda *names: np.isin(code, [OPERATION_KINDS.index(n) for n in names])
+    r, p, depth, length, band = get("radius"), np.maximum(0.01, get("falloff")), np.abs(get("strength")), get("length"), get("edge")
+    dx, dz, ax, az = x - get("cx"), z - get("cz"), get("ax"), get("az")
+    d, along, lateral = np.sqrt(dx * dx + dz * dz), dx * ax + dz * az, dz * ax - dx * az
+    across, past = np.abs(lateral), np.maximum(0.0, np.abs(along) - length / 2)
+    fall = lambda gap, reach: np.where(gap >= reach, 0.0, np.maximum(0.0, 1 - gap / reach) ** p)
+    pad, ramp, poly, paint = is_("pad"), is_("ramp"), is_("polygonal_cut", "polygonal_fill"), is_("semantic_paint")
+    pile, track, seg = is_("spoil_pile"), is_("wheel_track"), is_("trench", "berm")
+
+    gap = np.where(seg, np.sqrt(past**2 + lateral**2), d)
+    box_gap = np.where(length > 0, np.sqrt(past**2 + np.maximum(0.0, across - r) ** 2), np.maximum(0.0, d - r))
+    gap = np.where(pad, box_gap, np.where(ramp, np.maximum(0.0, across - r), gap))
+    within = np.zeros(len(x), dtype=bool)
+    if poly.any():
+        within[poly], edge_gap = _polygon(*get("polygon"), poly, x[poly], z[poly])
+        gap[poly] = np.where(within[poly], 0.0, edge_gap)
+    fw = fall(gap, np.where(pad | ramp, band, r))
+
+    # Ramp: faded in over the band at the near end and out past the far end.
+    on_ramp = ramp & (along > 0) & (along < length + band)
+    end_gap = np.where(along < band, band - along, np.maximum(0.0, along - length))
+    w = np.where(ramp, np.where(on_ramp, fw * fall(end_gap, band), 0.0), fw)
+    u = d / r
+    stamp = np.where(u < 1, -depth * (1 - u * u), 0.0) + depth * 0.15 * np.exp(-(((u - 1) / 0.12) ** 2))
+    w = np.where(is_("crater_stamp"), np.where(u < 1.3, stamp, 0.0), w)
+    w = np.where(pile, np.where(d < r, get("pile") * (1 - u), 0.0), w)
+    w = np.where(is_("raise", "berm"), depth * fw, np.where(is_("lower", "trench"), -depth * fw, np.where(paint, 0.0, w)))
     # Wheel track: two ruts with a raised berm on both sides of each.
-    lateral = dz * c("ax") - dx * c("az")
     rut = r * 0.15
-    berm_h = (depth * 2 * rut / (F.greatest(F.lit(0.01), p) + 1)) * 0.4 / (rut * 0.5)
-
-    def one_rut(sign: int) -> tuple[Column, Column]:
-        off = F.abs(lateral - r * (0.5 * sign))
-        shape = (F.when(off < rut, -depth * brush.falloff(off, rut, p))
-                 .when(off < rut * 2, berm_h * (F.lit(1.0) - F.abs((off - rut) / rut * 2 - 1))).otherwise(0.0))
-        return shape, off < rut * 2
-
-    (left, in_left), (right, in_right) = one_rut(-1), one_rut(1)
-    on_track = F.abs(c("along")) <= half
-    track = F.when(on_track, left + right).otherwise(0.0)
-
-    is_poly = k.isin("polygonal_cut", "polygonal_fill")
-    within = F.when(is_poly, brush.inside_polygon(c("x"), c("z"), c("segments")))
-    s = s.withColumn("within", within)
-    poly_w = F.when(c("within"), 1.0).otherwise(
-        brush.falloff(brush.boundary_distance(c("x"), c("z"), c("segments")), r, p))
-
-    w = (F.when(k == "raise", depth * c("fw")).when(k == "lower", -depth * c("fw"))
-         .when(k.isin("flatten", "slope"), c("fw")).when(k == "noise", c("fw"))
-         .when(k == "semantic_paint", 0.0).when(k == "crater_stamp", stamp)
-         .when(k == "trench", -depth * seg_w).when(k == "berm", depth * seg_w)
-         .when(k == "ramp", ramp_w).when(k == "pad", pad_w)
-         .when(k == "spoil_pile", F.when((c("d") < r) & (c("pile") > 0), c("pile") * (F.lit(1.0) - c("d") / r)).otherwise(0.0))
-         .when(k == "wheel_track", track).when(is_poly, poly_w))
-    t = (F.when(k.isin("flatten", "pad", "polygonal_cut", "polygonal_fill"), c("target"))
-         .when(k == "slope", c("pivot") - c("along") * (c("strength") / r)).when(k == "ramp", ramp_t))
-    mode = (F.when(k.isin("flatten", "slope", "ramp", "pad"), fold.BLEND).when(k == "polygonal_cut", fold.CUT)
-            .when(k == "polygonal_fill", fold.FILL).otherwise(fold.ADD))
-    foot = (F.when(k == "semantic_paint", c("fw") > 0).when(k == "ramp", ramp_foot).when(k == "pad", pad_w > 0)
-            .when(k == "spoil_pile", (c("d") < r) & (c("pile") > 0))
-            .when(k == "wheel_track", on_track & (in_left | in_right)).when(is_poly, c("within")).otherwise(False))
-    s = s.select("seq", "kind", "layer_id", "row", "col", "x", "z", "res", "mass_conserving", "radius", "strength",
-                 "noise_seed", "semantic_class", "ring_x", "ring_z", "ring_inner",
-                 mode.alias("mode"), t.alias("t"), w.alias("w"), F.coalesce(foot, F.lit(False)).alias("foot"))
-    s = s.where((c("w") != 0) | c("foot"))
-    # Noise goes through the Arrow batch function, on noise edits only.
-    plain = s.where(c("kind") != "noise")
-    noisy = s.where(c("kind") == "noise").withColumn(
-        "w", c("w") * noise.fbm(c("x"), c("z"), noise.seed_of(c("noise_seed")), F.lit(2.0) / c("radius"), c("strength")))
-    return plain.unionByName(noisy)
+    berm_h = (depth * 2 * rut / (p + 1)) * 0.4 / (rut * 0.5)
+    offs = [np.abs(lateral - r * 0.5 * side) for side in (-1, 1)]
+    ruts = sum(np.where(o < rut, -depth * fall(o, rut), np.where(o < rut * 2, berm_h * (1 - np.abs((o - rut) / rut * 2 - 1)), 0.0))
+               for o in offs)
+    w = np.where(track, np.where(past > 0, 0.0, ruts), w)
+    noisy = is_("noise")
+    if noisy.any():
+        w[noisy] *= noise.fbm_np(x[noisy], z[noisy], get("seed")[noisy].astype(np.int64), 2 / r[noisy], get("strength")[noisy])
+    near, target = get("near"), get("target")
+    t = np.where(is_("slope"), get("pivot") - along * (get("strength") / r), target)
+    t = np.where(ramp, near + np.minimum(1.0, along / length) * (target - near), t)
+    mode = np.where(is_("flatten", "slope", "ramp", "pad"), fold.BLEND, fold.ADD)
+    mode = np.where(is_("polygonal_cut"), fold.CUT, np.where(is_("polygonal_fill"), fold.FILL, mode))
+    foot = ((paint | pad) & (fw > 0)) | (on_ramp & (fw > 0) & (along <= length)) | (pile & (d < r) & (get("pile") > 0)) | (
+        track & (past <= 0) & (np.minimum(*offs) < rut * 2)) | within
+    return {"keep": (w != 0) | foot, "mode": mode.astype(np.int8), "t": np.where(mode == fold.ADD, np.nan, t), "w": w, "foot": foot}
+
+
+def _polygon(vertices, idx, chosen, x, z):
+    """Even-odd test and boundary distance against flat ``x, z, x, z ...`` vertex lists, edge by edge."""
+    offsets = vertices.offsets.to_numpy()
+    flat = vertices.values.to_numpy(zero_copy_only=False).reshape(-1, 2)
+    rec = idx[chosen]
+    start, count = (offsets[rec] - offsets[0]) // 2, (offsets[rec + 1] - offsets[rec]) // 2
+    inside, best = np.zeros(len(x), dtype=bool), np.full(len(x), np.inf)
+    for e in range(int(count.max(initial=0))):
+        on = e < count
+        a, b = flat[start + np.where(on, (e - 1) % np.maximum(count, 1), 0)], flat[start + np.where(on, e, 0)]
+        ex, ez = b[:, 0] - a[:, 0], b[:, 1] - a[:, 1]
+        spans = (b[:, 1] > z) != (a[:, 1] > z)
+        inside ^= on & spans & (x < (a[:, 0] - b[:, 0]) * (z - b[:, 1]) / (a[:, 1] - b[:, 1]) + b[:, 0])
+        sq = ex * ex + ez * ez
+        t = np.where(sq > 0, np.clip(((x - a[:, 0]) * ex + (z - a[:, 1]) * ez) / sq, 0.0, 1.0), 0.0)
+        gap = np.sqrt((x - a[:, 0] - t * ex) ** 2 + (z - a[:, 1] - t * ez) ** 2)
+        best = np.where(on, np.minimum(best, gap), best)
+    return inside, best
 
 
 def smooth_changes(ops: DataFrame, rows: DataFrame, layers: DataFrame) -> DataFrame:
@@ -197,8 +209,7 @@ def smooth_changes(ops: DataFrame, rows: DataFrame, layers: DataFrame) -> DataFr
     at = lambda b, d: F.get(F.get("band", F.lit(b)), (c("col") + d).cast("int")).cast("double")
     mean = (at(1, -1) + at(1, 1) + at(0, 0) + at(2, 0)) / 4
     dh = (mean - at(1, 0)) * c("_w") * F.least(F.lit(1.0), F.abs(c("strength")))
-    return s.select("seq", "kind", "layer_id", "row", "col", "x", "z", "res", "mass_conserving",
-                    "radius", "strength", "noise_seed", "semantic_class", "ring_x", "ring_z", "ring_inner",
+    return s.select("seq", "kind", "layer_id", "row", "col", "x", "z", "res", "mass_conserving", "semantic_class",
                     F.lit(fold.ADD).alias("mode"), F.lit(None).cast("double").alias("t"), dh.alias("w"),
                     F.lit(False).alias("foot")).where(c("w") != 0)
 

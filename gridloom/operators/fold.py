@@ -114,12 +114,12 @@ def task_count(spark) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def explode_boxes(features: DataFrame, layers: DataFrame, box: dict[str, str], key: str = "seq") -> DataFrame:
-    """Spread features over the samples of their layer inside a world box, clipped to the grid.
+def box_rows(features: DataFrame, layers: DataFrame, box: dict[str, str], key: str = "seq") -> DataFrame:
+    """Spread features over the raster rows of their layer inside a world box, clipped to the grid.
 
-    ``box`` names the columns ``min_x max_x min_z max_z``.  Rows are spread first and columns second,
-    and the compact (feature, row) records are dealt out to all tasks in between: one very large
-    feature, or a small input file, is split over its rows before the per-sample work starts.
+    ``box`` names the columns ``min_x max_x min_z max_z``.  The compact (feature, row) records carry
+    the column range ``_c0.._c1`` and are dealt out to all tasks: one very large feature, or a small
+    input file, is split over its rows before the per-sample work starts.
     """
     g = layers.select("layer_id", "res", "width", "height", F.col("min_x").alias("_lx"), F.col("min_z").alias("_lz"))
     f = features.join(g, "layer_id")
@@ -129,6 +129,54 @@ def explode_boxes(features: DataFrame, layers: DataFrame, box: dict[str, str], k
     f = f.withColumn("_c0", lo(box["min_x"], "_lx")).withColumn("_c1", hi(box["max_x"], "_lx", "width"))
     f = f.where((F.col("_r1") >= F.col("_r0")) & (F.col("_c1") >= F.col("_c0")))
     f = f.withColumn("row", F.explode(F.sequence("_r0", "_r1"))).repartition(
-        task_count(features.sparkSession), key, "row").withColumn("col", F.explode(F.sequence("_c0", "_c1")))
-    return f.withColumn("x", F.col("_lx") + F.col("col") * F.col("res")).withColumn(
-        "z", F.col("_lz") + F.col("row") * F.col("res")).drop("_r0", "_r1", "_c0", "_c1", "_lx", "_lz")
+        task_count(features.sparkSession), key, "row")
+    return f.withColumn("z", F.col("_lz") + F.col("row") * F.col("res")).drop("_r0", "_r1", "_lz")
+
+
+def explode_boxes(features: DataFrame, layers: DataFrame, box: dict[str, str], key: str = "seq") -> DataFrame:
+    """One record per feature and sample of its box, with world coordinates ``x, z``."""
+    f = box_rows(features, layers, box, key).withColumn("col", F.explode(F.sequence("_c0", "_c1")))
+    return f.withColumn("x", F.col("_lx") + F.col("col") * F.col("res")).drop("_c0", "_c1", "_lx")
+
+
+def map_boxes(records: DataFrame, numbers: list[str], carry: list[str], shape, out: str) -> DataFrame:
+    """Evaluate ``shape`` at every sample of the column range of (feature, row) records, in Arrow batches.
+
+    ``shape(get, x, z)`` receives sample arrays and returns a dict of arrays plus the mask ``keep``.
+    ``numbers`` are read as float arrays; ``carry`` columns are copied to the samples that are kept.
+    ``out`` declares the columns made by ``shape``.  Work is cut into pieces of about a million samples.
+    """
+    spark_types = dict(records.dtypes)
+    carry = [n for n in carry if n != "col"]
+    made = [part.strip().split(" ")[0] for part in out.split(",")]
+    schema = ", ".join([f"{n} {spark_types[n]}" for n in carry] + ["col int", "x double", out])
+    numbers = list(dict.fromkeys(numbers))
+
+    def run(batches):
+        for batch in batches:
+            arrays = {n: batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in numbers}
+            lists = {n: batch.column(n) for n in batch.schema.names if pa.types.is_list(batch.schema.field(n).type)}
+            c0 = batch.column("_c0").to_numpy(zero_copy_only=False).astype(np.int64)
+            size = batch.column("_c1").to_numpy(zero_copy_only=False).astype(np.int64) - c0 + 1
+            lx, res, z = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_lx", "res", "z"))
+            piece = np.cumsum(size) >> 20
+            for p in np.unique(piece):
+                rec = np.flatnonzero(piece == p)
+                idx = np.repeat(rec, size[rec])
+                first = np.repeat(np.cumsum(size[rec]) - size[rec], size[rec])
+                col = np.arange(len(idx)) - first + c0[idx]
+                x = lx[idx] + col * res[idx]
+                with np.errstate(all="ignore"):
+                    made_arrays = shape(lambda n: arrays[n][idx] if n in arrays else (lists[n], idx), x, z[idx])
+                keep = np.flatnonzero(made_arrays["keep"])
+                if len(keep) == 0:
+                    continue
+                take = pa.array(idx[keep])
+                cols = [batch.column(n).take(take) for n in carry]
+                cols += [pa.array(col[keep].astype(np.int32)), pa.array(x[keep])]
+                cols += [made_arrays[n] if isinstance(made_arrays[n], pa.Array) else pa.array(made_arrays[n][keep]) for n in made]
+                yield pa.RecordBatch.from_arrays(cols, names=[*carry, "col", "x", *made])
+
+    wanted = list(dict.fromkeys([*carry, *numbers, "_c0", "_c1", "_lx", "res", "z",
+                                 *[n for n, t in spark_types.items() if t.startswith("array")]]))
+    return records.select(*wanted).mapInArrow(run, schema)

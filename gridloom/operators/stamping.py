@@ -25,15 +25,13 @@ def crater_changes(craters: DataFrame, layers: DataFrame) -> DataFrame:
     """Height change of every crater at every sample it reaches, per layer."""
     f = craters.select("*", c("id").alias("seq"), (c("cx") - c("reach")).alias("bx0"), (c("cx") + c("reach")).alias("bx1"),
                        (c("cz") - c("reach")).alias("bz0"), (c("cz") + c("reach")).alias("bz1"))
-    f = fold.explode_boxes(f, layers, {"min_x": "bx0", "max_x": "bx1", "min_z": "bz0", "max_z": "bz1"})
-    dx, dz = c("x") - c("cx"), c("z") - c("cz")
-    cos, sin = F.cos(-c("rotation")), F.sin(-c("rotation"))
-    u = grid.dist(dx * cos - dz * sin, (dx * sin + dz * cos) / F.greatest(F.lit(1e-6), c("ellipticity"))) / (c("diameter") / 2)
-    f = f.withColumn("u", u).where(c("u") <= c("reach") / (c("diameter") / 2))
-    names = ("diameter", "depth", "rim_height", "rim_width", "floor_ratio", "ejecta_amplitude")
-    f = f.withColumn("w", crater.profile(c("u"), {k: c(k) for k in names})).where(c("w") != 0)
-    return f.select("layer_id", "row", "col", "seq", F.lit(fold.ADD).alias("mode"), F.lit(0.0).alias("t"), "w",
-                    crater.zone(c("u"), c("floor_ratio")).alias("zone"), (c("res") * c("res")).alias("cell"))
+    r = fold.box_rows(f, layers, {"min_x": "bx0", "max_x": "bx1", "min_z": "bz0", "max_z": "bz1"})
+    r = r.withColumn("cell", c("res") * c("res"))
+    numbers = ["cx", "cz", "diameter", "depth", "rim_height", "rim_width", "floor_ratio", "ejecta_amplitude", "ellipticity",
+               "rotation", "reach"]
+    out = fold.map_boxes(r, numbers, ["layer_id", "row", "seq", "cell"], crater.shape, "w double, zone int")
+    return out.select("layer_id", "row", "col", "seq", F.lit(fold.ADD).alias("mode"), F.lit(0.0).alias("t"), "w",
+                      F.nullif("zone", F.lit(0)).alias("zone"), "cell")
 
 
 def crater_volumes(changes: DataFrame) -> DataFrame:
@@ -88,3 +86,52 @@ def reseat_rocks(rocks: DataFrame, edited_rows: DataFrame, layers: DataFrame, bo
 def annulus_area(radius: Column) -> Column:
     """Area of the rim annulus between 0.9 and 1.4 radii."""
     return radius * radius * (math.pi * (1.4**2 - 0.9**2))
+
+
+def ordinal_in_order(df: DataFrame, keys: list[str], order_col: str, name: str) -> DataFrame:
+    """Zero-based position of each row within its key.
+
+    Range partitioning sorts the data over all tasks; only the per-partition counts are combined, so
+    a single key never has to fit into one task.
+    """
+    from pyspark.sql.window import Window
+
+    spread = df.repartitionByRange(fold.task_count(df.sparkSession), *keys, order_col).withColumn("_p", F.spark_partition_id())
+    spread = fold_checkpoint(spread)
+    inside = Window.partitionBy("_p", *keys).orderBy(order_col)
+    local = spread.withColumn("_i", F.row_number().over(inside) - 1)
+    counts = spread.groupBy("_p", *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select("_p", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return local.join(offset, ["_p", *keys]).withColumn(name, c("_i") + c("_o")).drop("_p", "_i", "_o")
+
+
+def fold_checkpoint(df: DataFrame) -> DataFrame:
+    """The partition number is part of the data, so it is fixed before it is used twice."""
+    from gridloom.session import cut_lineage
+
+    return cut_lineage(df)
+
+
+def budget_sample(features: DataFrame, id_col: str, first: str, budget: int) -> DataFrame:
+    """At most ``budget`` features: all flagged ones if they fit, the rest evenly spaced in id order.
+
+    Position ``i`` of a stratum of ``n`` with budget ``m`` is kept when ``floor(j*n/m) = i`` for some j.
+    """
+    counts = {r[first]: r["n"] for r in features.groupBy(first).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    features = features.withColumn("total", F.lit(total))
+    if total <= budget:
+        return features.withColumn("truncated", F.lit(False))
+    flagged = min(counts.get(True, 0), budget)
+    share = {True: flagged, False: budget - flagged}
+    numbered = ordinal_in_order(features, [first], id_col, "_i")
+
+    def kept(flag: bool) -> Column:
+        n, m = counts.get(flag, 0), share[flag]
+        if m <= 0:
+            return F.lit(False)
+        j = F.ceil(c("_i") * m / n)
+        return (F.floor(j * n / m) == c("_i")) & (j < m)
+
+    return numbered.where(F.when(c(first), kept(True)).otherwise(kept(False))).drop("_i").withColumn("truncated", F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["raster", "edits"]
+MODULES = ["raster", "edits", "features"]
 
 
 def all_queries():

@@ -99,7 +99,7 @@ SHAPE = f"""SELECT seq, kind, layer_id, row, col, x, z, res, radius, strength, n
       WHEN 'wheel_track' THEN abs(along)<=length/2 AND (abs(lat+radius*0.5e0)<radius*0.3e0 OR abs(lat-radius*0.5e0)<radius*0.3e0)
       WHEN 'polygonal_cut' THEN within WHEN 'polygonal_fill' THEN within ELSE false END AS foot
     FROM around WHERE kind NOT IN ('slope','ramp','smooth')"""
-NOISED = f"""SELECT * REPLACE (w*strength*({_NOISE}) AS w) FROM (SELECT *, {', '.join(f"{lattice_sql(f'(x*2/radius*{2**i})', f'(z*2/radius*{2**i})', 'sd')} AS nz{i}" for i in range(4))}
+NOISED = f"""SELECT * REPLACE (w*strength*({_NOISE}) AS w) FROM (SELECT *, {', '.join(f"{lattice_sql(f'(x*(2/radius)*{2**i})', f'(z*(2/radius)*{2**i})', 'sd')} AS nz{i}" for i in range(4))}
     FROM (SELECT *, ('0x'||substr(md5(noise_seed),1,8))::BIGINT%2147483647 AS sd FROM shape WHERE kind='noise'))"""
 CHANGES = f"""SELECT seq, kind, layer_id, row, col, x, z, res, semantic_class, mode, t, w, foot FROM shape WHERE kind<>'noise' AND (w<>0 OR foot)
     UNION ALL SELECT seq, kind, layer_id, row, col, x, z, res, semantic_class, mode, t, w, foot FROM noised WHERE w<>0"""

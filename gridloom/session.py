@@ -24,6 +24,8 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Rows expand about sixtyfold after the shuffle, so small partitions are worth keeping apart.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # The JVM never compiles methods above 8000 bytecodes; larger stages run split up instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
