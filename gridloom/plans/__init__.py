@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["raster", "edits", "features"]
+MODULES = ["raster", "edits", "features", "integrity"]
 
 
 def all_queries():
