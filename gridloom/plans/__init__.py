@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["raster", "edits", "features", "integrity"]
+MODULES = ["raster", "edits", "features", "integrity", "sky"]
 
 
 def all_queries():
