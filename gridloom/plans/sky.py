@@ -11,6 +11,7 @@ from gridloom.functions import geo, solar
 from gridloom.operators import ephemeris, horizon, sampling
 from gridloom.plans.raster import bilinear_sql, r6
 from gridloom.registry import query
+from gridloom.session import cut_lineage
 
 c = F.col
 
@@ -180,7 +181,7 @@ def site_illumination(spark, sf):
     sky = sky.join(sites.select("observer_id", lat.alias("lat"), lon.alias("lon")), "observer_id")
     track = solar.sub_solar(fx.epochs(spark, sf)).select(F.datediff("epoch", F.lit("1995-01-01")).alias("ord"), "bx", "by", "bz", "sun_radius_deg")
     # Every site needs every epoch; the epoch keys spread the product over all tasks.
-    t = ephemeris.pair_all(sky, track)
+    t = ephemeris.pair_all(sky, cut_lineage(track))
     t = solar.at_site(t, c("lat"), c("lon"))
     t = t.withColumn("fraction", horizon.sunlit_fraction(c("profile"), c("azimuth_deg"), c("elevation_deg"), c("sun_radius_deg")))
     return horizon.illumination(t.select("observer_id", "ord", "fraction")).withColumn("mean_fraction", r6("mean_fraction"))
