@@ -14,8 +14,8 @@ from gridloom.session import scratch_path
 from gridloom.sources import labels, raster_io
 
 c = F.col
-_BANDS = """SELECT layer_id, b.tag AS tag, b.col0 AS col0, b.row0 AS row0, b.w AS w, b.h AS h FROM (SELECT *, unnest([{'tag':'full','ok':fx IS NULL,'col0':0,'row0':0,'w':width,'h':height},{'tag':'north','ok':r0>=1,'col0':0,'row0':0,'w':width,'h':r0+1},
-    {'tag':'south','ok':r1<=height-2,'col0':0,'row0':r1,'w':width,'h':height-r1},{'tag':'west','ok':c0>=1,'col0':0,'row0':r0,'w':c0+1,'h':r1-r0+1},{'tag':'east','ok':c1<=width-2,'col0':c1,'row0':r0,'w':width-c1,'h':r1-r0+1}]) AS b FROM
+_BANDS = """SELECT layer_id, b.tag AS tag, b.col0 AS col0, b.row0 AS row0, b.w AS w, b.h AS h FROM (SELECT *, unnest([{'tag':'full','ok':fx IS NULL,'col0':0,'row0':0,'w':width,'h':height},{'tag':'north','ok':fx IS NOT NULL AND r0>=1,'col0':0,'row0':0,'w':width,'h':r0+1},
+    {'tag':'south','ok':fx IS NOT NULL AND r1<=height-2,'col0':0,'row0':r1,'w':width,'h':height-r1},{'tag':'west','ok':fx IS NOT NULL AND c0>=1,'col0':0,'row0':r0,'w':c0+1,'h':r1-r0+1},{'tag':'east','ok':fx IS NOT NULL AND c1<=width-2,'col0':c1,'row0':r0,'w':width-c1,'h':r1-r0+1}]) AS b FROM
     (SELECT *, least(greatest(floor((fx-min_x)/res),0),width-1)::BIGINT AS c0, least(greatest(ceil((fx1-min_x)/res),0),width-1)::BIGINT AS c1, least(greatest(floor((fz-min_z)/res),0),height-1)::BIGINT AS r0, least(greatest(ceil((fz1-min_z)/res),0),height-1)::BIGINT AS r1 FROM
     (SELECT *, lead(min_x) OVER w AS fx, lead(max_x) OVER w AS fx1, lead(min_z) OVER w AS fz, lead(max_z) OVER w AS fz1 FROM layers WINDOW w AS (ORDER BY res DESC)))) WHERE b.ok"""
 _BLOCKS = """SELECT layer_id, tag, bc AS col0, br AS row0, least(65,col0+w-bc) AS w, least(65,row0+h-br) AS h FROM bands, LATERAL (SELECT unnest(range(col0, col0+w-1, 64)) AS bc), LATERAL (SELECT unnest(range(row0, row0+h-1, 64)) AS br)"""
