@@ -139,17 +139,20 @@ def explode_boxes(features: DataFrame, layers: DataFrame, box: dict[str, str], k
     return f.withColumn("x", F.col("_lx") + F.col("col") * F.col("res")).drop("_c0", "_c1", "_lx")
 
 
-def map_boxes(records: DataFrame, numbers: list[str], carry: list[str], shape, out: str) -> DataFrame:
+def map_boxes(records: DataFrame, numbers: list[str], carry: list[str], shape, out: str, total: bool = False) -> DataFrame:
     """Evaluate ``shape`` at every sample of the column range of (feature, row) records, in Arrow batches.
 
     ``shape(get, x, z)`` receives sample arrays and returns a dict of arrays plus the mask ``keep``.
     ``numbers`` are read as float arrays; ``carry`` columns are copied to the samples that are kept.
     ``out`` declares the columns made by ``shape``.  Work is cut into pieces of about a million samples.
+    With ``total`` the arrays are summed over each record inside the batch, so one row per record
+    leaves the task, with the number ``n`` of its samples.
     """
     spark_types = dict(records.dtypes)
     carry = [n for n in carry if n != "col"]
     made = [part.strip().split(" ")[0] for part in out.split(",")]
-    schema = ", ".join([f"{n} {spark_types[n]}" for n in carry] + ["col int", "x double", out])
+    per_sample = ["n long"] if total else ["col int", "x double"]
+    schema = ", ".join([f"{n} {spark_types[n]}" for n in carry] + [*per_sample, out])
     numbers = list(dict.fromkeys(numbers))
 
     def run(batches):
@@ -171,6 +174,14 @@ def map_boxes(records: DataFrame, numbers: list[str], carry: list[str], shape, o
                 keep = np.flatnonzero(made_arrays["keep"])
                 if len(keep) == 0:
                     continue
+                if total:
+                    at = np.searchsorted(rec, idx[keep])
+                    count = np.bincount(at, minlength=len(rec))
+                    has = np.flatnonzero(count)
+                    cols = [batch.column(n).take(pa.array(rec[has])) for n in carry] + [pa.array(count[has])]
+                    cols += [pa.array(np.bincount(at, weights=made_arrays[n][keep], minlength=len(rec))[has]) for n in made]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*carry, "n", *made])
+                    continue
                 take = pa.array(idx[keep])
                 cols = [batch.column(n).take(take) for n in carry]
                 cols += [pa.array(col[keep].astype(np.int32)), pa.array(x[keep])]

@@ -21,24 +21,30 @@ def crater_table(seeds: DataFrame) -> DataFrame:
         "reach", F.greatest(c("diameter") * 0.6, c("ejecta_extent")))
 
 
-def crater_changes(craters: DataFrame, layers: DataFrame) -> DataFrame:
-    """Height change of every crater at every sample it reaches, per layer."""
+CRATER_NUMBERS = ["cx", "cz", "diameter", "depth", "rim_height", "rim_width", "floor_ratio", "ejecta_amplitude", "ellipticity",
+                  "rotation", "reach"]
+
+
+def _crater_rows(craters: DataFrame, layers: DataFrame) -> DataFrame:
     f = craters.select("*", c("id").alias("seq"), (c("cx") - c("reach")).alias("bx0"), (c("cx") + c("reach")).alias("bx1"),
                        (c("cz") - c("reach")).alias("bz0"), (c("cz") + c("reach")).alias("bz1"))
     r = fold.box_rows(f, layers, {"min_x": "bx0", "max_x": "bx1", "min_z": "bz0", "max_z": "bz1"})
-    r = r.withColumn("cell", c("res") * c("res"))
-    numbers = ["cx", "cz", "diameter", "depth", "rim_height", "rim_width", "floor_ratio", "ejecta_amplitude", "ellipticity",
-               "rotation", "reach"]
-    out = fold.map_boxes(r, numbers, ["layer_id", "row", "seq", "cell"], crater.shape, "w double, zone int")
+    return r.withColumn("cell", c("res") * c("res"))
+
+
+def crater_changes(craters: DataFrame, layers: DataFrame) -> DataFrame:
+    """Height change of every crater at every sample it reaches, per layer."""
+    out = fold.map_boxes(_crater_rows(craters, layers), CRATER_NUMBERS, ["layer_id", "row", "seq", "cell"], crater.shape, "w double, zone int")
     return out.select("layer_id", "row", "col", "seq", F.lit(fold.ADD).alias("mode"), F.lit(0.0).alias("t"), "w",
                       F.nullif("zone", F.lit(0)).alias("zone"), "cell")
 
 
-def crater_volumes(changes: DataFrame) -> DataFrame:
-    dug = F.when(c("w") < 0, -c("w") * c("cell")).otherwise(0.0)
-    piled = F.when(c("w") >= 0, c("w") * c("cell")).otherwise(0.0)
-    return changes.groupBy("layer_id", "seq").agg(
-        F.sum(dug).alias("excavated"), F.sum(piled).alias("deposited"), F.count("*").alias("touched"))
+def crater_volumes(craters: DataFrame, layers: DataFrame) -> DataFrame:
+    """Excavated and deposited volume and touched samples per crater and layer, summed per raster row in the task."""
+    part = fold.map_boxes(_crater_rows(craters, layers), CRATER_NUMBERS, ["layer_id", "seq", "cell"], crater.volume_shape,
+                          "dug double, piled double", total=True)
+    return part.groupBy("layer_id", "seq").agg(
+        F.sum(c("dug") * c("cell")).alias("excavated"), F.sum(c("piled") * c("cell")).alias("deposited"), F.sum("n").alias("touched"))
 
 
 def last_zone(changes: DataFrame) -> DataFrame:

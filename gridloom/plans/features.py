@@ -53,11 +53,10 @@ def craters(spark, sf):
     return stamping.crater_table(fx.crater_seeds(spark, sf))
 
 
-def all_layer_changes(spark, sf):
+def craters_on_all_layers(spark, sf):
     layers = fx.layers(spark, sf)
-    seeds = craters(spark, sf)
     ids = F.array(*[F.lit(r["layer_id"]) for r in layers.collect()])
-    return stamping.crater_changes(seeds.withColumn("layer_id", F.explode(ids)), layers), layers
+    return craters(spark, sf).withColumn("layer_id", F.explode(ids)), layers
 
 
 def seated_rocks(spark, sf):
@@ -116,8 +115,7 @@ def crater_csfd_bins(spark, sf):
     f"""SELECT layer_id, seq, count(*) AS touched, {rnd('sum(CASE WHEN w<0 THEN -w*res*res ELSE 0 END)')} AS excavated, {rnd('sum(CASE WHEN w>=0 THEN w*res*res ELSE 0 END)')} AS deposited
         FROM stamps WHERE w<>0 GROUP BY ALL""", *_C, craters=CRATERS, stamps=STAMPS))
 def crater_volumes(spark, sf):
-    ch, _ = all_layer_changes(spark, sf)
-    return stamping.crater_volumes(ch).select("layer_id", "seq", "touched", r6("excavated").alias("excavated"), r6("deposited").alias("deposited"))
+    return stamping.crater_volumes(*craters_on_all_layers(spark, sf)).select("layer_id", "seq", "touched", r6("excavated").alias("excavated"), r6("deposited").alias("deposited"))
 
 
 @query("crater_stamp_grid", with_ctes(
@@ -127,7 +125,7 @@ def crater_volumes(spark, sf):
         arg_max(CASE WHEN u<=floor_ratio THEN 3 WHEN u<0.92e0 THEN 4 WHEN u<=1.15e0 THEN 5 END, CASE WHEN u<=1.15e0 OR u<=floor_ratio THEN seq END) AS zone
         FROM stamps s JOIN samples b USING (layer_id,row,col) WHERE w<>0 GROUP BY s.layer_id, s.row, s.col) GROUP BY layer_id, row""", *_C, craters=CRATERS, stamps=STAMPS))
 def crater_stamp_grid(spark, sf):
-    ch, _ = all_layer_changes(spark, sf)
+    ch = stamping.crater_changes(*craters_on_all_layers(spark, sf))
     rows = fx.raster_rows(spark, sf)
     final = fold.final_heights(fold.ordered_fold(fold.with_base(ch, rows)))
     zones = stamping.last_zone(ch)
