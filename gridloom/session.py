@@ -35,6 +35,13 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the results or the compiled plans depend on, for sessions made elsewhere."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a scratch one only where none is named."""
     sc = spark.sparkContext
