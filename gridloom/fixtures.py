@@ -117,7 +117,11 @@ def rock_seeds(spark: SparkSession, sf: str) -> DataFrame:
         (0.04 + (k % 7) / 100.0).alias("scale_x"), (0.05 + (k % 20) / 100.0).alias("scale_y"),
         (0.04 + (k % 11) / 100.0).alias("scale_z"),
         ((k % 19) / 20.0).alias("buried"), (k % 3 == 0).alias("physical"),
-        F.when(k % 37 == 0, 0.9).otherwise(1.0).alias("qw"),
+        # Turned rocks are valid; every 37th rotation is too short.
+        F.transform(F.when(k % 3 == 0, F.array(F.lit(0.0), F.lit(0.6), F.lit(0.0), F.lit(0.8)))
+                    .when(k % 3 == 1, F.array(*[F.lit(v) for v in (0.5, -0.5, 0.5, 0.5)]))
+                    .otherwise(F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])),
+                    lambda v: v * F.when(k % 37 == 0, 0.9).otherwise(1.0)).alias("quaternion"),
     )
 
 
@@ -307,7 +311,8 @@ CTES: dict[str, tuple[list[str], str]] = {
         0.6e0+(id%5)/1e1 AS ellipticity, (id%314)/1e2 AS rotation FROM crater_points JOIN part ON p_partkey=id"""),
     "rock_seeds": (["points"], """SELECT id AS k, format('rock-{:06d}', id) AS rock_id, x, z, 0.04e0+(id%7)/1e2 AS scale_x,
         0.05e0+(id%20)/1e2 AS scale_y, 0.04e0+(id%11)/1e2 AS scale_z, (id%19)/2e1 AS buried, id%3=0 AS physical,
-        CASE WHEN id%37=0 THEN 0.9e0 ELSE 1e0 END AS qw FROM points"""),
+        list_transform(CASE id%3 WHEN 0 THEN [0e0,0.6e0,0e0,0.8e0] WHEN 1 THEN [0.5e0,-0.5e0,0.5e0,0.5e0] ELSE [0e0,0e0,0e0,1e0] END,
+            lambda v: v*CASE WHEN id%37=0 THEN 0.9e0 ELSE 1e0 END) AS quaternion FROM points"""),
     "operations": (["n"], f"""SELECT *,
         CASE WHEN kind IN ('polygonal_cut','polygonal_fill') THEN [{{'x':cx-radius,'z':cz-radius}},{{'x':cx+radius,'z':cz-radius}},
              {{'x':cx+radius,'z':cz+radius}},{{'x':cx-radius,'z':cz+radius}}] END AS polygon,

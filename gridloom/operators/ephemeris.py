@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.solar import chebyshev
+from gridloom.session import cut_lineage
 
 c = F.col
 
@@ -23,22 +24,27 @@ def evaluate(requests: DataFrame, records: DataFrame, start: float, interval: fl
     return j.select(*[q[n] for n in requests.columns], "covered", *[chebyshev(c("coef_" + a), c("tau")).alias("p" + a) for a in "xyz"])
 
 
-def walk_chain(requests: DataFrame, segments: DataFrame, root: int = 0, max_hops: int = 8) -> DataFrame:
+def walk_chain(requests: DataFrame, segments: DataFrame, root: int = 0, hops_a_round: int = 8) -> DataFrame:
     """Number of segments from each body to the root, or why there is no way.
 
-    Only the distinct bodies walk, hop by hop; the requests join the result once.
+    Only the distinct bodies walk, hop by hop, until none moves; the bodies seen on the way catch loops, so a
+    chain of any length ends.  The requests join the result once.
     """
+    moving = c("chain_status").isNull() & (c("at") != root)
     walk = requests.select("body").distinct().select("body", c("body").alias("at"), F.lit(0).alias("hops"),
                                                      F.array("body").alias("seen"), F.lit(None).cast("string").alias("chain_status"))
-    for _ in range(max_hops):
-        step = walk.join(segments, (c("at") == c("target")) & c("chain_status").isNull() & (c("at") != root), "left")
-        moving = c("chain_status").isNull() & (c("at") != root)
-        status = (F.when(c("chain_status").isNotNull(), c("chain_status"))
-                  .when(moving & c("center").isNull(), F.concat(F.lit("missing "), c("at").cast("string")))
-                  .when(moving & F.array_contains("seen", c("center")), F.concat(F.lit("loop at "), c("center").cast("string"))))
-        go = moving & status.isNull()
-        walk = step.select("body", F.when(go, c("center")).otherwise(c("at")).alias("at"), (c("hops") + go.cast("int")).alias("hops"),
-                           F.when(go, F.array_append("seen", c("center"))).otherwise(c("seen")).alias("seen"), status.alias("chain_status"))
+    while True:
+        for _ in range(hops_a_round):
+            step = walk.join(segments, (c("at") == c("target")) & moving, "left")
+            status = (F.when(c("chain_status").isNotNull(), c("chain_status"))
+                      .when(moving & c("center").isNull(), F.concat(F.lit("missing "), c("at").cast("string")))
+                      .when(moving & F.array_contains("seen", c("center")), F.concat(F.lit("loop at "), c("center").cast("string"))))
+            go = moving & status.isNull()
+            walk = step.select("body", F.when(go, c("center")).otherwise(c("at")).alias("at"), (c("hops") + go.cast("int")).alias("hops"),
+                               F.when(go, F.array_append("seen", c("center"))).otherwise(c("seen")).alias("seen"), status.alias("chain_status"))
+        walk = cut_lineage(walk)
+        if walk.where(moving).isEmpty():
+            break
     done = walk.select("body", "hops", F.when(c("at") == root, "ok").otherwise(c("chain_status")).alias("chain_status"))
     return requests.join(done, "body")
 

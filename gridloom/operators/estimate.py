@@ -30,10 +30,16 @@ def config_issues(raw: DataFrame) -> DataFrame:
 
 
 def config_hashes(cfg: DataFrame) -> DataFrame:
-    """Hash of the canonical text of a configuration after defaults (fixed field order)."""
-    part = F.transform("layers", lambda v: F.concat_ws(":", v["role"], v["width"].cast("long").cast("string"),
-                                                       F.round(v["resolution"] * 1000).cast("long").cast("string")))
-    text = F.concat_ws("|", F.array_join(part, ","), c("tile_size").cast("string"), c("sun.mode"))
+    """Hash of the canonical text of a configuration after defaults: every field, alphabetical, numbers with 12 places."""
+    def shown(v):
+        return F.coalesce(v.cast("string"), F.lit("null"))
+
+    number = lambda v: shown(v.cast("decimal(38,12)"))
+    layer = lambda v: F.concat_ws(":", *[number(v[k]) for k in ("center_x", "center_z", "length", "resolution")],
+                                  shown(v["role"]), number(v["width"]))
+    text = F.concat_ws("|", F.array_join(F.transform("layers", layer), ","),
+                       *[number(c(f"limits.{k}")) for k in ("max_bytes", "max_samples", "max_tiles")],
+                       shown(c("sun.epoch")), shown(c("sun.mode")), shown(c("tile_size")))
     return cfg.select("config_id", F.sha2(text, 256).alias("hash"))
 
 

@@ -40,11 +40,18 @@ def crater_rules() -> list[tuple[str, Column]]:
     ]
 
 
+def bad_rotation(tolerance: float = 1e-6) -> Column:
+    """The quaternion has not four finite components of norm one."""
+    q = c("quaternion")
+    norm = F.sqrt(F.aggregate(q, F.lit(0.0), lambda t, v: t + v * v))
+    return ~F.coalesce((F.size(q) == 4) & finite(norm) & (F.abs(norm - 1) <= tolerance), F.lit(False))
+
+
 def rock_rules(quaternion_tolerance: float = 1e-6) -> list[tuple[str, Column]]:
     return [
         ("position", ~(finite(c("x")) & finite(c("y")) & finite(c("z")))),
         ("scale", ~((c("scale_x") > 0) & (c("scale_y") > 0) & (c("scale_z") > 0))),
-        ("buried", ~c("buried").between(0, 1)), ("quaternion", F.abs(c("qw") - 1) > quaternion_tolerance),
+        ("buried", ~c("buried").between(0, 1)), ("quaternion", bad_rotation(quaternion_tolerance)),
     ]
 
 

@@ -62,8 +62,8 @@ def roughness() -> Column:
     return F.when(count > 0, F.sqrt(total / F.nullif(count, F.lit(0)))).otherwise(0.0)
 
 
-def fill_no_data(rows: DataFrame, max_passes: int = 64) -> DataFrame:
-    """Fill holes with the mean of the valid 3x3 neighbours, pass by pass until nothing changes.
+def fill_no_data(rows: DataFrame, max_passes: int | None = None) -> DataFrame:
+    """Fill holes with the mean of the valid 3x3 neighbours, pass by pass until nothing changes (or a given number).
 
     Every pass reads the result of the pass before as a whole, so a filled value never depends on
     the order in which samples are visited.
@@ -72,10 +72,9 @@ def fill_no_data(rows: DataFrame, max_passes: int = 64) -> DataFrame:
         n = F.size(F.filter("heights", lambda v: v.isNull() | F.isnan(v)))
         return df.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
 
-    left = holes(rows)
-    for _ in range(max_passes):
-        if left == 0:
-            break
+    left, passes = holes(rows), 0
+    while left and passes != max_passes:
+        passes += 1
         banded = row_bands(rows, 1, 1)
 
         def filled(v: Column, i: Column) -> Column:

@@ -99,7 +99,7 @@ def import_rules(spark, sf):
 
 
 @query("rock_payload_rules", with_ctes(
-    """SELECT rule, count(*) AS rocks, min(rock_id) AS first_rock FROM (SELECT rock_id, unnest(list_filter([CASE WHEN layer_id IS NULL THEN 'not covered' END, CASE WHEN y IS NULL THEN 'position' END, CASE WHEN abs(qw-1)>1e-3 THEN 'quaternion' END,
+    """SELECT rule, count(*) AS rocks, min(rock_id) AS first_rock FROM (SELECT rock_id, unnest(list_filter([CASE WHEN layer_id IS NULL THEN 'not covered' END, CASE WHEN y IS NULL THEN 'position' END, CASE WHEN abs(sqrt(list_sum(list_transform(quaternion, lambda v: v*v)))-1)>1e-3 THEN 'quaternion' END,
        CASE WHEN ground IS NOT NULL AND y-scale_y>ground+1e-3 THEN 'floating' END], lambda v: v IS NOT NULL)) AS rule FROM faulty) GROUP BY rule""", *_R, **ROCKS, faulty=FAULTY))
 def rock_payload_rules(spark, sf):
     extra = [("not covered", c("layer_id").isNull()), ("floating", F.coalesce(rules.floating(), F.lit(False)))]

@@ -192,12 +192,12 @@ def rock_reseat(spark, sf):
 
 @query("rock_checks", with_ctes(
     """SELECT layer_id, count(*) AS rocks, count_if(y-scale_y>ground+1e-3) AS floating, count_if(y-(ground+scale_y*(1-2*buried))>greatest(0.05e0,scale_y*0.5e0)) AS burial_wrong,
-       count_if(abs(qw-1)>1e-6) AS bad_rotation FROM faulty WHERE ground IS NOT NULL GROUP BY layer_id""", *_R, **ROCKS, faulty=FAULTY))
+       count_if(abs(sqrt(list_sum(list_transform(quaternion, lambda v: v*v)))-1)>1e-6) AS bad_rotation FROM faulty WHERE ground IS NOT NULL GROUP BY layer_id""", *_R, **ROCKS, faulty=FAULTY))
 def rock_checks(spark, sf):
     r = faulty_rocks(spark, sf).where(c("ground").isNotNull())
     return r.groupBy("layer_id").agg(
         F.count("*").alias("rocks"), F.count_if(rules.floating()).alias("floating"), F.count_if(rules.burial_wrong()).alias("burial_wrong"),
-        F.count_if(F.abs(c("qw") - 1) > 1e-6).alias("bad_rotation"))
+        F.count_if(rules.bad_rotation()).alias("bad_rotation"))
 
 
 @query("rock_budget_sample", with_ctes(

@@ -176,7 +176,8 @@ def world_digest(spark, sf):
 
 
 @query("config_hash", with_ctes(
-    """SELECT h.config_id, sha256(string_agg(role||':'||width::BIGINT||':'||(resolution*1000)::BIGINT, ',' ORDER BY ord)||'|'||coalesce(any_value(tile_size),64)||'|'||any_value(mode)) AS hash
+    """SELECT h.config_id, sha256(string_agg(concat_ws(':', center_x::DECIMAL(38,12), center_z::DECIMAL(38,12), length::DECIMAL(38,12), resolution::DECIMAL(38,12), role, width::DECIMAL(38,12)), ',' ORDER BY ord)
+         ||'|'||any_value(concat_ws('|', max_bytes::DECIMAL(38,12), max_samples::DECIMAL(38,12), max_tiles::DECIMAL(38,12), coalesce(epoch,'null'), mode, coalesce(tile_size,64)))) AS hash
        FROM config_heads h JOIN config_layers USING (config_id) GROUP BY h.config_id""", "config_heads", "config_layers"))
 def config_hash(spark, sf):
     return estimate.config_hashes(estimate.read_configs(fx.configs(spark, sf)))
@@ -265,7 +266,7 @@ def audit_features(spark, sf):
 @query("feature_validity", with_ctes(
     """SELECT kind, rule, count(*) AS features FROM (SELECT 'crater' AS kind, unnest(list_filter([CASE WHEN NOT depth>=0 THEN 'depth' END, CASE WHEN ellipticity>1 OR ellipticity<=0 THEN 'ellipticity' END], lambda v: v IS NOT NULL)) AS rule
          FROM (SELECT * REPLACE (CASE WHEN id%211=0 THEN -depth ELSE depth END AS depth, CASE WHEN id%307=0 THEN 1.5e0 ELSE ellipticity END AS ellipticity) FROM craters)
-       UNION ALL SELECT 'rock', unnest(list_filter([CASE WHEN y IS NULL THEN 'position' END, CASE WHEN abs(qw-1)>1e-6 THEN 'quaternion' END], lambda v: v IS NOT NULL)) FROM faulty) GROUP BY ALL""",
+       UNION ALL SELECT 'rock', unnest(list_filter([CASE WHEN y IS NULL THEN 'position' END, CASE WHEN abs(sqrt(list_sum(list_transform(quaternion, lambda v: v*v)))-1)>1e-6 THEN 'quaternion' END], lambda v: v IS NOT NULL)) FROM faulty) GROUP BY ALL""",
     "crater_seeds", *_R, craters=CRATER_SQL, **ROCKS, faulty=FAULTY))
 def feature_validity(spark, sf):
     cr = craters(spark, sf).withColumn("depth", F.when(c("id") % 211 == 0, -c("depth")).otherwise(c("depth"))).withColumn(
