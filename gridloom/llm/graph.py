@@ -19,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour (or the node itself)."""
     both = edges.select("u", "v").union(edges.select(c("v").alias("u"), c("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where(c("v") > c("u")).join(low, "u").select(c("v").alias("u"), c("m").alias("v")).where("u <> v").distinct()
+    return both.where(c("v") > c("u")).join(low, "u").select(c("v").alias("u"), c("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

