@@ -365,10 +365,12 @@ def test_url_rules(spark):
 
 
 def test_reputation_shrinks_to_the_parents(spark):
-    rows = [("bad.one.org", 1)] * 40 + [("few.one.org", 1)] + [("good.two.org", 0)] * 60 + [("new.two.org", None)] + [("a.three.net", 0)] * 30
+    rows = [("bad.one.org", 1)] * 40 + [("fine.one.org", 0)] * 40 + [("few.one.org", 1)] + [("good.two.org", 0)] * 60
+    rows += [("new.two.org", None)] + [("a.three.net", 0)] * 30
     rep = {r["host"]: r for r in hosts.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
-    assert rep["bad.one.org"]["bad_bound"] > 0.7 > rep["few.one.org"]["bad_bound"] and rep["few.one.org"]["bad_rate"] > 0.5
-    assert rep["new.two.org"]["bad_rate"] < 0.3 and rep["new.two.org"]["n_labelled"] == 0 and rep["good.two.org"]["bad_rate"] < rep["new.two.org"]["bad_rate"]
+    assert rep["bad.one.org"]["bad_bound"] > 0.7 > rep["few.one.org"]["bad_bound"]
+    assert rep["few.one.org"]["bad_rate"] > 0.5 > rep["fine.one.org"]["bad_rate"]
+    assert rep["new.two.org"]["n_labelled"] == 0 and rep["good.two.org"]["bad_rate"] < rep["new.two.org"]["bad_rate"] < 0.4
 
 
 def test_registered_domains(spark):
