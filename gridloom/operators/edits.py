@@ -341,37 +341,64 @@ def read_centres(ops: DataFrame, rows: DataFrame, layers: DataFrame) -> DataFram
 
 
 # ------------------------------------------------------------------ replay of a whole log
-def replay(ops: DataFrame, rows: DataFrame, layers: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, int]:
-    """Heights after a whole log, including the edits that read the ground; returns the fold and the rounds.
-
-    The readings (a slope's pivot, a ramp's start, the neighbourhood of a smooth edit) are unknowns.
-    Each round folds the log with the readings of the round before and takes new ones at the sequence
-    number of each reading edit.  When nothing changes, the readings satisfy the sequential
-    definition, whose solution is unique, so the result is the serial one.  A round is one parallel
-    join and fold; the number of rounds is the depth of the chain of readings, not the log length.
+def rejected_edits(touched: DataFrame, rows: DataFrame) -> DataFrame:
+    """(seq, row, col): edits with a sample that has no height, and the first such sample; they change nothing at all."""
+    r = rows.select("layer_id", "row", "heights")
+    h = F.get("heights", c("col").cast("int"))
+    bad = touched.select("layer_id", "row", "col", "seq").join(r, ["layer_id", "row"]).where(
+        h.isNull() | F.isnan(h) | (F.abs(h) == float("inf")))
+    return bad.groupBy("seq").agg(F.min(F.struct("row", "col")).alias("at")).select("seq", "at.row", "at.col")
+
+
+def replay(ops: DataFrame, rows: DataFrame, layers: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """Heights after a whole log: the fold of all changes, the rounds it took, and the rejected edits.
+
+    The readings (a slope's pivot, a ramp's start, the neighbourhood of a smooth edit) and the net volumes that
+    conserving edits give back to their rings are unknowns.  Each round folds the log with the values of the
+    round before and takes new ones at the sequence number of each such edit.  A value depends on earlier edits
+    only, so when nothing changes the values satisfy the sequential definition, whose solution is unique, and the
+    result is the serial one.  A round is one parallel join and fold; the number of rounds is the depth of the chain of
+    dependent edits and at most their number plus two.
+
+    An edit that touches a sample without a height is left out as a whole and listed.
     """
-    spark = rows.sparkSession
-    fixed = cut_lineage(fold.with_base(changes(ops.where(~c("kind").isin(*READS_GROUND)), layers), rows).select(
-        "layer_id", "row", "col", "seq", "mode", "t", "w", "base"))
+    still = lambda o: o.withColumn("pivot", F.lit(0.0)).withColumn("near", F.lit(0.0))
+    unit = lambda o: ring_changes(o, o.where("mass_conserving").select("seq", F.lit(1.0).alias("net")), layers)
+    spots = ("layer_id", "row", "col", "seq")
+    touched = changes(still(ops), layers).select(*spots).union(_reading_samples(ops, layers).select(*spots)).union(unit(ops).select(*spots))
+    rejected = cut_lineage(rejected_edits(touched, rows))
+    ops = ops.join(rejected.select("seq"), "seq", "left_anti")
+    columns = (*spots, "mode", "t", "w", "base")
+    fixed = cut_lineage(fold.with_base(changes(ops.where(~c("kind").isin(*READS_GROUND)), layers), rows).select(*columns))
     probes = cut_lineage(fold.with_base(_reading_samples(ops, layers), rows).select(
-        "layer_id", "row", "col", "seq", F.lit(fold.ADD).alias("mode"), F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), "base",
-        F.lit(0).alias("turn")))
-    seen = probes.select("layer_id", "row", "col", "seq", c("base").alias("h"))
-    mark, rounds = None, 0
-    while True:
-        reading = cut_lineage(fold.with_base(_read_changes(ops, seen, layers), rows).select(
-            "layer_id", "row", "col", "seq", "mode", "t", "w", "base"))
-        folded = fold.ordered_fold(fixed.unionByName(reading).withColumn("turn", F.lit(1)).unionByName(probes))
-        folded = cut_lineage(folded)
+        *spots, F.lit(fold.ADD).alias("mode"), F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), "base", F.lit(0).alias("turn"), F.lit(0.0).alias("extra")))
+    ring = cut_lineage(fold.with_base(unit(ops), rows).select(*spots, "base", c("add").alias("unit")))
+    cells = layers.select("layer_id", (c("res") * c("res")).alias("cell"))
+    giving = ops.where("mass_conserving").select("seq", "layer_id").join(cells, "layer_id").drop("layer_id")
+    bound = 2 + ops.where(c("mass_conserving") | c("kind").isin(*READS_GROUND)).count()
+    seen = probes.select(*spots, c("base").alias("h"))
+    nets = giving.select("seq", F.lit(0.0).alias("net"))
+    mark, now, rounds = None, 0, 0
+    while now != mark:
+        if rounds > bound:
+            raise RuntimeError(f"the log did not settle in {bound} rounds")
+        mark = now if rounds else None
+        reading = fold.with_base(_read_changes(ops, seen, layers), rows).select(*columns)
+        back = ring.join(nets, "seq").withColumn("extra", c("unit") * c("net"))
+        shape = fixed.unionByName(reading).withColumn("extra", F.lit(0.0))
+        given = back.select(*spots, F.lit(fold.ADD).cast("tinyint").alias("mode"), F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("w"), "base", "extra")
+        # A sample of both the shape and the ring takes one change, rounded once.
+        merged = shape.unionByName(given).groupBy(*spots).agg(
+            F.max("mode").alias("mode"), F.max("t").alias("t"), F.sum("w").alias("w"), F.first("base").alias("base"), F.sum("extra").alias("extra"))
+        folded = cut_lineage(fold.ordered_fold(merged.withColumn("turn", F.lit(1)).unionByName(probes)))
         rounds += 1
-        seen = folded.where(c("turn") == 0).select("layer_id", "row", "col", "seq", c("before").alias("h"))
-        now = seen.agg(F.bit_xor(F.xxhash64("layer_id", "row", "col", "seq", "h")).alias("x")).first()["x"]
-        if now == mark or rounds >= max_rounds:
-            break
-        mark = now
-    if now != mark:
-        raise RuntimeError(f"readings did not settle in {max_rounds} rounds")
-    return folded.where(c("turn") == 1), rounds
+        seen = folded.where(c("turn") == 0).select(*spots, c("before").alias("h"))
+        own = folded.where(c("turn") == 1).join(giving, "seq").join(back.select(*spots, "extra"), list(spots), "left")
+        volume = ((c("dh") - F.coalesce("extra", F.lit(0.0))) * c("cell")).cast("decimal(38,15)")
+        nets = cut_lineage(own.groupBy("seq").agg(F.sum(volume).cast("double").alias("net")))
+        digest = lambda df, *cols: df.agg(F.bit_xor(F.xxhash64(*cols)).alias("x")).first()["x"]
+        now = (digest(seen, *spots, "h"), digest(nets, "seq", "net"))
+    return folded.where(c("turn") == 1), rounds, rejected
 
 
 def _reading_samples(ops: DataFrame, layers: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def test_conserving_edit_balances(spark):
         assert r["net"] + r["back"] == pytest.approx(0.0, abs=1e-12)
 
 
-def serial(n, res, ops, h):
+def serial(n, res, ops, h, conserving=lambda o: False):
     """Plain loop over the log for the kinds used below, with float32 rounding at every write."""
     lo = -(n - 1) * res / 2
     for o in ops:
@@ -88,11 +88,16 @@ def serial(n, res, ops, h):
         pivot = (old[r0, c0] * (1 - tc) * (1 - tr) + old[r0, c0 + 1] * tc * (1 - tr) + old[r0 + 1, c0] * (1 - tc) * tr + old[r0 + 1, c0 + 1] * tc * tr)
         near = old[int(math.floor(fr + 0.5)), int(math.floor(fc + 0.5))]
         band = max(2 * res, r * 0.25)
+        change = np.zeros((n, n))
+        ring = {}
         for row in range(n):
             for col in range(n):
                 dx, dz = lo + col * res - cx, lo + row * res - cz
                 d, along = math.sqrt(dx * dx + dz * dz), dx * ax + dz * az
                 dh = 0.0
+                inner = length + r + 2 * band if kind == "ramp" else r
+                if inner <= d <= inner * 1.6:
+                    ring[row, col] = (1 - (d - inner) / (inner * 0.6)) ** 2
                 if kind == "raise":
                     dh = s * fall(d, r)
                 elif kind == "flatten":
@@ -107,7 +112,12 @@ def serial(n, res, ops, h):
                     lat = fall(max(0.0, across - r), band)
                     end = fall(band - along if along < band else max(0.0, along - length), band)
                     dh = (near + min(1, along / length) * (target - near) - old[row, col]) * lat * end
-                h[row, col] = np.float32(old[row, col] + dh)
+                change[row, col] = dh
+        if conserving(o) and ring:
+            net = change.sum()
+            for at, w in ring.items():
+                change[at] -= net * w / sum(ring.values())
+        h[:] = (old + change).astype(np.float32)
     return h
 
 
@@ -118,13 +128,39 @@ def test_replay_equals_serial_log(spark):
     kinds = ["raise", "smooth", "slope", "flatten", "ramp", "smooth", "slope", "raise", "ramp", "smooth"]
     ops = [op(i, k, cx=0.1 + 0.3 * math.sin(i), cz=-0.2 + 0.3 * math.cos(2 * i), radius=0.8 + 0.05 * i, strength=0.2 + 0.05 * i, length=1.0)
            for i, k in enumerate(kinds)]
-    folded, rounds = edits.replay(spark.createDataFrame(ops, OPS), rows, layers)
+    folded, rounds, _ = edits.replay(spark.createDataFrame(ops, OPS), rows, layers)
     got = fold.apply_to_rows(rows, fold.final_heights(folded)).orderBy("row").collect()
     want = serial(n, res, ops, np.array([[np.float32(height(r, k)) for k in range(n)] for r in range(n)], dtype=np.float32))
     assert rounds > 1
     np.testing.assert_allclose(np.array([r["heights"] for r in got]), want, atol=2e-7)
 
 
+def test_replay_gives_conserving_edits_back_in_order(spark):
+    n, res = 25, 0.25
+    height = lambda r, k: 0.3 * math.sin(r * 0.7) + 0.1 * math.cos(k * 1.3)
+    layers, rows = flat_layer(spark, n, res, height)
+    kinds = ["raise", "smooth", "slope", "flatten", "ramp", "smooth", "slope", "raise"]
+    ops = [op(i, k, cx=0.1 + 0.3 * math.sin(i), cz=-0.2 + 0.3 * math.cos(2 * i), radius=0.8 + 0.05 * i, strength=0.2 + 0.05 * i, length=0.5,
+              mass_conserving=i % 2 == 0) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(ops, OPS)
+    folded, rounds, rejected = edits.replay(df, rows, layers)
+    got = fold.apply_to_rows(rows, fold.final_heights(folded)).orderBy("row").collect()
+    flag = df.columns.index("mass_conserving")
+    start = np.array([[np.float32(height(r, k)) for k in range(n)] for r in range(n)], dtype=np.float32)
+    want = serial(n, res, ops, start, lambda o: o[flag])
+    assert rejected.isEmpty() and rounds > 2
+    np.testing.assert_allclose(np.array([r["heights"] for r in got]), want, atol=4e-7)
+
+
+def test_replay_rejects_an_edit_over_missing_ground_as_a_whole(spark):
+    layers, rows = flat_layer(spark, 25, 0.25)
+    holed = rows.withColumn("heights", F.when(c("row") == 12, F.transform("heights", lambda v, i: F.when(i != 12, v))).otherwise(c("heights")))
+    ops = spark.createDataFrame([op(1, "raise"), op(2, "raise", cx=2.0, radius=0.5), op(3, "flatten", cx=-2.2, radius=0.4)], OPS)
+    folded, _, rejected = edits.replay(ops, holed, layers)
+    assert [tuple(r) for r in rejected.collect()] == [(1, 12, 12)]
+    assert {r["seq"] for r in folded.select("seq").distinct().collect()} == {2, 3}
+
+
 def test_fold_streams_a_hot_sample(spark):
     n = 30_000  # several Arrow batches on one sample
     ch = spark.range(n).select(F.lit("a").alias("layer_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), c("id").alias("seq"), F.lit(0).alias("mode"),
