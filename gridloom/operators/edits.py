@@ -25,7 +25,6 @@ from gridloom.session import cut_lineage
 c = F.col
 TAN_REPOSE = math.tan(math.radians(REPOSE_ANGLE_DEG))
 READS_GROUND = ("slope", "ramp", "smooth")
-GROUND_DEPENDENT = ("flatten", "slope", "smooth", "ramp", "pad", "polygonal_cut", "polygonal_fill")
 INVERSE = {"raise": "lower", "lower": "raise", "berm": "trench", "trench": "berm"}
 LONG = ("trench", "berm", "wheel_track")
 
@@ -342,12 +341,13 @@ def read_centres(ops: DataFrame, rows: DataFrame, layers: DataFrame) -> DataFram
 
 # ------------------------------------------------------------------ replay of a whole log
 def rejected_edits(touched: DataFrame, rows: DataFrame) -> DataFrame:
-    """(seq, row, col): edits with a sample that has no height, and the first such sample; they change nothing at all."""
+    """(seq, row, col, missing): edits with samples that have no height, the first of them and their number; they change nothing at all."""
     r = rows.select("layer_id", "row", "heights")
     h = F.get("heights", c("col").cast("int"))
     bad = touched.select("layer_id", "row", "col", "seq").join(r, ["layer_id", "row"]).where(
         h.isNull() | F.isnan(h) | (F.abs(h) == float("inf")))
-    return bad.groupBy("seq").agg(F.min(F.struct("row", "col")).alias("at")).select("seq", "at.row", "at.col")
+    return bad.groupBy("seq").agg(F.min(F.struct("row", "col")).alias("at"), F.count("*").alias("missing")).select(
+        "seq", "at.row", "at.col", "missing")
 
 
 def replay(ops: DataFrame, rows: DataFrame, layers: DataFrame) -> tuple[DataFrame, int, DataFrame]:
@@ -453,9 +453,3 @@ def _read_changes(ops: DataFrame, seen: DataFrame, layers: DataFrame) -> DataFra
     b = b.select("layer_id", c("trow").alias("row"), c("tcol").cast("int").alias("col"), "seq", F.lit(fold.ADD).cast("tinyint").alias("mode"),
                  F.lit(None).cast("double").alias("t"), dh.alias("w")).where(c("w") != 0)
     return a.unionByName(b)
-
-
-def first_failure(folded: DataFrame) -> DataFrame:
-    """Edits whose result is not finite, with the first of them: it and everything after it is not committed."""
-    bad = folded.where(F.isnan("after") | (F.abs(c("after")) == float("inf")))
-    return bad.groupBy("layer_id").agg(F.min("seq").alias("failed_seq"))

@@ -172,6 +172,16 @@ def op_layer_resolve(spark, sf):
         F.count("*").alias("ops"), F.min("seq").alias("first_seq"))
 
 
+@query("edit_rejects", with_ctes(
+    """SELECT seq, min(row) AS row, arg_min(col, row*1000+col) AS col, count(*) AS missing FROM changes c JOIN holes h USING (layer_id, row, col) WHERE h.h IS NULL GROUP BY seq""",
+    *BASE, "holes", **LOG))
+def edit_rejects(spark, sf):
+    """Edits that touch a sample without height on the raster with holes: each is rejected whole, with its first such sample."""
+    ops, layers = plain_ops(spark, sf)
+    rows, touched = fx.with_holes(fx.raster_rows(spark, sf)), edits.changes(ops, layers)
+    return edits.rejected_edits(touched, rows).select("seq", "row", c("col").cast("long").alias("col"), "missing")
+
+
 @query("undo_map", with_ctes(
     """SELECT kind, inverse_kind, CASE WHEN inverse_kind IS NULL THEN 'not invertible' ELSE 'ok' END AS status, count(*) AS ops FROM (SELECT kind,
        CASE kind WHEN 'raise' THEN 'lower' WHEN 'lower' THEN 'raise' WHEN 'berm' THEN 'trench' WHEN 'trench' THEN 'berm' END AS inverse_kind FROM operations) GROUP BY ALL""", "operations"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Upper bound on the rows of a dimension table that may be turned into literals.
 MAX_DIMENSION_ROWS = 256
@@ -72,8 +71,3 @@ def dimension_rows(df: DataFrame, limit: int = MAX_DIMENSION_ROWS):
     """Rows of a small dimension table, or None when it is larger than the bound."""
     rows = df.limit(limit + 1).collect()
     return None if len(rows) > limit else rows
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be under the bound."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

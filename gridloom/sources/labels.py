@@ -26,7 +26,6 @@ def value(text: Column, key: str) -> Column:
 
 def parse_labels(labels: DataFrame) -> DataFrame:
     """Typed columns for ``labels(product_id, text)`` with the list of missing required keys."""
-    # One pass builds the key map; every column then is a lookup.
     num = lambda k: value(c("text"), k).try_cast("double").alias(k.lower())
     t = labels.select("product_id", *[num(k) for k in NUMBERS], *[value(c("text"), k).alias(k.lower()) for k in TEXTS],
                       F.coalesce(value(c("text"), "SCALING_FACTOR").try_cast("double"), F.lit(1.0)).alias("scaling_factor"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import crater, geo, mobility, solar
-from gridloom.operators import edits, fold, log, population, rules, stencil, validation
+from gridloom.operators import edits, ephemeris, estimate, fold, log, population, rules, stencil, validation
 from gridloom.operators.ordered import lag_in_order, running_sum_in_order
 from gridloom.sources import raster_io
 
@@ -157,10 +157,34 @@ def test_replay_rejects_an_edit_over_missing_ground_as_a_whole(spark):
     holed = rows.withColumn("heights", F.when(c("row") == 12, F.transform("heights", lambda v, i: F.when(i != 12, v))).otherwise(c("heights")))
     ops = spark.createDataFrame([op(1, "raise"), op(2, "raise", cx=2.0, radius=0.5), op(3, "flatten", cx=-2.2, radius=0.4)], OPS)
     folded, _, rejected = edits.replay(ops, holed, layers)
-    assert [tuple(r) for r in rejected.collect()] == [(1, 12, 12)]
+    assert [tuple(r) for r in rejected.collect()] == [(1, 12, 12, 1)]
     assert {r["seq"] for r in folded.select("seq").distinct().collect()} == {2, 3}
 
 
+def test_chains_of_bodies_of_any_length(spark):
+    hops = [(i, i - 1) for i in range(1, 13)] + [(50, 51), (51, 52), (52, 50), (60, 61)]
+    asked = spark.createDataFrame([(12,), (5,), (0,), (50,), (60,)], "body long")
+    got = {r["body"]: (r["hops"], r["chain_status"]) for r in ephemeris.walk_chain(asked, spark.createDataFrame(hops, "target long, center long")).collect()}
+    assert got[12] == (12, "ok") and got[5] == (5, "ok") and got[0] == (0, "ok")
+    assert got[50][1] == "loop at 50" and got[60][1] == "missing 61"
+
+
+def test_holes_fill_beyond_many_passes(spark):
+    n = 150
+    rows = spark.createDataFrame([("a", r, [1.0 if k == 0 else None for k in range(n)]) for r in range(3)], "layer_id string, row long, heights array<float>")
+    got = stencil.fill_no_data(rows).collect()
+    assert all(v == 1.0 for r in got for v in r["heights"])
+
+
+def test_rotations_and_configurations(spark):
+    df = spark.sql("SELECT array(0D, 0D, sqrt(0.5D), sqrt(0.5D)) AS quaternion UNION ALL SELECT array(0D, 0D, 0D, 0.9D) UNION ALL SELECT array(1D) UNION ALL SELECT null")
+    assert [r[0] for r in df.select(rules.bad_rotation()).collect()] == [False, True, True, True]
+    text = '{"layers":[{"role":"a","width":9.0,"length":%s,"resolution":1.0,"center_x":%s,"center_z":0.0}],"sun":{"mode":"manual","epoch":%s}}'
+    raw = [(i, text % v) for i, v in enumerate([("9.0", "0.0", "null"), ("9.5", "0.0", "null"), ("9.0", "0.25", "null"), ("9.0", "0.0", '"x"'), ("9.0", "0.0", "null")])]
+    h = {r["config_id"]: r["hash"] for r in estimate.config_hashes(estimate.read_configs(spark.createDataFrame(raw, "config_id long, json string"))).collect()}
+    assert h[0] == h[4] and len(set(h.values())) == 4
+
+
 def test_fold_streams_a_hot_sample(spark):
     n = 30_000  # several Arrow batches on one sample
     ch = spark.range(n).select(F.lit("a").alias("layer_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), c("id").alias("seq"), F.lit(0).alias("mode"),
