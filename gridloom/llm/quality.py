@@ -13,12 +13,13 @@ two named columns are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE_CLASS, let, removed_chars, split_words
+from gridloom.llm.common import let, removed_chars, split_words
 
 SYMBOLS = "#*$%&|<>"
 SENTENCE_MARKS = "[.!?…:;,。！？；：，、।؟]"
@@ -28,10 +29,10 @@ NAVIGATION = ["home", "menu", "main menu", "search", "login", "log in", "sign in
               "next page", "previous page", "back to top", "skip to content", "read more", "show more", "share", "print",
               "contact", "contact us", "about", "about us", "site map", "sitemap"]
 
-#: Phrases of legal and site boilerplate, as a case-blind pattern.
-BOILERPLATE = (r"(?i)(all rights reserved|licensed under|terms of (use|service)|privacy policy|cookie policy|use of cookies|"
-               r"uses cookies|accept cookies|enable javascript|subscribe to our newsletter|click here to|lorem ipsum|"
-               r"powered by wordpress|copyright (\(c\)|©))")
+#: Phrases of legal and site boilerplate, found in lower-cased lines.
+BOILERPLATE = ["all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy",
+               "use of cookies", "uses cookies", "accept cookies", "enable javascript", "subscribe to our newsletter",
+               "click here to", "lorem ipsum", "powered by wordpress", "copyright (c)", "copyright ©"]
 
 
 @dataclass(frozen=True)
@@ -57,10 +58,10 @@ def repeated_words(words: Column) -> Column:
     def shifted(a, k):
         return F.slice(a, k, F.greatest(F.size(a), F.lit(1)))
 
-    def window_hashes(h):
-        z = F.arrays_zip(*[shifted(h, k).alias(f"w{k}") for k in range(1, 6)])
+    def window_hashes(w):
+        z = F.arrays_zip(*[shifted(w, k).alias(f"w{k}") for k in range(1, 6)])
         win = F.transform(z, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(1, 6)]))
-        return F.slice(win, 1, F.greatest(F.size(h) - 4, F.lit(0)))
+        return F.slice(win, 1, F.greatest(F.size(w) - 4, F.lit(0)))
 
     def covered(win):
         s = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -76,21 +77,23 @@ def repeated_words(words: Column) -> Column:
             F.zip_with(p, shifted(p, 2), lambda a, b: F.least(F.lit(5), F.coalesce(b - a, F.lit(5)))),
             F.lit(0).cast("long"), lambda t, x: t + F.coalesce(x, F.lit(0))))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: let(window_hashes(h), lambda win: F.when(
-        F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).otherwise(covered(win))))
+    return let(window_hashes(words), lambda win: F.when(
+        F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).otherwise(covered(win)))
 
 
-def line_faults(line: Column, n_words: Column, rules: Rules) -> tuple[Column, Column]:
-    """(noise or menu, boilerplate): whether the line rules remove a line, and why."""
-    noisy = ((removed_chars(line, SYMBOLS) >= n_words * rules.symbol_share) & (removed_chars(line, SYMBOLS) >= 3)) | (
-        F.regexp_count(line, F.lit("!!")) >= F.greatest(n_words * rules.shout_share, F.lit(1.0))) | (
+def line_faults(line: Column, n_words: Column, symbols: Column, rules: Rules) -> tuple[Column, Column]:
+    """(noise or menu, boilerplate): whether the line rules remove a line, and why.
+
+    Each costly test stands behind a cheap one that most lines fail.
+    """
+    noisy = ((symbols >= n_words * rules.symbol_share) & (symbols >= 3)) | (line.contains("!!") & (
+        F.regexp_count(line, F.lit("!!")) >= F.greatest(n_words * rules.shout_share, F.lit(1.0)))) | (
         (n_words >= rules.unmarked_words) & ~line.rlike(SENTENCE_MARKS))
     separators = F.regexp_count(line, F.lit(r"(^|[\x20\x09])[|»›•·>]([\x20\x09]|$)"))
-    menu = ((separators >= 2) & (separators >= n_words * rules.separator_share)) | (
+    menu = (line.rlike("[|»›•·>]") & (separators >= F.greatest(n_words * rules.separator_share, F.lit(2.0)))) | (
         (n_words <= 3) & F.lower(F.trim(line)).isin(NAVIGATION))
-    boiler = (n_words <= rules.boilerplate_words) & line.rlike(BOILERPLATE)
-    return (n_words > 0) & (noisy | menu), (n_words > 0) & boiler
+    phrase = let(F.lower(line), lambda low: functools.reduce(Column.__or__, [low.contains(p) for p in BOILERPLATE]))
+    return (n_words > 0) & (noisy | menu), (n_words > 0) & (n_words <= rules.boilerplate_words) & phrase
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text",
@@ -98,22 +101,23 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
     """One row per row of ``docs``: measures, verdict ``kept`` and ``cleaned_text``; ``keep`` names columns to carry."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(*keep, *([] if id_col in keep else [id_col]), text.alias("_t"))
-    measured = base.select(
-        *base.columns, split_words(F.col("_t")).alias("_w"),
-        F.transform(F.split("_t", "\n"), lambda x: F.struct(
-            x.alias("s"), F.size(split_words(x)).alias("n"))).alias("_l"))
-    judged = measured.select(
-        *[x for x in measured.columns if x != "_l"], F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        removed_chars(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
+    symbols = lambda x: F.when(x.rlike(f"[{SYMBOLS}]"), removed_chars(x, SYMBOLS)).otherwise(0)
+    cut = base.select(*[x for x in base.columns if x != "_t"], F.transform(F.split("_t", "\n"), lambda x: F.struct(
+        x.alias("s"), split_words(x).alias("w"), symbols(x).alias("y"))).alias("_l"))
+    # A line break separates words, so the words of the text are those of its lines.
+    cut = cut.withColumn("_w", F.flatten(F.transform("_l", lambda x: x["w"])))
+    judged = cut.select(
+        *[x for x in cut.columns if x not in ("_l", "_w")], F.size("_w").cast("long").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.aggregate("_l", F.lit(0).cast("long"), lambda t, x: t + x["y"]).alias("n_symbols"),
         repeated_words(F.col("_w")).alias("n_repeat_words"),
-        F.transform("_l", lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), *[
-            fault.alias(name) for fault, name in zip(line_faults(x["s"], x["n"], rules), ("noise", "boiler"))])).alias("_l"))
+        F.transform("_l", lambda x: F.struct(x["s"].alias("s"), F.size(x["w"]).alias("n"), *[
+            fault.alias(name) for fault, name in zip(line_faults(x["s"], F.size(x["w"]), x["y"], rules), ("noise", "boiler"))])).alias("_l"))
     with_word = F.transform(F.filter("_l", lambda x: x["n"] > 0), lambda x: x["s"])
     bad = F.filter("_l", lambda x: x["noise"] | x["boiler"])
     words_of = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x["n"])
     counted = judged.select(
-        *[x for x in judged.columns if x not in ("_t", "_w", "_l")],
+        *[x for x in judged.columns if x != "_l"],
         let(with_word, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long")).alias("n_dup_lines"),
         F.size(bad).cast("long").alias("n_removed_lines"),
         words_of(bad).alias("n_removed_words"), words_of(F.filter("_l", lambda x: x["noise"])).alias("n_noise_words"),

@@ -30,9 +30,9 @@ m AS (SELECT *, len(regexp_extract_all(line, '{WORD}')) AS n,
         length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS sym, len(regexp_extract_all(line, '!!')) AS shout,
         len(regexp_extract_all(line, '(^|[\\x20\\x09])[|»›•·>]([\\x20\\x09]|$)')) AS sep FROM ln),
 f AS (SELECT *, n > 0 AND ((sym >= 0.5 * n AND sym >= 3) OR shout >= greatest(0.3 * n, 1)
-            OR (n >= 20 AND NOT regexp_matches(line, {quoted(SENTENCE_MARKS)})) OR (sep >= 2 AND sep >= 0.25 * n)
+            OR (n >= 20 AND NOT regexp_matches(line, {quoted(SENTENCE_MARKS)})) OR sep >= greatest(2, 0.25 * n)
             OR (n <= 3 AND lower(trim(line)) IN ({', '.join(map(quoted, NAVIGATION))}))) AS noise,
-        n > 0 AND n <= 40 AND regexp_matches(line, {quoted(BOILERPLATE)}) AS boiler FROM m),
+        n > 0 AND n <= 40 AND ({' OR '.join(f'contains(lower(line), {quoted(p)})' for p in BOILERPLATE)}) AS boiler FROM m),
 l AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
         count(*) FILTER (noise OR boiler) AS n_removed_lines, coalesce(sum(n) FILTER (noise OR boiler), 0) AS n_removed_words,
         coalesce(sum(n) FILTER (noise), 0) AS n_noise,
