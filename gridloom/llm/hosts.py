@@ -6,7 +6,7 @@ labels takes most of its rate from its domain, a domain from its suffix and a su
 is blocked when the lower posterior bound of its bad rate passes a threshold.
 
 Counts are pre-aggregated before every shuffle, so a host with a third of all pages costs one row per task;
-the two numbers of each level are one aggregated row.  Host verdicts go back to pages by an ordinary join
+the prior strengths are three aggregated numbers.  Host verdicts go back to pages by an ordinary join
 whose large partitions Spark can split.
 
 Defined cases: a null url or one without ``://`` has host and path '' (it counts as a host of its own); a page
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower
+from gridloom.llm.common import ascii_lower, written
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -71,22 +71,19 @@ def html_outcome(html: Column) -> Column:
     return F.when((words > 0) & (symbols * 4 >= words), 1).when((words >= 20) & (symbols * 50 <= words), 0)
 
 
-def _strength(level: DataFrame) -> DataFrame:
-    """One row: how many observations the prior of this level is worth, by the method of moments.
+def _strength(level: DataFrame) -> float:
+    """How many observations the prior of this level is worth, by the method of moments.
 
     With n labels and k bad ones per member and the parent's rate m: the excess of sum((k - n m)^2) over its
     binomial expectation measures the spread between members.
     """
     v = F.col("m") * (1 - F.col("m"))
     n, k = F.col("n"), F.col("k")
-    scaled = lambda x: F.round(x, 6).cast("decimal(38,6)")  # noqa: E731  exact sums do not depend on their order
-    sums = level.agg(F.sum(scaled((k - n * F.col("m")) * (k - n * F.col("m")))).alias("q"),
-                     F.sum(scaled(n * v)).alias("e"), F.sum(scaled(n * (n - 1) * v)).alias("d"))
-    rho = F.col("s.q").cast("double") - F.col("s.e").cast("double")
-    d = F.col("s.d").cast("double")
-    ratio = F.when(d > 0, rho / d).otherwise(0.0)
-    bounded = F.least(F.greatest(F.coalesce(ratio, F.lit(0.0)), F.lit(0.001)), F.lit(0.5))
-    return sums.select(F.struct("q", "e", "d").alias("s")).select(((1 - bounded) / bounded).alias("strength"))
+    scaled = lambda x: F.sum(F.round(x, 6).cast("decimal(38,6)"))  # noqa: E731  exact sums do not depend on their order
+    q, e, d = (float(x or 0) for x in level.agg(
+        scaled((k - n * F.col("m")) * (k - n * F.col("m"))), scaled(n * v), scaled(n * (n - 1) * v)).first())
+    rho = min(max((q - e) / d if d > 0 else 0.0, 0.001), 0.5)
+    return (1 - rho) / rho
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
@@ -94,22 +91,21 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = outcomes.groupBy("host").agg(
         F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k"))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = written(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    # One row; a mild prior keeps the rate inside (0, 1) when nothing is labelled.
-    whole = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("m"))
-
-    def shrink(level: DataFrame, parents: DataFrame, on: str | None) -> DataFrame:
-        # A join without key against one aggregated row adds a column, not rows.
-        j = level.join(parents, on) if on else level.crossJoin(F.broadcast(parents))
-        j = j.crossJoin(F.broadcast(_strength(j)))
-        return j.withColumn("a", F.col("k") + F.col("strength") * F.col("m")).withColumn(
-            "b", F.col("n") - F.col("k") + F.col("strength") * (1 - F.col("m")))
-
-    s = shrink(suffixes, whole, None).select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    d = shrink(domains, s, "suffix").select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    h = shrink(hosts, d, "domain")
+    n, k = (x or 0 for x in hosts.agg(F.sum("n"), F.sum("k")).first())
+
+    def shrink(level: DataFrame) -> DataFrame:
+        strength = _strength(level)
+        return level.withColumn("a", F.col("k") + strength * F.col("m")).withColumn(
+            "b", F.col("n") - F.col("k") + strength * (1 - F.col("m")))
+
     mean = F.col("a") / (F.col("a") + F.col("b"))
+    # A mild prior keeps the rate of the whole inside (0, 1) when nothing is labelled.
+    s = shrink(suffixes.withColumn("m", F.lit((k + 0.5) / (n + 1.0)))).select("suffix", mean.alias("m"))
+    d = shrink(domains.join(s, "suffix")).select("domain", mean.alias("m"))
+    h = shrink(hosts.join(d, "domain"))
     sd = F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
     return h.select("host", F.col("n").alias("n_labelled"), F.col("k").alias("n_bad"), mean.alias("bad_rate"),
                     (mean - z * sd).alias("bad_bound"))
