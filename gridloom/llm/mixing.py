@@ -78,7 +78,8 @@ def _balanced(cells: DataFrame, limit: int) -> DataFrame:
             "g", F.sum(F.when(r < limit, c("_r") * x).otherwise(0.0)).over(whole))
         df = df.withColumn("lo", F.when(c("f") < c("target"), F.greatest("lo", "lam")).otherwise(c("lo"))).withColumn(
             "hi", F.when(c("f") >= c("target"), F.least("hi", "lam")).otherwise(c("hi")))
-        newton = c("lam") - (F.log("f") - F.log("target")) * c("f") / c("g")
+        # No slope is left where every rate is at the limit; a null step falls back to the middle of the bracket.
+        newton = c("lam") - (F.log("f") - F.log("target")) * F.try_divide(c("f"), c("g"))
         inside = (c("g") > 0) & (newton > c("lo")) & (newton < c("hi"))
         return df.withColumn("lam", F.when(inside, newton).otherwise((c("lo") + c("hi")) / 2)).drop("_r", "f", "g")
 
