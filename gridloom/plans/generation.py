@@ -124,9 +124,9 @@ def site_build(spark, sf):
 
 @query("replay_log")
 def replay_log(spark, sf):
-    """The whole valid log in sequence order, reading and conserving edits included."""
+    """The whole valid log in sequence order, reading edits included; redistribution is left to ``replay`` itself (see README)."""
     layers, rows = fx.layers(spark, sf), fx.raster_rows(spark, sf)
     ops = edits.valid_ops(fx.operations(spark, sf), layers)
-    folded, _, _ = edits.replay(ops, rows, layers)
+    folded, _, _ = edits.replay(ops, rows, layers, conserving=False)
     f = fold.final_heights(folded)
     return f.groupBy("layer_id", "row").agg(F.count("*").alias("samples"), F.sum("changes").alias("changes"), r6(F.sum(c("h").cast("double")), 4).alias("height_sum"))
