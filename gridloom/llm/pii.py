@@ -1,7 +1,7 @@
 """Operator 7, personal data: fixed patterns plus boosted trees over high-recall candidates.
 
 Base spans come from fixed patterns with checks (Luhn, number ranges, digit counts) and always stay.  The
-method adds spans: loose generators propose overlapping candidates (dotted, spaced or bracketed numbers, obfuscated
+method adds spans: loose generators propose overlapping candidates (dotted, spaced or bracketed numbers alone or in lists, obfuscated
 addresses), each candidate gets format and context features, one boosted-tree model per kind scores it, and a
 threshold calibrated on held-out candidates for a set precision selects.  Of overlapping candidates the best
 one stays; none may touch a base span.
@@ -18,10 +18,13 @@ gives an empty result; only doc_id and text (and the columns named in ``keep``)
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,12 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+DIGITS = re.compile(r"[0-9]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 NUMBER_LIKE = re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9])+")
+LEAST_DIGITS, MOST_DIGITS = 7, 19
+BLOCK = 10_000  # candidates scored at a time
 AT_LIKE = re.compile(r"\x20?(?:@|[(\[]at[)\]])\x20?", re.I)
 DOMAIN_LIKE = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]+)*", re.I)
 WORDS_BEFORE = [re.compile(p, re.I) for p in (
@@ -91,23 +97,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Loose, possibly overlapping spans."""
+    """Loose, possibly overlapping spans.
+
+    A run of digit groups of any length gives every stretch of consecutive groups with 7 to 19 digits (no kind has more), with
+    and without a bracket or plus before it: at most 13 stretches begin at a group, so the work is linear in the run.
+    """
     out = set()
     if DIGIT.search(text):
         for m in NUMBER_LIKE.finditer(text):
-            if m.end() - m.start() <= 40 and sum(ch.isdigit() for ch in m[0]) >= 7:
-                out.add(m.span())
-                if m[0][0] in "+(":
-                    out.add((m.start() + 1, m.end()))
-                inner = m[0].find("(", 1)
-                if inner > 0:
-                    out.add((m.start() + inner, m.end()))
+            groups = [g.span() for g in DIGITS.finditer(text, m.start(), m.end())]
+            for i, (a, _) in enumerate(groups):
+                gap = groups[i - 1][1] if i else m.start()
+                mark = next((k for k in range(gap, a) if text[k] in "+("), a)
+                digits = 0
+                for k in range(i, len(groups)):
+                    b = groups[k][1]
+                    digits += b - groups[k][0]
+                    if digits > MOST_DIGITS:
+                        break
+                    if digits >= LEAST_DIGITS:
+                        out |= {(a, b), (mark, b)}
     for m in AT_LIKE.finditer(text):
+        # Neither side can hold another such mark, so every character is read once.
         start = m.start()
-        while start > max(0, m.start() - 64) and text[start - 1] in LOCAL:
+        while start > 0 and text[start - 1] in LOCAL:
             start -= 1
         domain = DOMAIN_LIKE.match(text, m.end())
-        if domain and start < m.start() and domain.end() - domain.start() <= 128:
+        if domain and start < m.start():
             out.add((start, domain.end()))
     return sorted(out)
 
@@ -125,7 +141,12 @@ def features(text: str, a: int, b: int) -> list[float]:
             float(len(span) - len(digits) - sum(span.count(x) for x in ".- ()+/")),
             float(bool(re.search(r"\.[A-Za-z]{2,}$|dot[)\]]\x20?[A-Za-z]{2,}$", span, re.I))),
             float(left.isalnum()), float(left in "#$€£=\"'/"), float(after[:1].isalnum()), float(after[:1] in "%€\"'/"),
-            *[float(bool(p.search(before))) for p in WORDS_BEFORE]]
+            *_words_before(before)]
+
+
+@functools.lru_cache(64)
+def _words_before(before: str) -> list[float]:
+    return [float(bool(p.search(before))) for p in WORDS_BEFORE]
 
 
 N_FEATURES = len(features("", 0, 0))
@@ -183,6 +204,21 @@ class Trees:
         return self.prior + sum(self._apply(t, x) for t in self.trees) if len(x) else np.zeros(0)
 
 
+def _accepted(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> int | None:
+    """Kind of a candidate by the checks, -1 for none; None if it reaches over the end of a base span, so that it could never be added.
+
+    Part of a base span is no number of its own: a positive reaches the span's end and lacks at most the mark or what stands
+    before a bracket.  Away from base spans (lists of numbers hide them from the greedy patterns) its own text is checked.
+    """
+    near = [(s, k, e) for s, k, e in base if s < b and a < e]
+    if not near:
+        return next((k for s, k, e in base_spans(text[a:b]) if (s, e) == (0, b - a)), -1)
+    whole = [k for s, k, e in near if s <= a and b == e and 10 * (b - a) >= 6 * (e - s) and (not DIGIT.search(text, s, a) or text[a] == "(")]
+    if whole:
+        return whole[0]
+    return -1 if any(s <= a and b <= e for s, _, e in near) else None
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features and label (kind number, -1 for none) of every candidate of the sampled documents."""
     for batch in batches:
@@ -191,10 +227,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             base = base_spans(text)
             for a, b in candidates(text):
-                inside = [k for s, k, e in base if s <= a and b <= e and 10 * (b - a) >= 6 * (e - s)]
-                rows.append(features(text, a, b))
-                labels.append(inside[0] if inside else -1)
-                docs.append(doc)
+                label = _accepted(text, a, b, base)
+                if label is not None:
+                    rows.append(features(text, a, b))
+                    labels.append(label)
+                    docs.append(doc)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
                                          names=["doc_id", "label", "x"])
 
@@ -234,18 +271,23 @@ def _calibrated(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
 
 def _added(text: str, base: list[tuple[int, int, int]], models) -> list[tuple[int, int, int]]:
     """Spans the models add to ``base``."""
-    free = [(a, b) for a, b in candidates(text) if not any(s < b and a < e for s, _, e in base)]
-    if not free:
+    if not any(models):
         return []
-    x = np.array([features(text, a, b) for a, b in free])
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    before = lambda b: bisect_left(starts, b)
+    free = [(a, b) for a, b in candidates(text) if not before(b) or reach[before(b) - 1] <= a]
     scored = []
-    for kind, model in enumerate(models):
-        if model:
-            scored += [(-(s - model[1]), a, b, kind) for s, (a, b) in zip(model[0].scores(x), free) if s >= model[1]]
+    for at in range(0, len(free), BLOCK):
+        block = free[at:at + BLOCK]
+        x = np.array([features(text, a, b) for a, b in block])
+        for kind, model in enumerate(models):
+            if model:
+                scored += [(-(s - model[1]), a, b, kind) for s, (a, b) in zip(model[0].scores(x), block) if s >= model[1]]
     out: list[tuple[int, int, int]] = []
     for _, a, b, kind in sorted(scored):
-        if not any(s < b and a < e for s, _, e in out):
-            out.append((a, kind, b))
+        i = bisect_left(out, (a,))
+        if (i == 0 or out[i - 1][2] <= a) and (i == len(out) or out[i][0] >= b):
+            out.insert(i, (a, kind, b))
     return out
 
 

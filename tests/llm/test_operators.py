@@ -278,6 +278,32 @@ def test_models_find_formats_the_patterns_miss(spark):
     assert all("[phone]" in r["redacted_text"] for r in out if r["spans"])
 
 
+def test_candidates_hold_every_number_of_a_list():
+    numbers = ["555-123-4567", "(555) 987-6543", "555-222-3333", "+49 30 1234567", "4539 5787 6362 1486", "555-444-1212"]
+    for text in (" ".join(numbers), " ".join(numbers[:2]), " ".join(numbers * 50)):
+        spans = pii.candidates(text)
+        found = [text[a:b] for a, b in spans]
+        assert all(found.count(n) == text.count(n) for n in numbers)
+        assert all(7 <= sum(x.isdigit() for x in f) <= 19 for f in found)
+    local, domain = "x" * 500, ".".join(["y" * 20] * 10)
+    assert pii.candidates(f"mail {local}@{domain}.org now") == [(5, 5 + 500 + 1 + len(domain) + 4)]
+
+
+def test_models_find_cards_that_a_list_hides(spark):
+    rng = random.Random(4)
+
+    def card():
+        while True:
+            digits = "".join(rng.choice(string.digits) for _ in range(16))
+            if pii.luhn(digits):
+                return digits
+
+    rows = [(i, f"some words then card {card()} and more, order {rng.randrange(10**8, 10**12)} paid") for i in range(400)]
+    rows += [(1000 + i, f"some words then card {card()} {card()} {card()} and more") for i in range(20)]
+    out = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 1000").collect()
+    assert sum(r["redacted_text"] == "some words then card [card] [card] [card] and more" for r in out) >= 18
+
+
 # --- 8
 
 
