@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridloom import fixtures as fx
@@ -103,8 +105,10 @@ def ephemeris_compare(spark, sf):
 
 
 # ------------------------------------------------------------------ skylines
+#: The SQL texts of horizon_near and horizon_far cover this much; queries without SQL take the operator's whole range.
 NEAR_RANGE, NEAR_BINS = 12.0, 8
 FAR_RANGE, FAR_BINS = 1500.0, 8
+WHOLE_BINS, WHOLE_FAR = 360, 100_000.0
 _LADDER = lambda steps: "(VALUES " + ",".join(f"({i},{s!r}::DOUBLE)" for i, s in enumerate(steps)) + ") l(step,dist)"
 _OBS = "SELECT id, 'context-0' AS layer_id, x, z FROM points"
 _NEAR = dict(
@@ -123,18 +127,23 @@ _FAR = dict(
       count_if((cut IS NULL OR step<cut) AND h IS NULL) AS no_data FROM (SELECT *, min(CASE WHEN outside THEN step END) OVER (PARTITION BY id, bin) AS cut FROM (SELECT fray.*, fh.h, x<0 OR z<0 OR x>63 OR z>n-1 AS outside FROM fray JOIN fh USING (pid))) GROUP BY id, bin""")
 
 
-def near_skyline(spark, sf):
+def near_skyline(spark, sf, bins=NEAR_BINS, reach=NEAR_RANGE):
     obs = fx.points(spark, sf).select(c("id").alias("observer_id"), F.lit("context-0").alias("layer_id"), "x", "z")
-    return horizon.near_skyline(obs, fx.with_holes(fx.raster_rows(spark, sf)), fx.layers(spark, sf), NEAR_BINS, 0.25, NEAR_RANGE)
+    return horizon.near_skyline(obs, fx.with_holes(fx.raster_rows(spark, sf)), fx.layers(spark, sf), bins, 0.25, reach)
+
+
+def whole_near(spark, sf):
+    """Diagonal of the near layer."""
+    return math.hypot(fx.WIDTH, fx.raster_height(spark, sf)) * 0.25
 
 
-def far_skyline(spark, sf):
+def far_skyline(spark, sf, bins=FAR_BINS, reach=FAR_RANGE):
     k = c("s_suppkey")
     o = fx.table(spark, sf, "supplier").select(k.alias("observer_id"), ((k % 40 - 20) * 30.0 + 7).alias("ox"),
                                                (((k * 7) % 100 - 50) * 40.0 + 3).alias("oy"), ((k % 5) / 10.0).alias("radial"))
     lat, lon = geo.polar_inverse(c("ox"), c("oy"), F.lit(True))
     o = o.select("observer_id", lat.alias("lat"), lon.alias("lon"), "radial")
-    return horizon.far_skyline(o, fx.with_holes(fx.raster_rows(spark, sf)), fx.raster_height(spark, sf), fx.WIDTH, "context-0", FAR_BINS, 20.0, FAR_RANGE)
+    return horizon.far_skyline(o, fx.with_holes(fx.raster_rows(spark, sf)), fx.raster_height(spark, sf), fx.WIDTH, "context-0", bins, 20.0, reach)
 
 
 @query("horizon_near", with_ctes(f"SELECT id AS observer_id, bin, {rnd('angle', 5)} AS angle_deg FROM near", "points", "layers", "holes", **_NEAR))
@@ -150,7 +159,9 @@ def horizon_far(spark, sf):
 
 @query("horizon_merge")
 def horizon_merge(spark, sf):
-    return horizon.merge(near_skyline(spark, sf), far_skyline(spark, sf)).withColumn("angle_deg", r6("angle_deg", 5))
+    """Both skylines over the whole range: 360 bins, near to the layer's diagonal, far to 100 km."""
+    near = near_skyline(spark, sf, WHOLE_BINS, whole_near(spark, sf))
+    return horizon.merge(near, far_skyline(spark, sf, WHOLE_BINS, WHOLE_FAR)).withColumn("angle_deg", r6("angle_deg", 5))
 
 
 _SUN = "SELECT event_id AS ord, (event_id*13%3600)/1e1 AS az, value/1e1-4 AS el FROM events"
@@ -174,7 +185,7 @@ def sunlit_stats(spark, sf):
 @query("site_illumination")
 def site_illumination(spark, sf):
     """Skyline of the supplier sites joined to the sun at every order date: sunlit statistics per site."""
-    sky = horizon.profiles(far_skyline(spark, sf))
+    sky = horizon.profiles(far_skyline(spark, sf, WHOLE_BINS, WHOLE_FAR))
     k = c("s_suppkey")
     sites = fx.table(spark, sf, "supplier").select(k.alias("observer_id"), ((k % 40 - 20) * 30.0 + 7).alias("ox"), (((k * 7) % 100 - 50) * 40.0 + 3).alias("oy"))
     lat, lon = geo.polar_inverse(c("ox"), c("oy"), F.lit(True))
