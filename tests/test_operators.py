@@ -152,6 +152,20 @@ def test_replay_gives_conserving_edits_back_in_order(spark):
     np.testing.assert_allclose(np.array([r["heights"] for r in got]), want, atol=4e-7)
 
 
+def test_replay_log_gives_conserving_edits_back(spark, monkeypatch):
+    from gridloom.plans import generation
+
+    seen, cols = [], "layer_id string, row long, col int, seq long, after float"
+
+    def replay(ops, rows, layers, conserving=True):
+        seen.append((conserving, ops.where("mass_conserving").isEmpty()))
+        return spark.createDataFrame([("a", 0, 0, 1, 1.0)], cols), 1, None
+
+    monkeypatch.setattr(edits, "replay", replay)
+    generation.replay_log(spark, "/root/testdata/sf0.001")
+    assert seen == [(True, False)]
+
+
 def test_replay_rejects_an_edit_over_missing_ground_as_a_whole(spark):
     layers, rows = flat_layer(spark, 25, 0.25)
     holed = rows.withColumn("heights", F.when(c("row") == 12, F.transform("heights", lambda v, i: F.when(i != 12, v))).otherwise(c("heights")))
