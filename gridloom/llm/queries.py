@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, fixity, hosts, line_dedup, mixing, near_dup, pii, quality, secrets
+from gridloom.llm import (
+    chat, decontaminate, divergence, fingerprint, fixity, hosts, line_dedup, mixing, near_dup, phrases, pii, quality, secrets,
+)
 from gridloom.llm.common import table
 from gridloom.llm.sql import TEXTS
 
@@ -66,6 +68,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), fingerprint.as_text(c("sketch")).alias("fingerprint"),
+        fingerprint.as_text(c("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "n_distinct", "kept_share")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,5 +90,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries():
     jobs = [op1_quality_rules, op2_line_dedup, op3_mixing, op4_decontaminate, op5_near_dup, op6_chat_format, op7_pii,
-            op8_warc_fixity, op9_secrets, op10_url_filter, pipeline]
+            op8_warc_fixity, op9_secrets, op10_url_filter, op11_source_divergence, op12_fingerprints, op13_phrases, pipeline]
     return {job.__name__: job for job in jobs}, TEXTS

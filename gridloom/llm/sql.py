@@ -5,6 +5,7 @@ They take the plain way: all windows, all shared shingles, all prefixes, without
 
 from __future__ import annotations
 
+from gridloom.llm.fingerprint import K
 from gridloom.llm.fixity import RECORDS_PER_FILE
 from gridloom.llm.hosts import RULES, SECOND_LEVEL
 from gridloom.llm.line_dedup import MIN_WORDS
@@ -173,7 +174,69 @@ SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN r - 1.645 * sqrt
 FROM j JOIN h4 ON h4.host = j.host"""
 
 
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOW.format("coalesce(text, '')")} AS t FROM documents),
+w AS MATERIALIZED (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+cell AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+cs AS (SELECT lang, source, sum(n) AS n FROM cell GROUP BY ALL),
+grp AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(n, 0)::HUGEINT AS n FROM g LEFT JOIN v ON v.lang = g.lang LEFT JOIN cs ON cs.lang = g.lang AND cs.source = g.source),
+p AS MATERIALIZED (SELECT grp.lang, grp.source, k.term, coalesce(cell.n, 0) AS c, (1 + (1000000000::HUGEINT * (coalesce(cell.n, 0) + 5)) // (grp.n + 5 * v))::BIGINT AS p
+      FROM grp JOIN k ON k.lang = grp.lang LEFT JOIN cell ON cell.lang = grp.lang AND cell.source = grp.source AND cell.term = k.term),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+      FROM cell GROUP BY lang, term),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q)::BIGINT AS value FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE c > 0 AND p > q),
+both_ AS (SELECT * FROM pair UNION ALL SELECT * FROM term)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM both_ QUALIFY part = 'pair' OR rank <= 50"""
+
+_SKETCH = f"""list_sort(list_distinct(list_transform(range(1, greatest(len({{0}}) - 4, least(len({{0}}), 1)) + 1),
+        lambda i: md5(array_to_string({{0}}[i:i + 4], ' '))[1:16])))[1:{K}]"""
+_LIKE = f"""CASE WHEN len({{0}}) + len({{1}}) = 0 THEN 1.0 ELSE len(list_filter(list_sort(list_distinct(list_concat({{0}}, {{1}})))[1:{K}],
+        lambda z: list_contains({{0}}, z) AND list_contains({{1}}, z)))::DOUBLE / len(list_sort(list_distinct(list_concat({{0}}, {{1}})))[1:{K}]) END"""
+_SIZE = f"CASE WHEN len({{0}}) < {K} THEN len({{0}})::DOUBLE ELSE {K - 1} / ((('0x' || {{0}}[-1][1:13])::BIGINT::DOUBLE + 1) / {float(2**52)}) END"
+
+FINGERPRINTS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h FROM documents),
+o AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nxt FROM d WHERE doc_id IS NOT NULL WINDOW w AS (ORDER BY doc_id, h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+      UNION ALL SELECT NULL, t, '' FROM d WHERE doc_id IS NULL),
+e AS (SELECT doc_id, t, nxt, substring(t, 1, length(t) - length(t) // 2) || substring(nxt, 1, length(t) // 2) AS ed FROM o),
+w AS (SELECT doc_id, t, ed, regexp_extract_all({LOW.format("t")}, '{WORD}') AS wt, regexp_extract_all({LOW.format("nxt")}, '{WORD}') AS wn,
+        regexp_extract_all({LOW.format("ed")}, '{WORD}') AS we FROM e),
+s AS (SELECT doc_id, t, ed, {_SKETCH.format("wt")} AS a, {_SKETCH.format("wn")} AS b, {_SKETCH.format("we")} AS x FROM w),
+r AS (SELECT *, list_sort(list_distinct(list_concat(a, x)))[1:{K}] AS u, {_LIKE.format("a", "x")} AS near_edited, {_LIKE.format("a", "b")} AS near_next FROM s)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(x, '') AS edited_fingerprint,
+  near_edited, near_next, {_SIZE.format("a")} AS n_distinct,
+  CASE WHEN len(a) > 0 THEN least(1.0, near_edited * ({_SIZE.format("u")}) / ({_SIZE.format("a")})) ELSE 1.0 END AS kept_share FROM r"""
+
+PHRASES = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOW.format("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS m)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY ALL),
+cand AS MATERIALIZED (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
+often AS MATERIALIZED (SELECT * FROM f WHERE a >= 30),
+cut AS (SELECT cd.lang, cd.phrase, cd.m, cd.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * cd.a) // (x.a + y.a))::BIGINT AS score
+        FROM cand cd JOIN (SELECT unnest(range(1, 4)) AS k) ON k < cd.m
+        JOIN often x ON x.lang = cd.lang AND x.m = k AND x.phrase = array_to_string(ws[1:k], ' ')
+        JOIN often y ON y.lang = cd.lang AND y.m = cd.m - k AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase, m ORDER BY score, k) = 1),
+part AS (SELECT lang, s, unnest(list_transform(range(1, len(ws) - s + 2), lambda i: array_to_string(ws[i:i + s - 1], ' '))) AS phrase, a
+         FROM cand, (SELECT unnest(range(2, 4)) AS s) WHERE s < m),
+inside AS (SELECT lang, s, phrase, max(a) AS longer FROM part GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND s = m AND inside.phrase = best.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, k::INT AS k
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000"""
+
 TEXTS: dict[str, str] = {
     "op1_quality_rules": QUALITY, "op2_line_dedup": LINES, "op4_decontaminate": BENCHMARK, "op5_near_dup": NEAR, "op6_chat_format": CHAT,
     "op8_warc_fixity": FIXITY, "op9_secrets": _secrets(), "op10_url_filter": _hosts(),
+    "op11_source_divergence": DIVERGENCE, "op12_fingerprints": FINGERPRINTS, "op13_phrases": PHRASES,
 }
