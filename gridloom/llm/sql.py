@@ -223,10 +223,10 @@ f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY ALL),
 cand AS MATERIALIZED (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
 often AS MATERIALIZED (SELECT * FROM f WHERE a >= 30),
-cut AS (SELECT cd.lang, cd.phrase, cd.m, cd.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * cd.a) // (x.a + y.a))::BIGINT AS score
-        FROM cand cd JOIN (SELECT unnest(range(1, 4)) AS k) ON k < cd.m
-        JOIN often x ON x.lang = cd.lang AND x.m = k AND x.phrase = array_to_string(ws[1:k], ' ')
-        JOIN often y ON y.lang = cd.lang AND y.m = cd.m - k AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+cuts AS (SELECT lang, phrase, ws, m, a, unnest(range(1, m)) AS k FROM cand),
+ends AS MATERIALIZED (SELECT lang, phrase, m, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM cuts),
+cut AS (SELECT e.lang, e.phrase, e.m, e.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * e.a) // (x.a + y.a))::BIGINT AS score
+        FROM ends e JOIN often x ON x.lang = e.lang AND x.phrase = head JOIN often y ON y.lang = e.lang AND y.phrase = tail),
 best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase, m ORDER BY score, k) = 1),
 part AS (SELECT lang, s, unnest(list_transform(range(1, len(ws) - s + 2), lambda i: array_to_string(ws[i:i + s - 1], ' '))) AS phrase, a
          FROM cand, (SELECT unnest(range(2, 4)) AS s) WHERE s < m),
