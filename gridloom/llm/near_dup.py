@@ -7,10 +7,10 @@
 3. Documents that share a band key are candidates.  First each is compared with the smallest document of its
    bucket only: bit counts estimate the similarity, corrected for chance collisions, pairs clearly below the
    limit go, and the rest is decided on full sets.  These links already give nearly all components.
-4. What remains are pairs inside a bucket that these links do not connect yet.  Buckets that hold such pairs are cut
-   into blocks of bounded size, each pair of blocks is a task's work, signatures drop clear misses, and the
-   others are decided on full sets.  Pairs already connected need no look, so a large group of near copies costs
-   little more than its size, and no link that could join two groups is lost.
+4. What remains are pairs inside a bucket that the components of these links do not connect.  A bucket's largest
+   component are its hosts, everyone else is a guest; guests meet guests and hosts chunk by chunk (``block_rows``),
+   signatures drop clear misses, and the others are decided on full sets.  Pairs already connected need no look, so a
+   large group of near copies costs little more than its size, and no link that could join two groups is lost.
 
 A pair at exactly the limit shares no band with probability (1 - 0.75^4)^48 = 1e-8; the estimate drops it with
 3e-7 (five standard deviations).
@@ -217,16 +217,26 @@ def _decided(percent: int):
     return run
 
 
-def _labels(edges: DataFrame, jumps: int = 2) -> DataFrame:
-    """(doc, label): a document each end of an edge is surely connected with, the smallest that a few steps reach.
+def block_rows(labelled: DataFrame) -> DataFrame:
+    """Rows (key, band, i, j, chunk, ...) that bring members of a bucket with different labels together.
 
-    Only a shortcut: pairs with one label need no comparison, pairs with different labels may still be connected.
+    ``labelled`` has band, key, doc, label and what a comparison needs.  The members with a bucket's most common label
+    are its hosts and never meet each other; the others are guests.  Both are cut into chunks of about ``BLOCK``, and a
+    chunk of guests meets every chunk, so a bucket sends hosts x guest chunks + guests x chunks rows: its own size
+    while the guests fit one chunk.
     """
-    label = edges.groupBy(c("u").alias("doc")).agg(F.min("v").alias("label"))
-    for _ in range(jumps):
-        further = label.select(c("doc").alias("label"), c("label").alias("_next"))
-        label = label.join(further, "label", "left").select("doc", F.coalesce("_next", "label").alias("label"))
-    return label
+    labelled = labelled.repartition("band", "key")
+    labels = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("_n"))
+    # Larger labels first, then smaller ones: the choice only decides who is a host.
+    mixed = labels.groupBy("band", "key").agg(
+        F.max(F.struct("_n", (-c("label")).alias("_less"))).alias("_top"), F.sum("_n").alias("_all"), F.count("*").alias("_labels")).where("_labels > 1")
+    mixed = mixed.select("band", "key", (-c("_top._less")).alias("_host"), F.ceil(c("_top._n") / BLOCK).cast("int").alias("_h"),
+                         F.ceil((c("_all") - c("_top._n")) / BLOCK).cast("int").alias("_g"))
+    host = c("label") == c("_host")
+    place = F.when(host, c("_g") + F.pmod(F.hash("doc"), c("_h"))).otherwise(F.pmod(F.hash("doc"), c("_g")))
+    meets = F.when(host, c("_g")).otherwise(c("_g") + c("_h"))
+    spread = labelled.join(mixed, ["band", "key"]).withColumn("chunk", place).withColumn("_o", F.explode(F.sequence(F.lit(0), meets - 1)))
+    return spread.withColumns({"i": F.least("chunk", "_o"), "j": F.greatest("chunk", "_o")}).drop("_host", "_h", "_g", "_o")
 
 
 def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -251,20 +261,21 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFra
         100 * both >= percent * (c("nu") + c("nv") - both)).select("u", "v")
     first = written(first, "first")
 
-    labelled = members.join(written(_labels(first), "labels"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    labelled = labelled.repartition("band", "key")
-    mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
-    chunks = F.ceil(c("size") / BLOCK).cast("int")
-    spread = labelled.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.hash("doc"), chunks)).withColumn(
-        "o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    spread = spread.select("key", "band", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "doc", "label")
+    # Exact components of the star links: only documents that they leave apart still have to meet.
+    joined = written(components(first), "joined")
+    labelled = members.select("band", "key", "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
+        "label", F.coalesce("component", "doc")).drop("component")
+    labelled = written(labelled, "labelled")
     block = ["key", "band", "i", "j"]
-    asked = spread.join(sig, "doc").repartition(*block).sortWithinPartitions(*block).mapInArrow(
+    # A signature is looked up once per member of a mixed bucket, before its rows are dealt to chunks.
+    open_buckets = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
+    opened = labelled.join(open_buckets, ["band", "key"], "left_semi").join(sig, "doc")
+    asked = block_rows(opened).select(*block, "chunk", "doc", "label", "n", "sig").repartition(*block).sortWithinPartitions(*block).mapInArrow(
         _open_pairs(floor, percent), "key long, band int, i int, j int, doc long, partners array<long>")
     asked = written(asked, "asked")
     more = full_sets(docs, asked.select("doc").distinct(), size)
     second = asked.join(more, "doc").repartition(*block).sortWithinPartitions(*block).mapInArrow(_decided(percent), "u long, v long")
-    return components(first.union(second))
+    return components(joined.where("node <> component").select(c("node").alias("u"), c("component").alias("v")).union(second))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
