@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from gridloom.llm.common import written
 
 ORDER = 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RANGE_WINDOWS = 2_000_000
 SAMPLE_DOCS, SAMPLE_STEP = 4_000, 64
 
@@ -329,7 +329,7 @@ def phrases(docs: DataFrame, least: int = 30, top: int = 2000, percent: int = 80
         F.array_min(F.array_compact(F.array(*(cut(k) for k in (1, 2, 3))))).alias("cut"))
     kept = best.where(c("longer").cast("decimal(20,0)") * 100 < c("a").cast("decimal(20,0)") * percent)
     order = Window.partitionBy("_lang").orderBy(c("score").desc(), c("a").desc(), "phrase")
-    ranked = kept.select("_lang", "phrase", "a", "cut.*").withColumn("rank", F.row_number().over(order).cast("long")).where(c("rank") <= top)
+    ranked = kept.select("_lang", "phrase", "a", "cut.*").withColumn("rank", F.row_number().over(order)).where(c("rank") <= top)
     lang = F.replace(F.replace(c("_lang"), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
-    return ranked.join(totals, "_lang").select(lang.alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score", "k")
+    return ranked.join(totals, "_lang").select(lang.alias("lang"), c("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "k")
 
