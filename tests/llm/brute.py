@@ -149,3 +149,65 @@ def snapshots(turns):
 
 def copies_of(rows):
     return Counter(map(tuple, rows))
+
+
+def divergence(rows, least=30, top=50):
+    """(lang, source, part, item, value, rank) from (text, lang, source) rows, term by term."""
+    pattern = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    rows = [(pattern.findall(low(t)), g or "", s or "") for t, g, s in rows]
+    out = set()
+    for lang in {g for _, g, _ in rows}:
+        docs, uses, sources = Counter(), defaultdict(Counter), {s for _, g, s in rows if g == lang}
+        for w, g, s in rows:
+            if g == lang:
+                docs.update(set(w))
+                uses[s].update(w)
+        kept = [t for t in docs if docs[t] >= least]
+        whole = Counter({t: sum(uses[s][t] for s in sources) for t in kept})
+
+        def shares(count):
+            n = sum(count[t] for t in kept)
+            return {t: 1 + 10**9 * (count[t] + 5) // (n + 5 * len(kept)) for t in kept}
+
+        p, q = {s: shares(uses[s]) for s in sources}, shares(whole)
+        for s in sources:
+            pairs = sorted(((-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode(), o) for o in sources - {s}))
+            out |= {(lang, s, "pair", o, -v, i) for i, (v, _, o) in enumerate(pairs, 1)}
+            terms = sorted((q[t] - p[s][t], t.encode(), t) for t in kept if uses[s][t] and p[s][t] > q[t])
+            out |= {(lang, s, "term", t, -v, i) for i, (v, _, t) in enumerate(terms[:top], 1)}
+    return out
+
+
+def sketch(text, k=64):
+    w = SPACED.findall(low(text))
+    parts = {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return sorted(hashlib.md5(x.encode()).hexdigest()[:16] for x in parts)[:k]
+
+
+def likeness(a, b, k=64):
+    union = sorted(set(a) | set(b))[:k]
+    return len(set(union) & set(a) & set(b)) / len(union) if union else 1.0
+
+
+def phrases(rows, least=30, top=2000, percent=80):
+    """(lang, rank, phrase, a, l, r, n, score) from (text, lang) rows; containment is tried against every longer candidate."""
+    count, total = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0A-\x0D]", low(text)):
+            w = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for m in range(1, 5):
+                count[lang].update(tuple(w[i:i + m]) for i in range(len(w) - m + 1))
+    out = set()
+    for lang, f in count.items():
+        cand = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p, a in cand.items():
+            inside = (x for q, x in cand.items() if len(q) > len(p) and any(q[i:i + len(p)] == p for i in range(len(q))))
+            if any(100 * x >= percent * a for x in inside):
+                continue
+            score, k = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out |= {(lang, i, p.decode(), -a, x, y, total[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(rows)[:top], 1)}
+    return out

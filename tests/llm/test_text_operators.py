@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, fixity, graph, hosts, line_dedup, mixing, near_dup, pii, quality, secrets, tokens
+from gridloom.llm import (
+    chat, decontaminate, divergence, fingerprint, fixity, graph, hosts, line_dedup, mixing, near_dup, phrases, pii, quality, secrets, tokens,
+)
 
 
 def sha(text):
@@ -402,3 +404,105 @@ def test_reputation_shrinks_to_the_parents(spark):
 def test_registered_domains(spark):
     df = spark.createDataFrame([("a.b.co.uk",), ("www.x.com",), ("com",), ("",)], "h string")
     assert [r[0] for r in df.select(hosts.registered_domain(F.col("h"))).collect()] == ["b.co.uk", "x.com", "com", ""]
+
+
+def test_blocks_grow_with_a_group_not_with_its_square(spark):
+    """One bucket of near copies with a few documents left apart: rows asked stay a fixed multiple of its size."""
+    per = {}
+    for n in (600, 1200, 2400):
+        rows = [(0, 7, i, 0 if i % 50 else i) for i in range(n)]
+        got = near_dup.block_rows(spark.createDataFrame(rows, "band int, key long, doc long, label long")).collect()
+        hosts, guests = n - n // 50 + 1, n // 50 - 1
+        cells = {(r["i"], r["j"]) for r in got}
+        assert cells and all(i == 0 for i, _ in cells)
+        per[n] = len(got)
+        met = {(r["i"], r["j"]): {x["doc"] for x in got if (x["i"], x["j"]) == (r["i"], r["j"])} for r in got}
+        guest_docs = {d for _, _, d, label in rows if label}
+        for g in guest_docs:  # a guest meets everybody outside its label
+            assert set().union(*(v for v in met.values() if g in v)) >= {d for _, _, d, _ in rows}
+        assert len(got) <= hosts + guests * (1 + -(-hosts // near_dup.BLOCK))
+    assert per[2400] < 4.4 * per[600]
+
+
+# --- 11
+
+
+def test_divergence_equals_a_plain_count(spark, awkward, awkward_rows):
+    rng = random.Random(11)
+    words = [w for w in "alpha beta GAMMA delta Ünï x y z no1se über a-b".split()]
+    rows = [(" ".join(rng.choice(words[:4 + i % 7]) for _ in range(rng.randrange(9))), rng.choice(["en", "de", None]), rng.choice(["a", "b", "é", None, "Z"]))
+            for i in range(300)]
+    rows += [("", "xx", "only"), (None, "xx", "other"), (None, None, None), ("rare words", "en", "empty of kept")]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)
+    for least, top in ((12, 3), (1, 50), (10_000, 5)):
+        got = {tuple(r) for r in divergence.divergence(docs, least, top).select("lang", "source", "part", "item", "value", "rank").collect()}
+        assert got == brute.divergence(rows, least, top)
+    got = {tuple(r) for r in divergence.divergence(awkward, 3, 5).select("lang", "source", "part", "item", "value", "rank").collect()}
+    assert got == brute.divergence([(r[1], r[2], r[3]) for r in awkward_rows], 3, 5)
+
+
+def test_divergence_of_many_sources(spark, empty):
+    rows = [(f"w{i % 5} w{i % 3} common", "en", f"s{i % 11}") for i in range(110)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    assert {tuple(r) for r in divergence.divergence(docs, 2).collect()} == brute.divergence(rows, 2)
+    assert divergence.divergence(empty).count() == 0
+
+
+# --- 12
+
+
+def test_fingerprints_equal_plain_sets(spark, awkward, awkward_rows):
+    rows = [(d, t or "") for d, t, *_ in awkward_rows]
+    placed = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], hashlib.md5(r[1].encode()).hexdigest()))
+    want = []
+    for i, (d, t) in enumerate(placed):
+        n = placed[(i + 1) % len(placed)][1]
+        e = t[:len(t) - len(t) // 2] + n[:len(t) // 2]
+        a, b, x = brute.sketch(t), brute.sketch(n), brute.sketch(e)
+        want.append((d, len(t), e, "".join(a), "".join(x), brute.likeness(a, x), brute.likeness(a, b)))
+    for d, t in rows:
+        if d is None:
+            e = t[:len(t) - len(t) // 2]
+            a, x = brute.sketch(t), brute.sketch(e)
+            want.append((d, len(t), e, "".join(a), "".join(x), brute.likeness(a, x), brute.likeness(a, [])))
+    got = fingerprint.fingerprints(awkward).select(
+        "doc_id", "n_chars", "edited_text", fingerprint.as_text(F.col("sketch")), fingerprint.as_text(F.col("edited_sketch")), "near_edited", "near_next").collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_sketches_merge_and_estimate(spark, empty):
+    assert fingerprint.fingerprints(empty).count() == 0
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(3000)]
+    texts = [(0, " ".join(base[:2000])), (1, " ".join(base[1000:])), (1, " ".join(base[:40])), (2, ""), (2, None), (None, " ".join(base[:9]))]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(texts, "k int, text string").withColumn("sketch", fingerprint.sketch(F.col("text")))
+    groups = {r["k"]: r["sketch"] for r in fingerprint.group_sketches(docs, ["k"]).collect()}
+    parts = {k: sorted({h for g, t in texts if g == k for h in brute.sketch(t, 10**9)})[:64] for k in (0, 1, 2, None)}
+    assert groups == parts
+    pair = spark.createDataFrame([(groups[0], groups[1])], "a array<string>, b array<string>").select(
+        fingerprint.resemblance(F.col("a"), F.col("b")), fingerprint.containment(F.col("a"), F.col("b")),
+        fingerprint.distinct_count(F.col("a")), fingerprint.from_text(fingerprint.as_text(F.col("a"))), "a").first()
+    assert abs(pair[0] - 1 / 3) < 0.2 and abs(pair[1] - 1 / 2) < 0.25 and abs(pair[2] / 1996 - 1) < 0.4 and pair[3] == pair[4]
+
+
+# --- 13
+
+
+def test_phrases_equal_a_plain_count(spark, awkward, awkward_rows, empty):
+    rng = random.Random(13)
+    words = ["new", "York", "of", "the", "\x01", "a\x00", "naïve", "x", "the"]
+    rows = []
+    for i in range(200):
+        parts = [rng.choice(["new york city hall", "of the", "in spite of the", *words]) for _ in range(rng.randrange(12))]
+        rows.append((rng.choice([" ", "  ", "\t", ", ", "\n"]).join(parts), rng.choice(["en", "e\nn\\", None, "und", ""])))
+    rows += [(None, "en"), ("", None), ("a " * 500, "en"), ("b " * 300, "zz")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    for least, top in ((5, 2000), (2, 7), (1000, 5)):
+        got = [tuple(r) for r in phrases.phrases(docs, least, top).select(*columns).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute.phrases(rows, least, top)
+    got = {tuple(r) for r in phrases.phrases(awkward, 3).select(*columns).collect()}
+    assert got == brute.phrases([(r[1], r[2]) for r in awkward_rows], 3)
+    assert phrases.phrases(empty).count() == 0
