@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["raster", "edits", "features", "integrity", "sky", "consumers", "generation", "streams"]
+MODULES = ["raster", "edits", "features", "integrity", "sky", "consumers", "generation", "streams", "files"]
 
 
 def all_queries():

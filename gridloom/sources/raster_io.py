@@ -1,49 +1,23 @@
-"""Raster files: raw float32 and int16 records in, Parquet rows in and out.
-
-Fixed-length records are split by Spark itself, one record per raster row, so no file is read whole.
-"""
+"""Raster files: raw float32 and int16 products, Parquet rows, manifests."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def _records(spark: SparkSession, path: str, record_bytes: int) -> DataFrame:
-    """Binary records with their index in the file order."""
-    rdd = spark.sparkContext.binaryRecords(path, record_bytes).zipWithIndex().map(lambda p: (p[1], bytearray(p[0])))
-    return spark.createDataFrame(rdd, "row long, payload binary")
-
 
-def _decode(dtype: str, scale: float, missing: int | None):
-    def run(batches):
-        for b in batches:
-            blobs = b.column("payload")
-            data = np.frombuffer(b"".join(v.as_py() for v in blobs), dtype=dtype)
-            values = data.astype(np.float64) * scale
-            bad = np.isnan(values) if missing is None else data == missing
-            flat = pa.array(values.astype(np.float32), mask=bad)
-            size = len(data) // max(1, b.num_rows)
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * size)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.ListArray.from_arrays(offsets, flat)], names=["row", "heights"])
-
-    return run
+from gridloom.sources.raw_raster import read_raw
 
 
 def read_float32(spark: SparkSession, path: str, width: int, layer_id: str) -> DataFrame:
     """Row-major little-endian float32 raster; NaN becomes null."""
-    return _records(spark, path, width * 4).mapInArrow(_decode("<f4", 1.0, None), "row long, heights array<float>").withColumn(
-        "layer_id", F.lit(layer_id))
+    return read_raw(spark, path, width, layer_id)
 
 
 def read_int16(spark: SparkSession, path: str, width: int, layer_id: str, little_endian: bool = True, signed: bool = True,
                scale: float = 1.0, missing: int | None = None) -> DataFrame:
     """Fixed-length 16-bit product with scale factor and missing constant."""
-    dtype = ("<" if little_endian else ">") + ("i2" if signed else "u2")
-    return _records(spark, path, width * 2).mapInArrow(_decode(dtype, scale, missing), "row long, heights array<float>").withColumn(
-        "layer_id", F.lit(layer_id))
+    return read_raw(spark, path, width, layer_id, dtype="i2" if signed else "u2", endian="little" if little_endian else "big",
+                    scale=scale, missing=missing)
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
@@ -55,16 +29,8 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and SHA-256 of every file below a folder; empty files are not available."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        "path", F.col("length").alias("bytes"), (F.col("length") > 0).alias("available"), F.sha2("content", 256).alias("sha256"))
-
-
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Manifest records; a missing one gives a single failed check instead of an error."""
-    from pyspark.errors import AnalysisException
-
     try:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
     except AnalysisException:
