@@ -6,39 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import half_up, row_bands
-from gridloom.session import dimension_rows
 
 c = F.col
 GRID = ("res", "width", "height", "min_x", "min_z")
 
 
+def cell_level(layers: DataFrame) -> DataFrame:
+    """Add ``level``: the power of two a quarter of which is at most the layer's longer side, the cell size it is spread over."""
+    side = F.greatest(c("max_x") - c("min_x"), c("max_z") - c("min_z"))
+    return layers.withColumn("level", F.when(side > 0, F.ceil(F.log2(side)).cast("int") - 2).otherwise(0))
+
+
+def layer_cells(layers: DataFrame) -> DataFrame:
+    """(level, gx, gz, found): per cell the layers a point in it may lie on, as structs that compare by fineness.
+
+    A layer meets at most six cells each way.  The finest layer that covers a whole cell hides every coarser one
+    there, so stacks of layers leave one entry a cell and only borders of finer layers stay beside it.
+    """
+    size = F.pow(F.lit(2.0), c("level"))
+    spread = cell_level(layers).withColumn("cell", size).withColumn(
+        "gx", F.explode(F.sequence(F.floor(c("min_x") / c("cell")), F.floor(c("max_x") / c("cell"))))).withColumn(
+        "gz", F.explode(F.sequence(F.floor(c("min_z") / c("cell")), F.floor(c("max_z") / c("cell")))))
+    whole = ((c("min_x") <= c("gx") * c("cell")) & (c("max_x") >= (c("gx") + 1) * c("cell"))
+             & (c("min_z") <= c("gz") * c("cell")) & (c("max_z") >= (c("gz") + 1) * c("cell")))
+    entry = F.struct("res", "ordinal", "layer_id", "min_x", "max_x", "min_z", "max_z")
+    spread = spread.select("level", "gx", "gz", entry.alias("e"), whole.alias("whole"))
+    hides = spread.where("whole").groupBy("level", "gx", "gz").agg(F.min("e").alias("cover"))
+    shown = spread.join(hides, ["level", "gx", "gz"], "left").where(c("cover").isNull() | (c("e") <= c("cover")))
+    return shown.groupBy("level", "gx", "gz").agg(F.collect_list("e").alias("found"))
+
+
 def finest_layer(points: DataFrame, layers: DataFrame, name: str = "layer_id") -> DataFrame:
-    """Add the finest layer that covers ``x, z``; the earlier layer wins a tie, none gives null."""
-    rows = dimension_rows(layers)
-    if rows is not None:
-        chain = F.lit(None).cast("string")
-        for r in sorted(rows, key=lambda r: (r["res"], r["ordinal"]), reverse=True):
-            inside = (c("x").between(r["min_x"], r["max_x"])) & (c("z").between(r["min_z"], r["max_z"]))
-            chain = F.when(inside, F.lit(r["layer_id"])).otherwise(chain)
-        return points.withColumn(name, chain)
-    return _finest_layer_by_cells(points, layers, name)
-
-
-def _finest_layer_by_cells(points: DataFrame, layers: DataFrame, name: str) -> DataFrame:
-    """Many layers: equi-join on coarse cells that each layer is spread over, then keep the finest."""
-    cell = layers.agg(F.max(F.greatest(c("max_x") - c("min_x"), c("max_z") - c("min_z"))).alias("m")).first()["m"]
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(c(lo) / cell), F.floor(c(hi) / cell)))
-    spread = layers.withColumn("_gx", span("min_x", "max_x")).withColumn("_gz", span("min_z", "max_z")).select(
-        "_gx", "_gz", "layer_id", "ordinal", "res", "min_x", "max_x", "min_z", "max_z")
-    keyed = points.withColumn("_pid", F.monotonically_increasing_id()).withColumn(
-        "_gx", F.floor(c("x") / cell)).withColumn("_gz", F.floor(c("z") / cell))
-    hit = keyed.join(spread, ["_gx", "_gz"]).where(
-        c("x").between(c("min_x"), c("max_x")) & c("z").between(c("min_z"), c("max_z")))
-    # The aggregate carries every point column, so no second pass over the points is needed.
-    best = hit.groupBy("_pid", *points.columns).agg(F.min_by("layer_id", F.struct("res", "ordinal")).alias(name))
-    return best.drop("_pid").unionByName(
-        keyed.join(hit.select("_pid").distinct(), "_pid", "left_anti").drop("_pid", "_gx", "_gz")
-        .withColumn(name, F.lit(None).cast("string")))
+    """Add the finest layer that covers ``x, z``; the earlier layer wins a tie, none gives null.
+
+    Layers lie in a hierarchy of cells by their extent.  A point looks up its cell once per level in use: equi-joins whose
+    small side Spark broadcasts or sorts by its own size check, whatever the number of layers.  Levels are powers of
+    two, so their number is bounded by the range of extents and not by the number of layers.
+    """
+    cells = layer_cells(layers)
+    levels = sorted(r["level"] for r in cell_level(layers).select("level").distinct().collect())
+    here = lambda e: c("x").between(e["min_x"], e["max_x"]) & c("z").between(e["min_z"], e["max_z"])
+    out, best = points, []
+    for i, level in enumerate(levels):
+        own = cells.where(c("level") == level).select(c("gx").alias("_gx"), c("gz").alias("_gz"), c("found").alias("_found"))
+        out = out.join(own, (F.floor(c("x") / 2.0**level) == c("_gx")) & (F.floor(c("z") / 2.0**level) == c("_gz")), "left")
+        out = out.withColumn(f"_best{i}", F.array_min(F.filter("_found", here))).drop("_gx", "_gz", "_found")
+        best.append(f"_best{i}")
+    found = F.array_min(F.array_compact(F.array(*best)))["layer_id"] if best else F.lit(None).cast("string")
+    return out.withColumn(name, found).drop(*best)
 
 
 def read_ground(points: DataFrame, rows: DataFrame, layers: DataFrame, probes: dict[str, tuple[float, float]],

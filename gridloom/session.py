@@ -1,4 +1,4 @@
-"""Session helpers: defaults, the shared checkpoint folder and size-checked small tables."""
+"""Session helpers: defaults, and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Upper bound on the rows of a dimension table that may be turned into literals.
-MAX_DIMENSION_ROWS = 256
-
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own session."""
@@ -65,9 +62,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def dimension_rows(df: DataFrame, limit: int = MAX_DIMENSION_ROWS):
-    """Rows of a small dimension table, or None when it is larger than the bound."""
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows

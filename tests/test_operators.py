@@ -1,6 +1,7 @@
 """Closed forms and brute-force comparisons on small inputs."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -271,3 +272,90 @@ def test_metadata_and_rules(spark):
     assert got == {"coordinate_system_declared": True, "provenance_complete": False, "synthetic_labelled": True}
     bal = spark.sql("SELECT 1D AS removed, 3D AS deposited, 2D AS net, 2D/3D AS rel_err")
     assert rules.violations(bal, rules.balance_rules()).first()["violations"] == []
+
+
+def test_finest_of_ten_thousand_layers(spark):
+    """Layers of all sizes, stacks of equal ones and lone points among them, against a scan of all layers."""
+    import numpy as np
+
+    from gridloom.operators import sampling
+
+    rng = np.random.default_rng(8)
+    n = 10_000
+    side = 10 ** rng.uniform(-2, 3, n)
+    x0, z0 = rng.uniform(-500, 500, n), rng.uniform(-500, 500, n)
+    x0[:2000], z0[:2000], side[:2000] = 40.0, 40.0, 64.0  # one stack
+    res = rng.integers(1, 40, n) / 10.0
+    rows = [(f"l{i}", i, float(res[i]), float(x0[i]), float(x0[i] + side[i]), float(z0[i]), float(z0[i] + side[i] / 2)) for i in range(n)]
+    layers = spark.createDataFrame(rows, "layer_id string, ordinal int, res double, min_x double, max_x double, min_z double, max_z double")
+    pts = [(i, float(x), float(z)) for i, (x, z) in enumerate(rng.uniform(-700, 700, (400, 2)))] + [(400, 40.0, 40.0), (401, 104.0, 72.0), (402, None, 1.0)]
+    got = {r["id"]: r["layer_id"] for r in sampling.finest_layer(spark.createDataFrame(pts, "id int, x double, z double"), layers).collect()}
+    for i, x, z in pts:
+        over = [(r[2], r[1], r[0]) for r in rows if x is not None and r[3] <= x <= r[4] and r[5] <= z <= r[6]]
+        assert got[i] == (min(over)[2] if over else None)
+    stack = sampling.layer_cells(layers.where("ordinal < 2000")).selectExpr("max(size(found)) AS m").first()["m"]
+    assert len(got) == 403 and stack <= 2000
+    assert sampling.finest_layer(spark.createDataFrame(pts, "id int, x double, z double"), layers.limit(0)).where("layer_id IS NOT NULL").count() == 0
+
+
+def test_percentiles_by_narrowing_histograms(spark):
+    """A third of the rows in one value, ties, signs, infinities of scale, NaN and nulls, against sorted lists."""
+    import math
+
+    from gridloom.operators.quantiles import exact_percentiles
+
+    rng = random.Random(16)
+    rows = [("hot", 7.25)] * 900 + [("hot", rng.gauss(0, 1e3)) for _ in range(1500)] + [("hot", 7.25 + k * 2.0**-50) for k in range(300)]
+    rows += [("wide", x) for x in (-1.7e308, 1.7e308, 0.0, -0.0, 5e-324, 1.0)] + [("nan", float("nan"))] * 3 + [("nan", 1.0)]
+    rows += [("one", 3.0), ("none", None), (None, 2.0), (None, 4.0), ("hot", None)]
+    shares = {"p1": 0.01, "p50": 0.5, "p95": 0.95, "worst": 1.0, "least": 0.0}
+    got = {r["g"]: r for r in exact_percentiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", shares, bins=16).collect()}
+    groups = {g: sorted((v for k, v in rows if k == g and v is not None), key=lambda v: (math.isnan(v), v)) for g, _ in rows}
+    assert set(got) == {g for g, v in groups.items() if v}
+    for g, r in got.items():
+        v = groups[g]
+        for name, p in shares.items():
+            want = v[max(1, math.ceil(p * len(v))) - 1]
+            assert r[name] == want or (math.isnan(r[name]) and math.isnan(want)), (g, name, r[name], want)
+
+
+def test_raw_rasters_by_row_ranges(spark, tmp_path):
+    """Files written by ranges, read whole and by window, with digests; bad lengths and values are errors."""
+    import hashlib
+    import pathlib
+
+    from gridloom.sources import raw_raster
+
+    rng = random.Random(4)
+    rows = [(name, r, [None if rng.random() < 0.1 else round(rng.uniform(-9, 9), 2) for _ in range(7)]) for name in ("a", "b b") for r in range(150)]
+    df = spark.createDataFrame(rows, "layer_id string, row long, heights array<float>").repartition(6)
+    small = {"dtype": "i2", "endian": "big", "scale": 0.01, "missing": -32768}
+    for options in ({}, small):
+        path = str(tmp_path / f"r{len(options)}")
+        raw_raster.write_raw(df, path, 7, **options)
+        for name in ("a", "b b"):
+            whole = raw_raster.read_raw(spark, f"{path}/{name}", 7, name, partition_rows=11, **options)
+            window = whole.where("row >= 40 AND row < 61 AND row <> 50")
+            assert whole.rdd.getNumPartitions() > window.rdd.getNumPartitions() > 0
+            for got, keep in ((whole, range(150)), (window, [r for r in range(40, 61) if r != 50])):
+                want = {r: h for n, r, h in rows if n == name and r in keep}
+                seen = {x["row"]: x["heights"] for x in got.collect()}
+                assert set(seen) == set(want)
+                for r, h in want.items():
+                    assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-5) for x, y in zip(seen[r], h))
+    files = [p for p in pathlib.Path(tmp_path / "r0").rglob("*.raw")]
+    found = {r["path"]: r for r in raw_raster.artifacts(spark, str(tmp_path / "r0")).collect()}
+    assert {p: r["sha256"] for p, r in found.items()} == {str(p): hashlib.sha256(p.read_bytes()).hexdigest() for p in files}
+    for p, r in ((r["path"], r) for r in raw_raster.artifacts(spark, str(tmp_path / "r0"), 100).collect()):
+        body = pathlib.Path(p).read_bytes()
+        parts = [hashlib.sha256(body[i:i + 100]).hexdigest() for i in range(0, len(body), 100)]
+        assert r["ranges"] == len(parts) and r["sha256"] == (hashlib.sha256("".join(parts).encode()).hexdigest() if len(parts) > 1 else parts[0])
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "none.raw").write_bytes(b"")
+    assert [tuple(r)[1:3] for r in raw_raster.artifacts(spark, str(tmp_path / "empty")).collect()] == [(0, False)]
+    assert raw_raster.read_raw(spark, str(tmp_path / "absent"), 7, "a").count() == 0
+    (tmp_path / "cut.raw").write_bytes(b"x" * 29)
+    with pytest.raises(Exception, match="no whole rows"):
+        raw_raster.read_raw(spark, str(tmp_path / "cut.raw"), 7, "a").count()
+    with pytest.raises(Exception, match="do not fit"):
+        raw_raster.write_raw(df, str(tmp_path / "over"), 7, dtype="i2", scale=1e-6, missing=0)
