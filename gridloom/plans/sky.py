@@ -74,22 +74,58 @@ def chebyshev_eval(spark, sf):
     return p.select("id", "covered", *[r6("p" + a, 5).alias("p" + a) for a in "xyz"])
 
 
-_HOPS = {301: 3, 3: 0, 10: 0}
+_SEGMENTS = "VALUES (301, 3, 1.0D), (3, 0, 2.0D), (10, 0, -0.5D), (77, 78, 1.0D), (78, 77, 1.0D) AS t(target, center, k)"
+
+
+def _segments(spark, sf):
+    """Segments, and the coefficient records of each: the common ones times a factor per segment."""
+    seg = spark.sql(f"SELECT * FROM {_SEGMENTS}")
+    records = fx.coef_records(spark, sf).crossJoin(F.broadcast(seg.select("target", "k")))
+    scaled = {f"coef_{a}": F.transform(f"coef_{a}", lambda v: v * c("k")) for a in "xyz"}
+    return seg.select("target", "center"), records.withColumns(scaled).drop("k")
 
 
 @query("body_chain", with_ctes(
-    f"""SELECT body, count(*) AS requests, count_if(status='ok') AS resolved, {rnd('sum(CASE WHEN status=\'ok\' THEN hops*px END)', 3)} AS x_sum, min(status) AS first_status FROM (SELECT ([301,3,10,399,77])[id%5+1] AS body, CASE WHEN NOT covered THEN 'out of coverage' WHEN id%5=3 THEN 'missing 399' WHEN id%5=4 THEN 'loop at 77' ELSE 'ok' END AS status,
-        CASE WHEN id%5=0 THEN 2 ELSE 1 END AS hops, px FROM ev) GROUP BY body""", "n", "coef_records", q=_Q, ev=_EVAL))
+    f"""SELECT body, count(*) AS requests, count_if(status='ok') AS resolved, {', '.join(f"{rnd(f'sum(CASE WHEN status=\'ok\' THEN k*p{a} END)', 3)} AS {a}_sum" for a in "xyz")}, min(status) AS first_status FROM (SELECT ([301,3,10,399,77])[id%5+1] AS body, CASE WHEN NOT covered THEN 'out of coverage' WHEN id%5=3 THEN 'missing 399' WHEN id%5=4 THEN 'loop at 77' ELSE 'ok' END AS status,
+        CASE WHEN id%5=0 THEN 3e0 WHEN id%5=1 THEN 2e0 ELSE -0.5e0 END AS k, px, py, pz FROM ev) GROUP BY body""", "n", "coef_records", q=_Q, ev=_EVAL))
 def body_chain(spark, sf):
+    """Positions of bodies relative to the root, summed over the segments of their chains."""
     req, n = _requests(spark, sf)
     body = F.element_at(F.array(*[F.lit(b) for b in (301, 3, 10, 399, 77)]), (c("id") % 5 + 1).cast("int"))
-    segments = spark.sql("SELECT * FROM VALUES (301, 3), (3, 0), (10, 0), (77, 78), (78, 77) AS t(target, center)")
-    walked = ephemeris.walk_chain(req.withColumn("body", body), segments)
-    p = ephemeris.evaluate(walked, fx.coef_records(spark, sf), 0.0, 10.0, n)
-    status = F.when(~c("covered"), "out of coverage").otherwise(c("chain_status"))
-    p = p.withColumn("status", status)
-    return p.groupBy("body").agg(F.count("*").alias("requests"), F.count_if(c("status") == "ok").alias("resolved"),
-                                 r6(F.sum(F.when(c("status") == "ok", c("hops") * c("px"))), 3).alias("x_sum"), F.min("status").alias("first_status"))
+    p = ephemeris.chain_positions(req.withColumn("body", body), *_segments(spark, sf), 0.0, 10.0, n)
+    p = p.withColumn("status", F.when(~c("covered"), "out of coverage").otherwise(c("chain_status")))
+    return p.groupBy("body").agg(
+        F.count("*").alias("requests"), F.count_if(c("status") == "ok").alias("resolved"),
+        *[r6(F.sum(F.when(c("status") == "ok", c("p" + a))), 3).alias(f"{a}_sum") for a in "xyz"], F.min("status").alias("first_status"))
+
+
+def _turned_sql(src, turns):
+    """Nested rotations of x, y, z in ``src``: pairs of axes turn by an angle one after the other."""
+    for angle, i, j in turns:
+        rest = ({"x", "y", "z"} - {i, j}).pop()
+        src = f"(SELECT id, phi, delta, w, {rest}, cos({angle})*{i}-sin({angle})*{j} AS {i}, sin({angle})*{i}+cos({angle})*{j} AS {j} FROM {src})"
+    return src
+
+
+_A1, _A2, _A3 = (f"radians({v!r}e0/3600)" for v in solar.PRINCIPAL_TO_MEAN_ARCSEC)
+
+
+@query("kernel_sun_direction", with_ctes(
+    f"""SELECT id, {', '.join(f"{rnd(f'{a}/sqrt(x*x+y*y+z*z)')} AS {a}" for a in "xyz")} FROM {_turned_sql(
+        "(SELECT id, px/1e1 AS phi, py/1e1 AS delta, pz/1e1 AS w, -3.5e0*px AS x, -3.5e0*py AS y, -3.5e0*pz AS z FROM ev WHERE covered)",
+        [("-phi", "x", "y"), ("-delta", "y", "z"), ("-w", "x", "y"), (_A1, "x", "y"), (_A2, "z", "x"), (_A3, "y", "z")])}""", "n", "coef_records", q=_Q, ev=_EVAL))
+def kernel_sun_direction(spark, sf):
+    """Direction of the sun from the moon in mean-Earth axes: chained positions, turned by the orientation angles of the time."""
+    req, n = _requests(spark, sf)
+    segments, records = _segments(spark, sf)
+    both = req.withColumn("body", F.explode(F.array(F.lit(10), F.lit(301)))).withColumn("id", c("id") * 2 + (c("body") == 301).cast("long"))
+    p = ephemeris.chain_positions(both, segments, records, 0.0, 10.0, n).where("covered")
+    sign = F.when(c("body") == 301, -1.0).otherwise(1.0)
+    v = p.groupBy(F.floor(c("id") / 2).alias("id")).agg(*[F.sum(sign * c("p" + a)).alias("v" + a) for a in "xyz"])
+    turns = ephemeris.evaluate(req, fx.coef_records(spark, sf), 0.0, 10.0, n).select("id", *[(c("p" + a) / 10.0).alias(t) for a, t in zip("xyz", ("phi", "delta", "w"))])
+    d = solar.mean_earth_from_angles(v.join(turns, "id"), "v", "d", c("phi"), c("delta"), c("w"))
+    x, y, z = ephemeris.unit(c("dx"), c("dy"), c("dz"))
+    return d.select("id", r6(x).alias("x"), r6(y).alias("y"), r6(z).alias("z"))
 
 
 @query("ephemeris_compare", with_ctes(
