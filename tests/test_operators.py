@@ -184,6 +184,34 @@ def test_chains_of_bodies_of_any_length(spark):
     assert got[50][1] == "loop at 50" and got[60][1] == "missing 61"
 
 
+def test_chain_positions_equal_a_walk(spark):
+    """Trees of bodies with loops and ends, each segment with its own constant position, against a walk."""
+    rng = random.Random(22)
+    up = {i: rng.randrange(i) for i in range(1, 120)} | {i: i - 1 for i in range(120, 180)} | {200: 201, 201: 202, 202: 200, 203: 201, 204: 203, 210: 999}
+    place = {b: (b + 0.5, -b * 2.0, b % 7 * 1.0) for b in up}
+    segments = spark.createDataFrame(list(up.items()), "target long, center long")
+    records = spark.createDataFrame([(b, 0, 5.0, 5.0, *[[v] for v in p]) for b, p in place.items()],
+                                    "target long, rec long, mid double, radius double, coef_x array<double>, coef_y array<double>, coef_z array<double>")
+    asked = [(i, 3.0, b) for i, b in enumerate([*up, 0, 555])] + [(1000, 99.0, 5)]
+    got = {r["id"]: r for r in ephemeris.chain_positions(spark.createDataFrame(asked, "id long, et double, body long"), segments, records, 0.0, 10.0, 1).collect()}
+    assert len(got) == len(asked)
+    for i, et, b in asked:
+        at, seen, total, status = b, set(), [0.0] * 3, "ok"
+        while at != 0:
+            if at in seen or at not in up:
+                status = f"loop at {at}" if at in seen else f"missing {at}"
+                break
+            seen.add(at)
+            total = [x + y for x, y in zip(total, place[at])]
+            at = up[at]
+        r = got[i]
+        assert r["chain_status"] == status and r["covered"] == (et <= 10)
+        if status == "ok" and et <= 10:
+            assert [r["px"], r["py"], r["pz"]] == pytest.approx(total) and r["hops"] == len(seen)
+        else:
+            assert r["px"] is None
+
+
 def test_holes_fill_beyond_many_passes(spark):
     n = 150
     rows = spark.createDataFrame([("a", r, [1.0 if k == 0 else None for k in range(n)]) for r in range(3)], "layer_id string, row long, heights array<float>")
