@@ -345,11 +345,26 @@ def rejected_edits(touched: DataFrame, rows: DataFrame) -> DataFrame:
     r = rows.select("layer_id", "row", "heights")
     h = F.get("heights", c("col").cast("int"))
     bad = touched.select("layer_id", "row", "col", "seq").join(r, ["layer_id", "row"]).where(
-        h.isNull() | F.isnan(h) | (F.abs(h) == float("inf")))
+        h.isNull() | F.isnan(h) | (F.abs(h) == float("inf"))).select("seq", "row", "col").distinct()
     return bad.groupBy("seq").agg(F.min(F.struct("row", "col")).alias("at"), F.count("*").alias("missing")).select(
         "seq", "at.row", "at.col", "missing")
 
 
+def touched_samples(ops: DataFrame, layers: DataFrame) -> DataFrame:
+    """(layer_id, row, col, seq): what each edit changes, reads or gives material back to; a sample may come several times.
+
+    None of it depends on the ground: footprints, reading points and rings follow from an edit's geometry alone.
+    """
+    spots = ("layer_id", "row", "col", "seq")
+    still = ops.withColumn("pivot", F.lit(0.0)).withColumn("near", F.lit(0.0))
+    return changes(still, layers).select(*spots).union(_reading_samples(ops, layers).select(*spots)).union(_unit_rings(ops, layers).select(*spots))
+
+
+def _unit_rings(ops: DataFrame, layers: DataFrame) -> DataFrame:
+    """Rings of the conserving edits with the change per unit of volume given back."""
+    return ring_changes(ops, ops.where("mass_conserving").select("seq", F.lit(1.0).alias("net")), layers)
+
+
 def replay(ops: DataFrame, rows: DataFrame, layers: DataFrame, conserving: bool = True) -> tuple[DataFrame, int, DataFrame]:
     """Heights after a whole log: the fold of all changes, the rounds it took, and the rejected edits.
 
@@ -365,17 +380,14 @@ def replay(ops: DataFrame, rows: DataFrame, layers: DataFrame, conserving: bool
     """
     if not conserving:
         ops = ops.withColumn("mass_conserving", F.lit(False))
-    still = lambda o: o.withColumn("pivot", F.lit(0.0)).withColumn("near", F.lit(0.0))
-    unit = lambda o: ring_changes(o, o.where("mass_conserving").select("seq", F.lit(1.0).alias("net")), layers)
     spots = ("layer_id", "row", "col", "seq")
-    touched = changes(still(ops), layers).select(*spots).union(_reading_samples(ops, layers).select(*spots)).union(unit(ops).select(*spots))
-    rejected = cut_lineage(rejected_edits(touched, rows))
+    rejected = cut_lineage(rejected_edits(touched_samples(ops, layers), rows))
     ops = ops.join(rejected.select("seq"), "seq", "left_anti")
     columns = (*spots, "mode", "t", "w", "base")
     fixed = cut_lineage(fold.with_base(changes(ops.where(~c("kind").isin(*READS_GROUND)), layers), rows).select(*columns))
     probes = cut_lineage(fold.with_base(_reading_samples(ops, layers), rows).select(
         *spots, F.lit(fold.ADD).alias("mode"), F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), "base", F.lit(0).alias("turn"), F.lit(0.0).alias("extra")))
-    ring = cut_lineage(fold.with_base(unit(ops), rows).select(*spots, "base", c("add").alias("unit")))
+    ring = cut_lineage(fold.with_base(_unit_rings(ops, layers), rows).select(*spots, "base", c("add").alias("unit")))
     cells = layers.select("layer_id", (c("res") * c("res")).alias("cell"))
     giving = ops.where("mass_conserving").select("seq", "layer_id").join(cells, "layer_id").drop("layer_id")
     bound = 2 + ops.where(c("mass_conserving") | c("kind").isin(*READS_GROUND)).count()

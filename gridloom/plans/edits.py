@@ -172,14 +172,31 @@ def op_layer_resolve(spark, sf):
         F.count("*").alias("ops"), F.min("seq").alias("first_seq"))
 
 
+_RAMP = fall("greatest(0e0,abs(lat)-radius)", "band")
+_READERS = f"""SELECT seq, layer_id, row, col FROM around WHERE kind='slope' AND {fall('d', 'radius')}<>0
+    UNION ALL SELECT seq, layer_id, row, col FROM around WHERE kind='ramp' AND along>0 AND along<length+band
+      AND ({_RAMP}*{fall('(CASE WHEN along<band THEN band-along ELSE greatest(0e0,along-length) END)', 'band')}<>0 OR ({_RAMP}>0 AND along<=length))
+    UNION ALL SELECT seq, layer_id, row, col FROM ({box_sql("(SELECT * FROM geo WHERE kind='smooth')", "(bx0-res)", "(bx1+res)", "(bz0-res)", "(bz1+res)")})
+    UNION ALL SELECT seq, layer_id, greatest(0,least(height-1,floor((cz-lz)/res+0.5e0)))::BIGINT, greatest(0,least(width-1,floor((cx-lx)/res+0.5e0)))::BIGINT FROM geo WHERE kind='ramp'
+    UNION ALL SELECT seq, layer_id, greatest(0,least(height-1,floor((cz-lz)/res)+j))::BIGINT, greatest(0,least(width-1,floor((cx-lx)/res)+i))::BIGINT
+      FROM geo, (VALUES (0,0),(0,1),(1,0),(1,1)) k(i,j) WHERE kind='slope'"""
+_RING_BOX = """(SELECT *, rx-outer_r AS rx0, rx+outer_r AS rx1, rz-outer_r AS rz0, rz+outer_r AS rz1 FROM
+    (SELECT *, 1.6e0*ring_inner AS outer_r, CASE WHEN poly THEN (bx0+bx1)/2 ELSE cx END AS rx, CASE WHEN poly THEN (bz0+bz1)/2 ELSE cz END AS rz
+     FROM geo WHERE mass_conserving))"""
+_RINGS = f"""SELECT seq, layer_id, row, col FROM (SELECT *, sum(power(1-(rd-ring_inner)/(outer_r-ring_inner),2)) OVER (PARTITION BY seq) AS total FROM
+    (SELECT *, sqrt((x-rx)*(x-rx)+(z-rz)*(z-rz)) AS rd FROM ({box_sql(_RING_BOX, "rx0", "rx1", "rz0", "rz1")})) WHERE rd BETWEEN ring_inner AND outer_r) WHERE total>0"""
+
+
 @query("edit_rejects", with_ctes(
-    """SELECT seq, min(row) AS row, arg_min(col, row*1000+col) AS col, count(*) AS missing FROM changes c JOIN holes h USING (layer_id, row, col) WHERE h.h IS NULL GROUP BY seq""",
-    *BASE, "holes", **LOG))
+    """SELECT seq, min(row) AS row, arg_min(col, row*1000+col) AS col, count(*) AS missing FROM (SELECT DISTINCT seq, layer_id, row, col FROM
+       (SELECT seq, layer_id, row, col FROM changes UNION ALL SELECT * FROM readers UNION ALL SELECT * FROM rings)) t JOIN holes h USING (layer_id, row, col) WHERE h.h IS NULL GROUP BY seq""",
+    *BASE, "holes", **LOG, readers=_READERS, rings=_RINGS))
 def edit_rejects(spark, sf):
-    """Edits that touch a sample without height on the raster with holes: each is rejected whole, with its first such sample."""
-    ops, layers = plain_ops(spark, sf)
-    rows, touched = fx.with_holes(fx.raster_rows(spark, sf)), edits.changes(ops, layers)
-    return edits.rejected_edits(touched, rows).select("seq", "row", c("col").cast("long").alias("col"), "missing")
+    """Edits of every kind that change, read or give back to a sample without height: each is rejected whole, with its first such sample."""
+    layers = fx.layers(spark, sf)
+    ops = edits.valid_ops(fx.operations(spark, sf), layers)
+    touched = edits.touched_samples(ops, layers)
+    return edits.rejected_edits(touched, fx.with_holes(fx.raster_rows(spark, sf))).select("seq", "row", c("col").cast("long").alias("col"), "missing")
 
 
 @query("undo_map", with_ctes(
