@@ -350,14 +350,18 @@ def rejected_edits(touched: DataFrame, rows: DataFrame) -> DataFrame:
         "seq", "at.row", "at.col", "missing")
 
 
+def without_readings(ops: DataFrame) -> DataFrame:
+    """Edits with zero for what slopes and ramps read: enough for footprints, not for heights."""
+    return ops.withColumn("pivot", F.lit(0.0)).withColumn("near", F.lit(0.0))
+
+
 def touched_samples(ops: DataFrame, layers: DataFrame) -> DataFrame:
     """(layer_id, row, col, seq): what each edit changes, reads or gives material back to; a sample may come several times.
 
     None of it depends on the ground: footprints, reading points and rings follow from an edit's geometry alone.
     """
     spots = ("layer_id", "row", "col", "seq")
-    still = ops.withColumn("pivot", F.lit(0.0)).withColumn("near", F.lit(0.0))
-    return changes(still, layers).select(*spots).union(_reading_samples(ops, layers).select(*spots)).union(_unit_rings(ops, layers).select(*spots))
+    return changes(without_readings(ops), layers).select(*spots).union(_reading_samples(ops, layers).select(*spots)).union(_unit_rings(ops, layers).select(*spots))
 
 
 def _unit_rings(ops: DataFrame, layers: DataFrame) -> DataFrame:

@@ -244,16 +244,19 @@ def edit_volumes(spark, sf):
 
 
 _CODES = "CASE {k} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CODE.items()) + " END"
+_RAMP_FOOT = f"SELECT seq, kind, layer_id, row, col, semantic_class FROM around WHERE kind='ramp' AND along>0 AND along<=length AND {_RAMP}>0"
 _FOOT = "CASE WHEN kind='semantic_paint' THEN semantic_class " + " ".join(f"WHEN kind='{k}' THEN '{v}'" for k, v in FOOTPRINT_CLASS.items()) + " END"
 
 
 @query("edit_masks", with_ctes(
     f"""SELECT layer_id, code, old_code, count(*) AS samples, sum(paints)::BIGINT AS paints FROM (SELECT c.layer_id, c.row, c.col, arg_max(code, seq) AS code, count(*) AS paints, any_value(s.semantic) AS old_code
-        FROM (SELECT *, {_CODES.format(k='nm')} AS code FROM (SELECT *, {_FOOT} AS nm FROM changes WHERE foot)) c JOIN samples s USING (layer_id,row,col) WHERE code IS NOT NULL GROUP BY c.layer_id, c.row, c.col)
+        FROM (SELECT *, {_CODES.format(k='nm')} AS code FROM (SELECT *, {_FOOT} AS nm FROM (SELECT seq, kind, layer_id, row, col, semantic_class FROM changes WHERE foot UNION ALL {_RAMP_FOOT}))) c JOIN samples s USING (layer_id,row,col) WHERE code IS NOT NULL GROUP BY c.layer_id, c.row, c.col)
         WHERE code<>old_code GROUP BY ALL""", *BASE, **LOG))
 def edit_masks(spark, sf):
-    ops, layers = plain_ops(spark, sf)
-    p = edits.paint_changes(edits.changes(ops, layers), fx.raster_rows(spark, sf))
+    """Classes that footprints leave; a footprint follows from an edit's geometry, also where its heights read the ground."""
+    layers = fx.layers(spark, sf)
+    ops = edits.valid_ops(fx.operations(spark, sf), layers)
+    p = edits.paint_changes(edits.changes(edits.without_readings(ops), layers), fx.raster_rows(spark, sf))
     return p.where(c("code") != c("old_code")).groupBy("layer_id", "code", "old_code").agg(
         F.count("*").alias("samples"), F.sum("paints").alias("paints"))
 
