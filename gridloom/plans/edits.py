@@ -125,6 +125,19 @@ RECORD = """SELECT seq, any_value(s.layer_id) AS layer_id, count_if(dh<>0) AS ch
     FROM steps s JOIN changes c USING (seq,row,col) GROUP BY seq"""
 
 
+#: Slopes and ramps on the stored ground, and smooth edits on it.
+LEVELLED = dict(
+    centres="SELECT seq AS pid, layer_id, cx AS x, cz AS z FROM valid WHERE kind='slope'", piv=bilinear_sql("centres"),
+    levelled=f"""SELECT b.seq, kind, b.res, s.h, CASE kind WHEN 'slope' THEN pv-along*(strength/radius) ELSE near+least(1e0,along/length)*(target-near) END AS t,
+        CASE kind WHEN 'slope' THEN {fall('d', 'radius')} ELSE CASE WHEN along>0 AND along<length+band THEN {plat('across', 'radius', 'band')}*CASE WHEN along<band THEN {fall('(band-along)', 'band')} ELSE {plat('along', 'length', 'band')} END ELSE 0e0 END END AS w
+        FROM (SELECT * FROM around WHERE kind IN ('slope','ramp')) b LEFT JOIN (SELECT pid AS seq, h AS pv FROM piv) p ON p.seq=b.seq
+        LEFT JOIN (SELECT v.seq, h AS near FROM geo v JOIN samples s ON s.layer_id=v.layer_id AND s.col=least(greatest(floor((v.cx-lx)/res+0.5e0),0),width-1) AND s.row=least(greatest(floor((v.cz-lz)/res+0.5e0),0),height-1) WHERE kind='ramp') q ON q.seq=b.seq
+        JOIN samples s ON s.layer_id=b.layer_id AND s.row=b.row AND s.col=b.col""")
+SMOOTHED = f"""SELECT seq, b.res, ((st.w+st.e+st.n+st.s)/4-st.h)*fw*least(1e0,abs(strength)) AS dh
+        FROM (SELECT *, {fall('sqrt(power(x-cx,2)+power(z-cz,2))', 'radius')} AS fw FROM ({box_sql("(SELECT * FROM geo WHERE kind='smooth')")})) b
+        JOIN stencil st ON st.layer_id=b.layer_id AND st.row=b.row AND st.col=b.col WHERE fw>0 AND b.col>0 AND b.row>0 AND b.col<b.width-1 AND b.row<b.height-1"""
+
+
 # ------------------------------------------------------------------ DataFrame side
 def plain_ops(spark, sf):
     """Valid edits that do not read other samples."""
@@ -265,17 +278,19 @@ def edit_masks(spark, sf):
     f"""SELECT seq, shape_samples, {rnd('net', 6)} AS net, coalesce(ring_samples,0) AS ring_samples, {rnd('net+coalesce(returned,0)', 6)} AS residual FROM
         (SELECT seq, sum(dh*res*res) AS net, count_if(dh<>0) AS shape_samples FROM base_dh GROUP BY seq) n LEFT JOIN
         (SELECT seq, count(*) AS ring_samples, sum(-net*(rw/tw)/(res*res)*res*res) AS returned FROM (SELECT *, sum(rw) OVER (PARTITION BY seq) AS tw FROM ring) WHERE tw>0 GROUP BY seq) r USING (seq)""",
-    *BASE, **LOG,
+    *BASE, "stencil", **LOG, **LEVELLED, smoothed=SMOOTHED,
     base_dh="""SELECT c.seq, c.res, CASE WHEN mode=0 THEN w WHEN mode=2 AND NOT (t-h<0) THEN 0e0 WHEN mode=3 AND NOT (t-h>0) THEN 0e0 ELSE (t-h)*w END AS dh
-      FROM changes c JOIN valid v ON v.seq=c.seq AND v.mass_conserving JOIN samples s ON s.layer_id=c.layer_id AND s.row=c.row AND s.col=c.col""",
+      FROM changes c JOIN valid v ON v.seq=c.seq AND v.mass_conserving JOIN samples s ON s.layer_id=c.layer_id AND s.row=c.row AND s.col=c.col
+      UNION ALL SELECT l.seq, l.res, (t-h)*w FROM levelled l JOIN valid v ON v.seq=l.seq AND v.mass_conserving WHERE w<>0 AND t IS NOT NULL
+      UNION ALL SELECT l.seq, l.res, dh FROM smoothed l JOIN valid v ON v.seq=l.seq AND v.mass_conserving WHERE dh<>0""",
     nets="SELECT seq, sum(dh*res*res) AS net FROM base_dh GROUP BY seq HAVING sum(dh*res*res)<>0",
     ring="""SELECT seq, net, res, power(1-(d-ring_inner)/(ring_inner*1.6e0-ring_inner),2) AS rw FROM (SELECT *, sqrt(power(x-ring_x,2)+power(z-ring_z,2)) AS d FROM ("""
     + box_sql("(SELECT *, ring_inner*1.6e0 AS ro FROM geo JOIN nets USING (seq))", "ring_x-ro", "ring_x+ro", "ring_z-ro", "ring_z+ro") + """)) WHERE d>=ring_inner AND d<=ring_inner*1.6e0"""))
 def edit_mass_conserving(spark, sf):
-    """Each conserving edit on the stored ground: net volume and what the annulus takes back."""
-    ops, layers = plain_ops(spark, sf)
-    ops = ops.where("mass_conserving")
-    base = fold.with_base(edits.changes(ops, layers), fx.raster_rows(spark, sf)).withColumn("dh", edits.delta_on(c("base")))
+    """Each conserving edit of any kind on the stored ground: net volume and what the annulus takes back."""
+    layers, rows = fx.layers(spark, sf), fx.raster_rows(spark, sf)
+    ops = edits.valid_ops(fx.operations(spark, sf), layers).where("mass_conserving")
+    base = fold.with_base(edits.changes_on(ops, rows, layers), rows).withColumn("dh", edits.delta_on(c("base")))
     cell = c("res") * c("res")
     nets = base.groupBy("seq").agg(F.sum(c("dh") * cell).alias("net"), F.count_if(c("dh") != 0).alias("shape_samples"))
     ring = edits.ring_changes(ops, nets.select("seq", "net"), layers).groupBy("seq").agg(
@@ -328,10 +343,8 @@ def construction_records(spark, sf):
 
 
 @query("edit_smooth", with_ctes(
-    f"""SELECT seq, count(*) AS changed, {rnd('sum(dh)', 6)} AS dh_sum, {rnd('max(abs(dh))', 6)} AS largest FROM (SELECT seq, ((st.w+st.e+st.n+st.s)/4-st.h)*fw*least(1e0,abs(strength)) AS dh
-        FROM (SELECT *, {fall('sqrt(power(x-cx,2)+power(z-cz,2))', 'radius')} AS fw FROM ({box_sql("(SELECT * FROM geo WHERE kind='smooth')")})) b
-        JOIN stencil st ON st.layer_id=b.layer_id AND st.row=b.row AND st.col=b.col WHERE fw>0 AND b.col>0 AND b.row>0 AND b.col<b.width-1 AND b.row<b.height-1) WHERE dh<>0 GROUP BY seq""",
-    "operations", "layers", "stencil", valid=VALID, geo=GEO))
+    f"""SELECT seq, count(*) AS changed, {rnd('sum(dh)', 6)} AS dh_sum, {rnd('max(abs(dh))', 6)} AS largest FROM smoothed WHERE dh<>0 GROUP BY seq""",
+    "operations", "layers", "stencil", valid=VALID, geo=GEO, smoothed=SMOOTHED))
 def edit_smooth(spark, sf):
     layers = fx.layers(spark, sf)
     ops = edits.valid_ops(fx.operations(spark, sf), layers)
@@ -340,13 +353,8 @@ def edit_smooth(spark, sf):
 
 
 @query("edit_slope_ramp", with_ctes(
-    f"""SELECT seq, kind, count(*) AS samples, {rnd('sum((t-h)*w)', 5)} AS dh_sum, {rnd('max(t)', 5)} AS highest_target FROM (SELECT b.seq, kind, s.h,
-        CASE kind WHEN 'slope' THEN pv-along*(strength/radius) ELSE near+least(1e0,along/length)*(target-near) END AS t,
-        CASE kind WHEN 'slope' THEN {fall('d', 'radius')} ELSE CASE WHEN along>0 AND along<length+band THEN {plat('across', 'radius', 'band')}*CASE WHEN along<band THEN {fall('(band-along)', 'band')} ELSE {plat('along', 'length', 'band')} END ELSE 0e0 END END AS w
-        FROM (SELECT * FROM around WHERE kind IN ('slope','ramp')) b LEFT JOIN (SELECT pid AS seq, h AS pv FROM piv) p ON p.seq=b.seq
-        LEFT JOIN (SELECT v.seq, h AS near FROM geo v JOIN samples s ON s.layer_id=v.layer_id AND s.col=least(greatest(floor((v.cx-lx)/res+0.5e0),0),width-1) AND s.row=least(greatest(floor((v.cz-lz)/res+0.5e0),0),height-1) WHERE kind='ramp') q ON q.seq=b.seq
-        JOIN samples s ON s.layer_id=b.layer_id AND s.row=b.row AND s.col=b.col) WHERE w<>0 AND t IS NOT NULL GROUP BY seq, kind""",
-    *BASE, valid=VALID, geo=GEO, around=AROUND, centres="SELECT seq AS pid, layer_id, cx AS x, cz AS z FROM valid WHERE kind='slope'", piv=bilinear_sql("centres")))
+    f"""SELECT seq, kind, count(*) AS samples, {rnd('sum((t-h)*w)', 5)} AS dh_sum, {rnd('max(t)', 5)} AS highest_target FROM levelled WHERE w<>0 AND t IS NOT NULL GROUP BY seq, kind""",
+    *BASE, valid=VALID, geo=GEO, around=AROUND, **LEVELLED))
 def edit_slope_ramp(spark, sf):
     layers, rows = fx.layers(spark, sf), fx.raster_rows(spark, sf)
     ops = edits.valid_ops(fx.operations(spark, sf), layers).where(c("kind").isin("slope", "ramp"))
