@@ -132,7 +132,11 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Documents that pass, with their failing lines removed; all columns of ``docs`` in their order."""
     names = docs.columns
     carried = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"), "text")
-    kept = quality_rules(carried, rules, id_col="_doc").where("kept")
+    judged = quality_rules(carried, rules, id_col="_doc")
+    # A filter on the verdict would move below the projections and judge each text once more for it; the result of a
+    # generator of one row stays where it is.
+    row = F.explode(F.array(F.struct("_doc", "cleaned_text", "n_removed_lines", "kept"))).alias("_r")
+    kept = judged.select(row).where("_r.kept").select("_r.*")
     fresh = {"text": F.col("cleaned_text"), "n_chars": F.length("cleaned_text").cast("long")}
     changed = F.col("n_removed_lines") > 0
     return kept.select(*[F.when(changed, fresh[n]).otherwise(F.col("_doc")[n]).alias(n) if n in fresh

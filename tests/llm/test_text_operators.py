@@ -70,6 +70,8 @@ def test_quality_verdicts(awkward, empty, awkward_rows):
     noise, legal = (next(r[0] for r in awkward_rows if (r[1] or "").startswith(x)) for x in ("###", "Licensed"))
     assert not kept[noise]["kept"] and kept[legal]["kept"] and "Licensed" not in kept[legal]["cleaned_text"]
     out = quality.clean_documents(awkward)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(coalesce(text") == 1  # the verdict is computed once, not again for its filter
     assert out.columns == awkward.columns and out.where("text LIKE '%&&&%'").isEmpty()
     assert quality.clean_documents(empty).collect() == [] and quality.quality_rules(empty).count() == 0
 
