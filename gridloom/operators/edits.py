@@ -20,7 +20,6 @@ from gridloom.functions import brush, noise
 from gridloom.operators import fold, grid, sampling
 from gridloom.operators.grid import half_up
 from gridloom.operators.rules import violations
-from gridloom.session import cut_lineage
 
 c = F.col
 TAN_REPOSE = math.tan(math.radians(REPOSE_ANGLE_DEG))
@@ -369,73 +368,15 @@ def touched_samples(ops: DataFrame, layers: DataFrame) -> DataFrame:
     None of it depends on the ground: footprints, reading points and rings follow from an edit's geometry alone.
     """
     spots = ("layer_id", "row", "col", "seq")
-    return changes(without_readings(ops), layers).select(*spots).union(_reading_samples(ops, layers).select(*spots)).union(_unit_rings(ops, layers).select(*spots))
+    return changes(without_readings(ops), layers).select(*spots).union(reading_samples(ops, layers).select(*spots)).union(unit_rings(ops, layers).select(*spots))
 
 
-def _unit_rings(ops: DataFrame, layers: DataFrame) -> DataFrame:
+def unit_rings(ops: DataFrame, layers: DataFrame) -> DataFrame:
     """Rings of the conserving edits with the change per unit of volume given back."""
     return ring_changes(ops, ops.where("mass_conserving").select("seq", F.lit(1.0).alias("net")), layers)
 
 
-def replay(ops: DataFrame, rows: DataFrame, layers: DataFrame, conserving: bool = True) -> tuple[DataFrame, int, DataFrame]:
-    """Heights after a whole log: the fold of all changes, the rounds it took, and the rejected edits.
-
-    The readings (a slope's pivot, a ramp's start, the neighbourhood of a smooth edit) and the net volumes that
-    conserving edits give back to their rings are unknowns.  Each round folds the log with the values of the
-    round before and takes new ones at the sequence number of each such edit.  A value depends on earlier edits
-    only, so when nothing changes the values satisfy the sequential definition, whose solution is unique, and the
-    result is the serial one.  A round is one parallel join and fold; the number of rounds is the depth of the chain of
-    dependent edits and at most their number plus two.
-
-    An edit that touches a sample without a height is left out as a whole and listed.  Without ``conserving`` no edit
-    gives anything back, which about halves the rounds of a dense log.
-    """
-    if not conserving:
-        ops = ops.withColumn("mass_conserving", F.lit(False))
-    spots = ("layer_id", "row", "col", "seq")
-    rejected = cut_lineage(rejected_edits(touched_samples(ops, layers), rows))
-    ops = ops.join(rejected.select("seq"), "seq", "left_anti")
-    columns = (*spots, "mode", "t", "w", "base")
-    fixed = cut_lineage(fold.with_base(changes(ops.where(~c("kind").isin(*READS_GROUND)), layers), rows).select(*columns))
-    probes = cut_lineage(fold.with_base(_reading_samples(ops, layers), rows).select(
-        *spots, F.lit(fold.ADD).alias("mode"), F.lit(0.0).alias("t"), F.lit(0.0).alias("w"), "base", F.lit(0).alias("turn"), F.lit(0.0).alias("extra")))
-    ring = cut_lineage(fold.with_base(_unit_rings(ops, layers), rows).select(*spots, "base", c("add").alias("unit")))
-    cells = layers.select("layer_id", (c("res") * c("res")).alias("cell"))
-    giving = ops.where("mass_conserving").select("seq", "layer_id").join(cells, "layer_id").drop("layer_id")
-    bound = 2 + ops.where(c("mass_conserving") | c("kind").isin(*READS_GROUND)).count()
-    seen = probes.select(*spots, c("base").alias("h"))
-    nets = giving.select("seq", F.lit(0.0).alias("net"))
-    mark, now, rounds = None, 0, 0
-    while now != mark:
-        if rounds > bound:
-            raise RuntimeError(f"the log did not settle in {bound} rounds")
-        mark = now if rounds else None
-        reading = fold.with_base(_read_changes(ops, seen, layers), rows).select(*columns)
-        if not conserving:
-            changed = fixed.unionByName(reading).withColumn("turn", F.lit(1)).withColumn("extra", F.lit(0.0))
-            folded = cut_lineage(fold.ordered_fold(changed.unionByName(probes)))
-            rounds += 1
-            seen = folded.where(c("turn") == 0).select(*spots, c("before").alias("h"))
-            now = seen.agg(F.bit_xor(F.xxhash64(*spots, "h")).alias("x")).first()["x"]
-            continue
-        back = ring.join(nets, "seq").withColumn("extra", c("unit") * c("net"))
-        shape = fixed.unionByName(reading).withColumn("extra", F.lit(0.0))
-        given = back.select(*spots, F.lit(fold.ADD).cast("tinyint").alias("mode"), F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("w"), "base", "extra")
-        # A sample of both the shape and the ring takes one change, rounded once.
-        merged = shape.unionByName(given).groupBy(*spots).agg(
-            F.max("mode").alias("mode"), F.max("t").alias("t"), F.sum("w").alias("w"), F.first("base").alias("base"), F.sum("extra").alias("extra"))
-        folded = cut_lineage(fold.ordered_fold(merged.withColumn("turn", F.lit(1)).unionByName(probes)))
-        rounds += 1
-        seen = folded.where(c("turn") == 0).select(*spots, c("before").alias("h"))
-        own = folded.where(c("turn") == 1).join(giving, "seq").join(back.select(*spots, "extra"), list(spots), "left")
-        volume = ((c("dh") - F.coalesce("extra", F.lit(0.0))) * c("cell")).cast("decimal(38,15)")
-        nets = cut_lineage(own.groupBy("seq").agg(F.sum(volume).cast("double").alias("net")))
-        digest = lambda df, *cols: df.agg(F.bit_xor(F.xxhash64(*cols)).alias("x")).first()["x"]
-        now = (digest(seen, *spots, "h"), digest(nets, "seq", "net"))
-    return folded.where(c("turn") == 1), rounds, rejected
-
-
-def _reading_samples(ops: DataFrame, layers: DataFrame) -> DataFrame:
+def reading_samples(ops: DataFrame, layers: DataFrame) -> DataFrame:
     """Samples that slope, ramp and smooth edits read, one row per edit and sample."""
     g = layers.select("layer_id", "res", "width", "height", "min_x", "min_z")
     o = ops.where(c("kind").isin("slope", "ramp")).join(g, "layer_id")
@@ -455,35 +396,3 @@ def _reading_samples(ops: DataFrame, layers: DataFrame) -> DataFrame:
     area = fold.explode_boxes(s.select("layer_id", "seq", "bx0", "bx1", "bz0", "bz1"), layers,
                               {"min_x": "bx0", "max_x": "bx1", "min_z": "bz0", "max_z": "bz1"})
     return point.unionByName(area.select("layer_id", "seq", "row", c("col").cast("int").alias("col")))
-
-
-def _read_changes(ops: DataFrame, seen: DataFrame, layers: DataFrame) -> DataFrame:
-    """Changes of the reading edits from their readings ``seen(layer_id, row, col, seq, h)``."""
-    g = layers.select("layer_id", "res", "width", "height", "min_x", "min_z")
-    h = seen.select("seq", "row", "col", c("h").cast("double").alias("h"))
-    o = ops.where(c("kind").isin("slope", "ramp"))
-    at = o.join(g, "layer_id").select("seq", "kind", ((c("cx") - c("min_x")) / c("res")).alias("fc"), ((c("cz") - c("min_z")) / c("res")).alias("fr"),
-                                      "width", "height")
-    inside = (c("fc") >= 0) & (c("fr") >= 0) & (c("fc") <= c("width") - 1) & (c("fr") <= c("height") - 1)
-    tent = lambda f, i: F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(f - i))
-    weight = F.when(c("kind") == "ramp", 1.0).otherwise(tent(c("fc"), c("col")) * tent(c("fr"), c("row")))
-    value = at.join(h, "seq").groupBy("seq", "kind").agg(F.sum(c("h") * weight).alias("v"), F.bool_and(inside).alias("inside"))
-    value = value.where(c("inside") | (c("kind") == "ramp")).select("seq", "v")
-    known = o.join(value, "seq").withColumn("pivot", F.when(c("kind") == "slope", c("v"))).withColumn(
-        "near", F.when(c("kind") == "ramp", c("v"))).drop("v")
-    keep = ("layer_id", "row", "col", "seq", "mode", "t", "w")
-    a = changes(known, layers).select(*keep)
-    # Smooth: the five readings of a sample come together by sending each reading to its neighbours.
-    s = ops.where(c("kind") == "smooth").select("seq", "layer_id", "cx", "cz", "radius", "falloff", "strength").join(g, "layer_id")
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
-    sent = s.join(h, "seq").withColumn("k", F.explode(near)).withColumn("trow", c("row") + c("k.j")).withColumn("tcol", c("col") + c("k.i"))
-    own = (c("k.i") == 0) & (c("k.j") == 0)
-    b = sent.groupBy("layer_id", "seq", "trow", "tcol", *[n for n in s.columns if n not in ("layer_id", "seq")]).agg(
-        F.max(F.when(own, c("h"))).alias("h0"), F.sum(F.when(~own, c("h"))).alias("total"), F.count_if(~own).alias("n"))
-    d = grid.dist(c("min_x") + c("tcol") * c("res") - c("cx"), c("min_z") + c("trow") * c("res") - c("cz"))
-    w = brush.falloff(d, c("radius"), c("falloff"))
-    b = b.where(c("h0").isNotNull() & (c("n") == 4) & (c("tcol") > 0) & (c("trow") > 0) & (c("tcol") < c("width") - 1) & (c("trow") < c("height") - 1))
-    dh = (c("total") / 4 - c("h0")) * w * F.least(F.lit(1.0), F.abs(c("strength")))
-    b = b.select("layer_id", c("trow").alias("row"), c("tcol").cast("int").alias("col"), "seq", F.lit(fold.ADD).cast("tinyint").alias("mode"),
-                 F.lit(None).cast("double").alias("t"), dh.alias("w")).where(c("w") != 0)
-    return a.unionByName(b)

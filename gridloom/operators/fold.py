@@ -22,7 +22,7 @@ KEYS = ("layer_id", "row", "col")
 ADD, BLEND, CUT, FILL = 0, 1, 2, 3
 
 
-def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fold_batches(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     last_key, last_h = None, np.float32(0)
     for batch in batches:
         n = batch.num_rows
@@ -58,18 +58,19 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 h[run[at]] = new
         last_key = (batch.column("layer_id")[n - 1].as_py(), int(row[-1]), int(col[-1]))
         last_h = h[-1]
-        keep = [batch.column(name) for name in ("layer_id", "row", "col", "seq", "turn")]
+        keep = [batch.column(name) for name in ("layer_id", "row", "col", "seq", "turn", *carry)]
         yield pa.RecordBatch.from_arrays(
             [*keep, pa.array(before), pa.array(delta), pa.array(after)],
-            names=["layer_id", "row", "col", "seq", "turn", "before", "dh", "after"])
+            names=["layer_id", "row", "col", "seq", "turn", *carry, "before", "dh", "after"])
 
 
-def ordered_fold(changes: DataFrame) -> DataFrame:
+def ordered_fold(changes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``layer_id, row, col, seq, before, dh, after`` for ``changes(layer_id, row, col, seq, mode, t, w, base)``.
 
     ``base`` is the stored height of the sample and must be the same in all its changes.  Optional
     columns: ``extra`` is added to the change of the same edit before rounding; ``turn`` orders rows
-    of one edit on one sample, so a reading (turn 0) comes before the change (turn 1).
+    of one edit on one sample, so a reading (turn 0) comes before the change (turn 1).  Columns named
+    in ``carry`` (doubles) are copied to the result.
     """
     for name in ("extra", "turn"):
         if name not in changes.columns:
@@ -78,12 +79,13 @@ def ordered_fold(changes: DataFrame) -> DataFrame:
         "layer_id", F.col("row").cast("long"), F.col("col").cast("int"), F.col("seq").cast("long"),
         F.col("mode").cast("tinyint"), F.coalesce(F.col("t").cast("double"), F.lit(0.0)).alias("t"),
         F.col("w").cast("double"), F.col("base").cast("float"), F.col("extra").cast("double"),
-        F.col("turn").cast("tinyint"))
+        F.col("turn").cast("tinyint"), *[F.col(n).cast("double") for n in carry if n not in ("t", "w", "extra")])
     # The explicit repartition keeps all changes of a sample in one task whatever the optimiser does
     # to the join below it.
     return cols.repartition(*KEYS).sortWithinPartitions(*KEYS, "seq", "turn").mapInArrow(
-        _fold_batches,
-        "layer_id string, row long, col int, seq long, turn tinyint, before float, dh double, after float")
+        lambda batches: _fold_batches(batches, carry), ", ".join([
+            "layer_id string, row long, col int, seq long, turn tinyint", *[f"{n} double" for n in carry],
+            "before float, dh double, after float"]))
 
 
 def with_base(changes: DataFrame, rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom import fixtures as fx
 from gridloom.fixtures import rnd, with_ctes
 from gridloom.functions import noise
-from gridloom.operators import edits, fold, grid, population, sampling, stamping, stencil
+from gridloom.operators import edits, fold, grid, population, replay, sampling, stamping, stencil
 from gridloom.plans.edits import lattice_sql
 from gridloom.plans.raster import r6
 from gridloom.registry import query
@@ -127,6 +127,6 @@ def replay_log(spark, sf):
     """The whole valid log in sequence order, with the edits that read the ground and what conserving edits give back."""
     layers, rows = fx.layers(spark, sf), fx.raster_rows(spark, sf)
     ops = edits.valid_ops(fx.operations(spark, sf), layers)
-    folded, _, _ = edits.replay(ops, rows, layers)
+    folded, _, _ = replay.replay(ops, rows, layers)
     f = fold.final_heights(folded)
     return f.groupBy("layer_id", "row").agg(F.count("*").alias("samples"), F.sum("changes").alias("changes"), r6(F.sum(c("h").cast("double")), 4).alias("height_sum"))

@@ -62,3 +62,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The same rows read back from a Parquet table in the shared folder, cut into folders by the given columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import crater, geo, mobility, solar
-from gridloom.operators import edits, ephemeris, estimate, fold, log, population, rules, stencil, validation
+from gridloom.operators import edits, ephemeris, estimate, fold, log, population, replay, rules, stencil, validation
 from gridloom.operators.ordered import lag_in_order, running_sum_in_order
 from gridloom.sources import raster_io
 
@@ -129,14 +129,15 @@ def test_replay_equals_serial_log(spark):
     kinds = ["raise", "smooth", "slope", "flatten", "ramp", "smooth", "slope", "raise", "ramp", "smooth"]
     ops = [op(i, k, cx=0.1 + 0.3 * math.sin(i), cz=-0.2 + 0.3 * math.cos(2 * i), radius=0.8 + 0.05 * i, strength=0.2 + 0.05 * i, length=1.0)
            for i, k in enumerate(kinds)]
-    folded, rounds, _ = edits.replay(spark.createDataFrame(ops, OPS), rows, layers, conserving=False)
+    folded, rounds, _ = replay.replay(spark.createDataFrame(ops, OPS), rows, layers, conserving=False)
     got = fold.apply_to_rows(rows, fold.final_heights(folded)).orderBy("row").collect()
     want = serial(n, res, ops, np.array([[np.float32(height(r, k)) for k in range(n)] for r in range(n)], dtype=np.float32))
     assert rounds > 1
     np.testing.assert_allclose(np.array([r["heights"] for r in got]), want, atol=2e-7)
 
 
-def test_replay_gives_conserving_edits_back_in_order(spark):
+@pytest.mark.parametrize("windows", [None, 1, 3])
+def test_replay_gives_conserving_edits_back_in_order(spark, windows):
     n, res = 25, 0.25
     height = lambda r, k: 0.3 * math.sin(r * 0.7) + 0.1 * math.cos(k * 1.3)
     layers, rows = flat_layer(spark, n, res, height)
@@ -144,7 +145,7 @@ def test_replay_gives_conserving_edits_back_in_order(spark):
     ops = [op(i, k, cx=0.1 + 0.3 * math.sin(i), cz=-0.2 + 0.3 * math.cos(2 * i), radius=0.8 + 0.05 * i, strength=0.2 + 0.05 * i, length=0.5,
               mass_conserving=i % 2 == 0) for i, k in enumerate(kinds)]
     df = spark.createDataFrame(ops, OPS)
-    folded, rounds, rejected = edits.replay(df, rows, layers)
+    folded, rounds, rejected = replay.replay(df, rows, layers, windows=windows)
     got = fold.apply_to_rows(rows, fold.final_heights(folded)).orderBy("row").collect()
     flag = df.columns.index("mass_conserving")
     start = np.array([[np.float32(height(r, k)) for k in range(n)] for r in range(n)], dtype=np.float32)
@@ -158,11 +159,11 @@ def test_replay_log_gives_conserving_edits_back(spark, monkeypatch):
 
     seen, cols = [], "layer_id string, row long, col int, seq long, after float"
 
-    def replay(ops, rows, layers, conserving=True):
+    def fake(ops, rows, layers, conserving=True):
         seen.append((conserving, ops.where("mass_conserving").isEmpty()))
         return spark.createDataFrame([("a", 0, 0, 1, 1.0)], cols), 1, None
 
-    monkeypatch.setattr(edits, "replay", replay)
+    monkeypatch.setattr(replay, "replay", fake)
     generation.replay_log(spark, "/root/testdata/sf0.001")
     assert seen == [(True, False)]
 
@@ -171,7 +172,7 @@ def test_replay_rejects_an_edit_over_missing_ground_as_a_whole(spark):
     layers, rows = flat_layer(spark, 25, 0.25)
     holed = rows.withColumn("heights", F.when(c("row") == 12, F.transform("heights", lambda v, i: F.when(i != 12, v))).otherwise(c("heights")))
     ops = spark.createDataFrame([op(1, "raise"), op(2, "raise", cx=2.0, radius=0.5), op(3, "flatten", cx=-2.2, radius=0.4)], OPS)
-    folded, _, rejected = edits.replay(ops, holed, layers)
+    folded, _, rejected = replay.replay(ops, holed, layers)
     assert [tuple(r) for r in rejected.collect()] == [(1, 12, 12, 1)]
     assert {r["seq"] for r in folded.select("seq").distinct().collect()} == {2, 3}
 
