@@ -175,3 +175,13 @@ def replay(ops: DataFrame, rows: DataFrame, layers: DataFrame, conserving: bool
             heads = stored(left if heads is None else heads.unionByName(left).groupBy(*fold.KEYS).agg(
                 F.max_by("h", "k").alias("h"), F.max("k").alias("k")), "replay-heads")
     return functools.reduce(DataFrame.unionByName, done), total, rejected
+
+
+def records(folded: DataFrame, ops: DataFrame, layers: DataFrame) -> DataFrame:
+    """``edits.op_record`` of every replayed edit, whatever its kind; volumes include what its ring took, footprints do not."""
+    spots = folded.select(*SPOT).join(layers.select("layer_id", "res", "min_x", "min_z"), "layer_id")
+    foot = edits.changes(edits.without_readings(ops), layers).where("foot").select(*SPOT, "foot")
+    shapes = spots.join(foot, list(SPOT), "left").select(
+        *SPOT, (c("min_x") + c("col") * c("res")).alias("x"), (c("min_z") + c("row") * c("res")).alias("z"), "res",
+        F.coalesce("foot", F.lit(False)).alias("foot"))
+    return edits.op_record(folded, shapes, layers)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridloom import fixtures as fx
+from gridloom.codes import BULK_DENSITY_KG_M3
 from gridloom.fixtures import rnd, with_ctes
 from gridloom.functions import noise
 from gridloom.operators import edits, fold, grid, population, replay, sampling, stamping, stencil
@@ -130,3 +131,15 @@ def replay_log(spark, sf):
     folded, _, _ = replay.replay(ops, rows, layers)
     f = fold.final_heights(folded)
     return f.groupBy("layer_id", "row").agg(F.count("*").alias("samples"), F.sum("changes").alias("changes"), r6(F.sum(c("h").cast("double")), 4).alias("height_sum"))
+
+
+@query("replay_records")
+def replay_records(spark, sf):
+    """Record of every edit of the replayed log: readers of the ground and rings included."""
+    layers, rows = fx.layers(spark, sf), fx.raster_rows(spark, sf)
+    ops = edits.valid_ops(fx.operations(spark, sf), layers)
+    folded, _, _ = replay.replay(ops, rows, layers)
+    rec = replay.records(folded, ops, layers)
+    return rec.select("seq", "layer_id", "changed", *[r6(n, 5).alias(n) for n in (
+        "removed", "deposited", "net", "before_mean", "after_mean", "foot_before_mean", "foot_after_mean")],
+        r6(c("net") * BULK_DENSITY_KG_M3, 2).alias("net_mass"), r6("rel_err", 4).alias("rel_err"), "foot_samples", "no_effect")

@@ -75,7 +75,7 @@ def test_conserving_edit_balances(spark):
         assert r["net"] + r["back"] == pytest.approx(0.0, abs=1e-12)
 
 
-def serial(n, res, ops, h, conserving=lambda o: False):
+def serial(n, res, ops, h, conserving=lambda o: False, volumes=None):
     """Plain loop over the log for the kinds used below, with float32 rounding at every write."""
     lo = -(n - 1) * res / 2
     for o in ops:
@@ -118,6 +118,8 @@ def serial(n, res, ops, h, conserving=lambda o: False):
             net = change.sum()
             for at, w in ring.items():
                 change[at] -= net * w / sum(ring.values())
+        if volumes is not None:
+            volumes[seq] = (int((change != 0).sum()), -change[change < 0].sum() * res * res, change[change > 0].sum() * res * res)
         h[:] = (old + change).astype(np.float32)
     return h
 
@@ -149,9 +151,17 @@ def test_replay_gives_conserving_edits_back_in_order(spark, windows):
     got = fold.apply_to_rows(rows, fold.final_heights(folded)).orderBy("row").collect()
     flag = df.columns.index("mass_conserving")
     start = np.array([[np.float32(height(r, k)) for k in range(n)] for r in range(n)], dtype=np.float32)
-    want = serial(n, res, ops, start, lambda o: o[flag])
+    volumes = {}
+    want = serial(n, res, ops, start, lambda o: o[flag], volumes)
     assert rejected.isEmpty() and rounds > 2
     np.testing.assert_allclose(np.array([r["heights"] for r in got]), want, atol=4e-7)
+    if windows == 3:
+        rec = {r["seq"]: r for r in replay.records(folded, df, layers).collect()}
+        assert rec.keys() == volumes.keys()
+        for seq, (changed, removed, deposited) in volumes.items():
+            assert rec[seq]["changed"] == changed
+            assert (rec[seq]["removed"], rec[seq]["deposited"]) == pytest.approx((removed, deposited), abs=1e-6)
+            assert not ops[seq][flag] or rec[seq]["rel_err"] < 1e-6
 
 
 def test_replay_log_gives_conserving_edits_back(spark, monkeypatch):
