@@ -157,6 +157,51 @@ def operations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_THREE = ["context-0", "mission-1", "operational-2"]
+
+
+def delta_log(spark: SparkSession, sf: str, faults: bool = True) -> DataFrame:
+    """Stored log with a terrain chain per layer and a rock chain over all layers; with seeded faults or without."""
+    s = F.col("seq")
+    d = table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), F.element_at(lit_array(_THREE), (F.col("user_id") % 3 + 1).cast("int")).alias("layer_id"),
+        F.get_json_object("props", "$.k").cast("long").alias("k"))
+    d = d.select("*", F.sha2(F.concat("layer_id", F.lit(":"), s.cast("string")), 256).alias("resulting"),
+                 F.when(s > 0, F.md5((s - 1).cast("string"))).otherwise("none").alias("rocks_before"), F.md5(s.cast("string")).alias("rocks_after"),
+                 F.lit(1).cast("long").alias("revision"), F.md5(F.concat(F.lit("op:"), s.cast("string"))).alias("op"))
+    d = lag_in_order(d, ["layer_id"], "seq", ["resulting"]).withColumn(
+        "previous", F.coalesce("prev_resulting", F.sha2(F.concat(F.lit("base:"), F.col("layer_id")), 256)))
+    if faults:
+        d = d.where(s % 1009 != 5).withColumns({
+            "previous": F.when(s % 997 == 0, "wrong").otherwise(F.col("previous")), "rocks_before": F.when(s % 613 == 2, "wrong").otherwise(F.col("rocks_before")),
+            "op": F.when(s % 401 == 7, "other").otherwise(F.col("op")), "revision": F.when(s % 1511 == 3, 2).otherwise(F.col("revision"))})
+    return d.select("seq", "revision", "layer_id", "k", "previous", "resulting", "rocks_before", "rocks_after", "op")
+
+
+def deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """A first pass over each 64 numbers with losses, copies, damage and a wrong revision, then a second, intact pass."""
+    s = F.col("seq")
+    log = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    at = (s - s % 64) * 16
+    sent = F.array(
+        F.when(s % 97 != 11, F.struct((at + s % 64 * 2).alias("arrival"), F.when(s % 53 == 8, 2).otherwise(1).cast("long").alias("revision"),
+                                      (s % 41 == 9).alias("damaged"))),
+        F.when(s % 23 == 6, F.struct((at + s % 64 * 2 + 1).alias("arrival"), F.lit(1).cast("long").alias("revision"), F.lit(False).alias("damaged"))),
+        F.struct((at + 512 + s % 64).alias("arrival"), F.lit(1).cast("long").alias("revision"), F.lit(False).alias("damaged")))
+    return log.select("seq", (F.col("k") % 4 + 1).alias("n_parts"), F.inline(F.array_compact(sent)))
+
+
+def delivered_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of the deliveries: of a damaged one the first part is lost (even numbers) or altered (odd ones)."""
+    s, t = F.col("seq"), F.col("part")
+    d = deliveries(spark, sf).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)))
+    d = d.where(~(F.col("damaged") & (t == 0) & (s % 2 == 0))).join(
+        table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.element_at(lit_array(_THREE), (F.col("user_id") % 3 + 1).cast("int")).alias("layer_id")), "seq")
+    want = F.md5(F.concat_ws(":", s.cast("string"), t.cast("string")))
+    return d.select("arrival", "part", "layer_id", ((s * 31 + t * 7) % 4096).alias("idx"), (s * 10 + t).alias("value"), want.alias("want"),
+                    F.when(F.col("damaged") & (t == 0), "altered").otherwise(want).alias("got"))
+
+
 def deltas(spark: SparkSession, sf: str) -> DataFrame:
     """Checksummed delta log with seeded faults: wrong links, dropped records, bad balances."""
     ev = table(spark, sf, "events").select(
@@ -336,6 +381,16 @@ CTES: dict[str, tuple[list[str], str]] = {
             (SELECT event_id AS seq, (['context-0','mission-1','operational-2'])[user_id%3+1] AS layer_id, value,
               json_extract_string(props,'$.k')::BIGINT AS k FROM events)))
         WHERE seq%1009<>5"""),
+    "sound_log": ([], """SELECT seq, 1::BIGINT AS revision, layer_id, coalesce(lag(resulting) OVER (PARTITION BY layer_id ORDER BY seq), sha256('base:'||layer_id)) AS previous, resulting,
+        CASE WHEN seq>0 THEN md5((seq-1)::VARCHAR) ELSE 'none' END AS rocks_before, md5(seq::VARCHAR) AS rocks_after, md5('op:'||seq) AS op
+        FROM (SELECT *, sha256(layer_id||':'||seq) AS resulting FROM (SELECT event_id AS seq, (['context-0','mission-1','operational-2'])[user_id%3+1] AS layer_id FROM events))"""),
+    "delta_log": (["sound_log"], """SELECT * REPLACE (CASE WHEN seq%997=0 THEN 'wrong' ELSE previous END AS previous, CASE WHEN seq%613=2 THEN 'wrong' ELSE rocks_before END AS rocks_before,
+        CASE WHEN seq%401=7 THEN 'other' ELSE op END AS op, CASE WHEN seq%1511=3 THEN 2 ELSE revision END AS revision) FROM sound_log WHERE seq%1009<>5"""),
+    "deliveries": ([], """SELECT seq, k%4+1 AS n_parts, arrival, revision, damaged FROM (SELECT event_id AS seq, json_extract_string(props,'$.k')::BIGINT AS k, (event_id-event_id%64)*16 AS b FROM events), LATERAL
+        (SELECT b+seq%64*2 AS arrival, CASE WHEN seq%53=8 THEN 2 ELSE 1 END AS revision, seq%41=9 AS damaged WHERE seq%97<>11 UNION ALL SELECT b+seq%64*2+1, 1, false WHERE seq%23=6 UNION ALL SELECT b+512+seq%64, 1, false)"""),
+    "delivered_parts": (["deliveries"], """SELECT arrival, seq, part, layer_id, (seq*31+part*7)%4096 AS idx, seq*10+part AS value, NOT (damaged AND part=0) AS ok
+        FROM (SELECT *, unnest(range(0, n_parts)) AS part FROM deliveries) JOIN (SELECT event_id AS seq, (['context-0','mission-1','operational-2'])[user_id%3+1] AS layer_id FROM events) USING (seq)
+        WHERE NOT (damaged AND part=0 AND seq%2=0)"""),
     "artifacts": ([], "SELECT 'layers/'||doc_id||'.txt' AS path, source AS kind, strlen(text) AS bytes, sha256(text) AS sha256 FROM documents"),
     "prior_artifacts": ([], """SELECT 'layers/'||doc_id||'.txt' AS path, source AS kind, strlen(t) AS bytes, sha256(t) AS sha256
         FROM (SELECT *, CASE WHEN doc_id%89=0 THEN text||'x' ELSE text END AS t FROM documents WHERE doc_id%97<>0)"""),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.codes import DELTA_WINDOW, FEATURE_CLASS
-from gridloom.operators.ordered import lag_in_order
+from gridloom.operators.ordered import lag_in_order, scan
 
 c = F.col
 
@@ -124,21 +124,8 @@ def latest_values(base: DataFrame, changes: DataFrame) -> DataFrame:
 
 def admission(arrivals: DataFrame, revision: int) -> DataFrame:
     """What a consumer does with each delta in arrival order: apply, ignore, fetch the gap or resync."""
-    seen = running_max(arrivals.withColumn("_v", F.when(c("revision") == revision, c("seq"))), [], "arrival", "_v", "_head")
+    seen = scan(arrivals, [], "arrival", F.when(c("revision") == revision, c("seq")), "max", "_head")
     expected = F.coalesce(c("_head"), F.lit(-1)) + 1
     action = (F.when(c("revision") != revision, "resync").when(c("seq") < expected, "ignore")
               .when(c("seq") > expected, "fetch").otherwise("apply"))
-    return seen.withColumn("expected", expected).withColumn("action", action).drop("_v", "_head")
-
-
-def running_max(df: DataFrame, keys: list[str], order_col: str, value: str, name: str, bucket: int = 4096) -> DataFrame:
-    """Maximum of all earlier rows of the key (exclusive), by two levels like ``running_sum_in_order``."""
-    from pyspark.sql.window import Window
-
-    df = df.withColumn("_b", F.floor(c(order_col) / bucket))
-    prior = Window.partitionBy(*keys, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_m", F.max(value).over(prior))
-    heads = df.groupBy(*keys, "_b").agg(F.max(value).alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = heads.select(*keys, "_b", F.max("_t").over(before).alias("_c"))
-    return local.join(carry, [*keys, "_b"]).withColumn(name, F.greatest("_m", "_c")).drop("_b", "_m", "_c")
+    return seen.withColumn("expected", expected).withColumn("action", action).drop("_head")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom import fixtures as fx
 from gridloom.codes import FEATURE_CLASS
 from gridloom.fixtures import rnd, with_ctes
-from gridloom.operators import estimate, grid, log, rules
+from gridloom.operators import admission, estimate, grid, log, rules
 from gridloom.operators.quantiles import exact_percentiles
 from gridloom.plans.features import _R, FAULTY, ROCKS, craters, faulty_rocks
 from gridloom.plans.features import CRATERS as CRATER_SQL
@@ -132,6 +132,57 @@ def sparse_bounds(spark, sf):
                     F.forall(F.transform(F.slice(i, 2, 4), lambda v, k: v > F.get(i, k)), lambda ok: ok).alias("increasing"))
 
 
+_PATH = {
+    "good": """SELECT arrival, seq FROM deliveries LEFT JOIN (SELECT arrival, count(DISTINCT part) AS n, bool_and(ok) AS ok FROM delivered_parts GROUP BY 1) p USING (arrival)
+        WHERE revision=1 AND n=n_parts AND ok""",
+    "step": "SELECT a.arrival, min(b.arrival) AS next FROM good a JOIN good b ON b.seq=a.seq+1 AND b.arrival>a.arrival GROUP BY 1",
+    "path": "SELECT min(arrival) AS arrival FROM good WHERE seq=0 UNION ALL SELECT next FROM path JOIN step USING (arrival)",
+    "judged": """SELECT *, CASE WHEN revision<>1 THEN 'resync' WHEN seq<expected THEN 'ignore' WHEN seq>expected THEN 'fetch' WHEN applied THEN 'apply' ELSE 'roll back' END AS status FROM
+        (SELECT arrival, seq, revision, p.a IS NOT NULL AS applied, coalesce(max(CASE WHEN p.a IS NOT NULL THEN seq END) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)+1, 0) AS expected
+         FROM deliveries LEFT JOIN (SELECT arrival AS a FROM path) p ON a=arrival)""",
+}
+
+
+def _recursive(body, *names, **extra):
+    return with_ctes(body, *names, **extra).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _admitted(spark, sf):
+    return admission.admit(fx.deliveries(spark, sf), fx.delivered_parts(spark, sf), fx.delta_log(spark, sf, faults=False), 0, 1)
+
+
+@query("consumer_admission", _recursive("SELECT arrival, seq, expected, status FROM judged", "deliveries", "delivered_parts", **_PATH))
+def consumer_admission(spark, sf):
+    """What a consumer does with every delivery of a lossy line: apply, ignore, fetch, roll back or resync."""
+    return _admitted(spark, sf).select("arrival", "seq", "expected", "status")
+
+
+@query("consumer_copy", _recursive(
+    """SELECT layer_id, idx, arg_max(value, seq*10+part) AS value, max(seq) AS seq FROM delivered_parts JOIN (SELECT arrival FROM judged WHERE status='apply') USING (arrival) GROUP BY ALL""",
+    "deliveries", "delivered_parts", **_PATH))
+def consumer_copy(spark, sf):
+    """The copy after all deliveries: undone and ignored ones leave nothing behind."""
+    nothing = spark.createDataFrame([], "layer_id string, idx long, value long")
+    return admission.copy_after(nothing, fx.delivered_parts(spark, sf), _admitted(spark, sf))
+
+
+@query("log_problems", with_ctes(
+    """SELECT problem, count(*) AS n, min(seq) AS first_seq FROM (
+       SELECT seq, 'terrain chain' AS problem FROM (SELECT seq, previous, lag(resulting) OVER (PARTITION BY layer_id ORDER BY seq) AS p FROM delta_log) WHERE previous<>p
+       UNION ALL SELECT seq, 'rock chain' FROM (SELECT seq, rocks_before, lag(rocks_after) OVER (ORDER BY seq) AS p FROM delta_log) WHERE rocks_before<>p
+       UNION ALL SELECT seq, 'sequence' FROM (SELECT seq, lag(seq) OVER (ORDER BY seq) AS p FROM delta_log) WHERE seq<>p+1
+       UNION ALL SELECT seq, 'newer revision' FROM delta_log WHERE revision>1
+       UNION ALL SELECT d.seq, 'operation differs' FROM delta_log d LEFT JOIN sound_log o USING (seq) WHERE d.op IS DISTINCT FROM o.op
+       UNION ALL SELECT NULL, 'operation count' WHERE (SELECT count(*) FROM sound_log)<>(SELECT count(*)+1 FROM events)
+       UNION ALL SELECT NULL, 'delta count' WHERE (SELECT count(*) FROM delta_log)>(SELECT count(*)+1 FROM events)
+       UNION ALL SELECT NULL, 'last sequence' WHERE (SELECT max(seq) FROM delta_log)<>(SELECT count(*) FROM events)) GROUP BY problem""", "sound_log", "delta_log"))
+def log_problems(spark, sf):
+    """Every break of a stored log whose next number was recorded one too high."""
+    count = fx.table(spark, sf, "events").count() + 1
+    found = admission.snapshot_problems(fx.delta_log(spark, sf), fx.delta_log(spark, sf, faults=False).select("seq", "op"), 1, count)
+    return found.groupBy("problem").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
 # ------------------------------------------------------------------ manifests and digests
 @query("artifact_manifest", with_ctes(
     """SELECT kind, count(*) AS files, sum(bytes)::BIGINT AS bytes, min(sha256||'  '||path) AS first_line FROM artifacts GROUP BY kind""", "artifacts"))

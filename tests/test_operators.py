@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import crater, geo, mobility, solar
-from gridloom.operators import edits, ephemeris, estimate, fold, log, population, replay, rules, stencil, validation
-from gridloom.operators.ordered import lag_in_order, running_sum_in_order
+from gridloom.operators import admission, edits, ephemeris, estimate, fold, log, population, replay, rules, stencil, validation
+from gridloom.operators.ordered import lag_in_order, running_sum_in_order, scan
 from gridloom.sources import raster_io
 
 c = F.col
@@ -281,6 +281,79 @@ def test_two_level_lag_and_sum(spark):
             assert sums[k, o] == sum(x * 2 for x in order[: i + 1])
 
 
+def test_scans_at_any_depth(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), o, rng.choice([None, rng.randrange(99)])) for o in rng.sample(range(-400, 3000), 500)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    names = ["last", "sum", "max", "min"]
+    for levels in (1, 2, 5):
+        out = df
+        for kind in names:
+            out = scan(out, ["k"], "o", c("v"), kind, kind, bucket=4, levels=levels)
+        for r in out.collect():
+            past = [v for k, o, v in sorted(rows, key=lambda x: x[1]) if k == r["k"] and o < r["o"] and v is not None]
+            assert [r[n] for n in names] == [past[-1] if past else None, sum(past), max(past, default=None), min(past, default=None)]
+    assert scan(df.limit(0), ["k"], "o", c("v"), "sum", "s").count() == 0
+
+
+def serial_consumer(deliveries, parts, broken, start, revision):
+    """Delivery by delivery in arrival order."""
+    expected, out = start, {}
+    for arrival, rev, seq, n in sorted(deliveries):
+        mine = {}
+        for a, part, want, got in parts:
+            if a == arrival:
+                mine[part] = mine.get(part, True) and want == got
+        if rev != revision:
+            status = "resync"
+        elif seq is None or seq < expected:
+            status = "ignore"
+        elif seq > expected:
+            status = "fetch"
+        elif seq in broken:
+            status = "resync"
+        else:
+            status = "apply" if len(mine) == n and all(mine.values()) else "roll back"
+        out[arrival] = (expected, status)
+        expected += status == "apply"
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_consumer_equals_a_serial_one(spark, seed):
+    rng = random.Random(seed)
+    # Number 25 breaks its chain in the second log; a third of all deliveries repeat number 4.
+    broken = {25} if seed == 2 else set()
+    log_rows = [(s, "ab"[s % 2], f"r{s - 2}" if s not in broken else "wrong", f"r{s}") for s in range(3, 40)]
+    deliveries, parts = [], []
+    for arrival in range(900):
+        seq = 4 if rng.random() < 0.33 else rng.choice([None, 99]) if rng.random() < 0.02 else min(39, max(3, arrival // 24 + rng.randrange(-2, 3)))
+        n = rng.randrange(1, 4)
+        deliveries.append((arrival, rng.choice([1] * 9 + [2]), seq, n))
+        for part in range(n):
+            if rng.random() < 0.9:
+                parts.append((arrival, part, "x", "x" if rng.random() < 0.9 else rng.choice(["y", None])))
+    d = spark.createDataFrame(deliveries, "arrival long, revision long, seq long, n_parts long")
+    p = spark.createDataFrame(parts, "arrival long, part long, want string, got string")
+    lg = spark.createDataFrame(log_rows, "seq long, layer_id string, previous string, resulting string")
+    got = {r["arrival"]: (r["expected"], r["status"]) for r in admission.admit(d, p, lg, 3, 1).collect()}
+    want = serial_consumer(deliveries, parts, broken, 3, 1)
+    assert got == want and {"apply", "roll back", "fetch", "ignore", "resync"} <= {s for _, s in want.values()}
+
+
+def test_damaged_batch_is_rolled_back(spark):
+    d = spark.createDataFrame([(0, 1, 0, 2), (1, 1, 1, 2), (2, 1, 2, 1), (3, 1, 1, 2)], "arrival long, revision long, seq long, n_parts long")
+    parts = spark.createDataFrame([(0, 0, "p", "p", 5, 10), (0, 1, "p", "p", 6, 11), (1, 0, "p", "p", 5, 20), (1, 1, "p", "bad", 6, 21), (2, 0, "p", "p", 5, 30),
+                                   (3, 0, "p", "p", 5, 20), (3, 1, "p", "p", 7, 22)], "arrival long, part long, want string, got string, idx long, value long").withColumn("layer_id", F.lit("a"))
+    lg = spark.createDataFrame([(s, "a", f"r{s - 1}", f"r{s}") for s in range(3)], "seq long, layer_id string, previous string, resulting string")
+    base = spark.createDataFrame([("a", i, 1) for i in (5, 6, 7, 8)], "layer_id string, idx long, value long")
+    copy = lambda n: {r["idx"]: r["value"] for r in admission.copy_after(
+        base, parts, admission.admit(d.where(c("arrival") < n), parts, lg, 0, 1)).collect()}
+    assert copy(3) == {5: 10, 6: 11, 7: 1, 8: 1}
+    assert copy(4) == {5: 20, 6: 11, 7: 22, 8: 1}
+    assert copy(0) == {5: 1, 6: 1, 7: 1, 8: 1}
+
+
 def test_chain_break_is_found_across_buckets(spark):
     d = spark.createDataFrame([("a", 1, "x", "r1"), ("a", 9000, "r1", "r2"), ("a", 9001, "bad", "r3")], "layer_id string, seq long, previous string, resulting string")
     assert {r["seq"]: r["broken"] for r in log.chain_breaks(d).collect()} == {1: False, 9000: False, 9001: True}
