@@ -45,7 +45,8 @@ def on_path(step: DataFrame, roots: DataFrame) -> DataFrame:
         ahead = cut_lineage(path.join(jump, "node").select(c("to").alias("node")))
         if ahead.isEmpty():
             return path
-        path = cut_lineage(path.unionByName(ahead))
+        # Parts of the path are kept as they were written; the last jumps are not needed once nothing lies ahead.
+        path = path.unionByName(ahead)
         far = jump.select(c("node").alias("to"), c("to").alias("_far"))
         jump = cut_lineage(jump.join(far, "to").select("node", c("_far").alias("to")))
 
