@@ -96,6 +96,7 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a, v FROM reac
 SELECT r.a AS doc_id, coalesce(min(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, min(r.b) = r.a AS kept
 FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
 
+# Holds where no conversation passes the size of one part.
 CHAT = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (SELECT conv_id, list(role || chr(31) || text ORDER BY turn, role, text) AS turns,
@@ -105,7 +106,7 @@ p AS (SELECT DISTINCT k, array_to_string(turns[1:k], chr(30)) AS body FROM c, LA
 f AS (SELECT conv_id, turns, rendered, array_to_string(turns, chr(30)) AS body FROM c),
 o AS (SELECT conv_id, len(turns) AS n, rendered, p.k IS NULL AND row_number() OVER (PARTITION BY len(turns), f.body ORDER BY conv_id) = 1 AS kept
       FROM f LEFT JOIN p ON p.k = len(turns) AND p.body = f.body)
-SELECT conv_id, n::BIGINT AS n_turns, kept, CASE WHEN kept THEN rendered END AS rendered FROM o"""
+SELECT conv_id, n::BIGINT AS n_turns, kept, 0::BIGINT AS part, CASE WHEN kept THEN rendered END AS rendered FROM o"""
 
 RECORD = (r"""'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e ||
     'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e""")

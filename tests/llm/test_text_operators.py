@@ -249,6 +249,31 @@ def test_chats(spark, monkeypatch):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_large_chats_come_in_parts(spark, monkeypatch):
+    for name, value in {"BLOCK": 3, "WHOLE_TURNS": 6, "PART_CHARS": 90, "COPIES": 4}.items():
+        monkeypatch.setattr(chat, name, value)
+    # Repeated rows, null and repeated numbers, distinct texts under one number, a text longer than a part.
+    big = [(None, "user", "same")] * 23 + [(None, "user", f"t{i}") for i in range(30)] + [(5, "a", "x" * 300), (5, "a", ""), (5, None, None), (7, "b", "end")]
+    rows = [(cid, n, r, t) for cid in (None, 1) for n, r, t in big] + [(2, 1, "user", "short"), (3, None, "user", "t0")]
+    rows += [(4, None, r, t) for _, r, t in sorted(big[:53], key=lambda x: x[2])[:10]]
+    random.Random(5).shuffle(rows)
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    plain = {}
+    for cid, n, r, t in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        plain.setdefault(cid, []).append((r or "", t or ""))
+    kept = brute.snapshots(plain)
+    for cid, talk in plain.items():
+        mine = sorted((r for r in out if r["conv_id"] == cid), key=lambda r: r["part"])
+        assert {(r["n_turns"], r["kept"]) for r in mine} == {(len(talk), kept[cid])}
+        if kept[cid]:
+            assert "".join(r["rendered"] for r in mine) == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in talk)
+            assert len(mine) > 5 or len(talk) <= 6
+            assert all(len(r["rendered"]) <= 90 + 340 for r in mine)
+        else:
+            assert [r["rendered"] for r in mine] == [None]
+    assert not kept[4] and kept[2]
+
+
 # --- 7
 
 
