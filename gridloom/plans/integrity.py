@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom import fixtures as fx
 from gridloom.codes import FEATURE_CLASS
 from gridloom.fixtures import rnd, with_ctes
-from gridloom.operators import admission, estimate, grid, log, rules
+from gridloom.operators import admission, digests, estimate, grid, log, rules
 from gridloom.operators.quantiles import exact_percentiles
 from gridloom.plans.features import _R, FAULTY, ROCKS, craters, faulty_rocks
 from gridloom.plans.features import CRATERS as CRATER_SQL
@@ -218,6 +218,45 @@ def layer_digest(spark, sf):
     return log.layer_digests(fx.raster_rows(spark, sf))
 
 
+_TILE = 16
+
+
+def _edited_rows(spark, sf):
+    """Rows of one layer that the events overwrite samples of, with their last values."""
+    n = fx.raster_height(spark, sf)
+    i = (c("event_id") * 31) % (n * fx.WIDTH)
+    last = fx.table(spark, sf, "events").groupBy(i.alias("idx")).agg(F.max_by("value", "event_id").alias("v"))
+    new = last.groupBy(F.floor(c("idx") / fx.WIDTH).alias("row")).agg(
+        F.map_from_entries(F.collect_list(F.struct((c("idx") % fx.WIDTH).cast("int").alias("k"), (c("v") / 1000.0).cast("float").alias("v")))).alias("new"))
+    rows = fx.raster_rows(spark, sf).where(c("layer_id") == "context-0").join(new, "row")
+    return rows.withColumn("heights", F.transform("heights", lambda h, k: F.coalesce(F.try_element_at("new", k), h))).drop("new")
+
+
+@query("digest_update", with_ctes(
+    """SELECT layer_id, row//16*4+col//16 AS tile, count(DISTINCT row) AS changed, 0::BIGINT AS missing, 0::BIGINT AS surplus, true AS heights_differ, false AS masks_differ
+       FROM samples JOIN (SELECT 'context-0' AS layer_id, (event_id*31)%(n*64)//64 AS row, (event_id*31)%(n*64)%64 AS col, arg_max(value, event_id) AS v FROM events, n GROUP BY ALL)
+       USING (layer_id, row, col) WHERE (v/1e3)::FLOAT<>h::FLOAT GROUP BY ALL""", "samples"))
+def digest_update(spark, sf):
+    """Tiles that a log of sample values changes, read off the digest tree before and after it was brought up to date."""
+    before = digests.tree(fx.raster_rows(spark, sf), _TILE)
+    after = digests.updated(before, _edited_rows(spark, sf), _TILE)
+    return digests.differing_tiles(digests.differing(before, after, _TILE), _TILE)
+
+
+@query("restore_check", with_ctes(
+    """SELECT layer_id, row//16*4+col//16 AS tile, count(DISTINCT row) FILTER (row%211<>7) AS changed, count(DISTINCT row) FILTER (row%211=7) AS missing, 0::BIGINT AS surplus,
+       bool_or(row%211=7 OR row%173=5 AND col=20) AS heights_differ, bool_or(row%211=7 OR row%199=3 AND col=50) AS masks_differ
+       FROM samples WHERE row%211=7 OR row%173=5 AND col=20 OR row%199=3 AND col=50 GROUP BY ALL""", "samples"))
+def restore_check(spark, sf):
+    """Tiles in which a stored copy with lost rows, altered heights and altered classes differs from its source."""
+    rows = fx.raster_rows(spark, sf)
+    r = c("row")
+    stored = rows.where(r % 211 != 7).withColumns({
+        "heights": F.transform("heights", lambda h, k: F.when((r % 173 == 5) & (k == 20), (F.abs(h) + 1).cast("float")).otherwise(h)),
+        "semantic": F.transform("semantic", lambda m, k: F.when((r % 199 == 3) & (k == 50), (m + 1).cast("tinyint")).otherwise(m))})
+    return digests.differing_tiles(digests.differing(digests.tree(rows, _TILE), digests.tree(stored, _TILE), _TILE), _TILE)
+
+
 @query("world_digest", with_ctes(
     """SELECT kind, sha256(string_agg(b, '' ORDER BY blk)) AS digest FROM (SELECT kind, doc//64 AS blk, sha256(string_agg(sha256, '' ORDER BY doc)) AS b FROM (SELECT kind, sha256, regexp_extract(path,'([0-9]+)',1)::BIGINT AS doc FROM artifacts) GROUP BY ALL) GROUP BY kind""", "artifacts"))
 def world_digest(spark, sf):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import crater, geo, mobility, solar
-from gridloom.operators import admission, edits, ephemeris, estimate, fold, log, population, replay, rules, stencil, validation
+from gridloom.operators import admission, digests, edits, ephemeris, estimate, fold, log, population, replay, rules, stencil, validation
 from gridloom.operators.ordered import lag_in_order, running_sum_in_order, scan
 from gridloom.sources import raster_io
 
@@ -354,6 +354,38 @@ def test_damaged_batch_is_rolled_back(spark):
     assert copy(0) == {5: 1, 6: 1, 7: 1, 8: 1}
 
 
+def test_digest_trees(spark):
+    import hashlib
+
+    rng = random.Random(2)
+    make = lambda n, w: [[None if rng.random() < 0.1 else float(np.float32(rng.random())) for _ in range(w)] for _ in range(n)]
+    data = {"a": make(23, 10), "b": make(5, 3)}
+    frame = lambda d, only=None: spark.createDataFrame(
+        [(k, r, v, [r % 7] * len(v)) for k, rows in d.items() for r, v in enumerate(rows) if only is None or (k, r) in only],
+        "layer_id string, row long, heights array<float>, semantic array<tinyint>")
+    flat = lambda levels: [sorted(map(tuple, x.collect())) for x in levels]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    one = digests.tree(frame(data), 4)
+    # Leaves and one tile against a plain loop.
+    part = lambda k, r, t: np.array([np.nan if h is None else h for h in data[k][r][t * 4:t * 4 + 4]], "<f4").tobytes()
+    want = {("a", (r // 4 * 3 + t) * 4 + r % 4): sha(part("a", r, t)) for r in range(23) for t in range(3)}
+    assert {(x[0], x[1]): x[2] for x in flat(one)[0] if x[0] == "a"} == want
+    tile = {(x[0], x[1]): x[2] for x in flat(one)[1]}
+    assert tile["a", 2] == sha(",".join(f"{8 + i}:{want['a', 8 + i]}" for i in range(4)).encode())
+    assert [x[:2] for x in flat(one)[-1]] == [("a", 0), ("b", 0)]
+    # Replacing rows gives the tree of the new rows, and the way down finds exactly their tiles.
+    data["a"][9][5], data["a"][22][0], data["b"][4][2] = 7.0, 8.0, 9.0
+    two = digests.updated(one, frame(data, {("a", 9), ("a", 22), ("b", 4), ("b", 1)}), 4)
+    assert flat(two) == flat(digests.tree(frame(data), 4))
+    bad = {(r["layer_id"], r["node"]): (r["status"], r["heights_differ"], r["masks_differ"]) for r in digests.differing(one, two, 4).collect()}
+    assert bad == {k: ("changed", True, False) for k in (("a", (2 * 3 + 1) * 4 + 1), ("a", (5 * 3) * 4 + 2), ("b", 4))}
+    assert digests.differing(one, digests.tree(frame(data, {("b", r) for r in range(4)}), 4), 4).where("status = 'missing'").count() == 23 * 3 + 1
+    # An absent mask is a value of its own; equal trees do not differ; an empty layer has no root.
+    assert {x[3] for x in flat(digests.tree(frame(data), 4, mask=None))[0]} == {sha(b"")}
+    assert digests.differing(two, digests.tree(frame(data), 4), 4).count() == 0
+    assert flat(digests.tree(frame({}), 4)) == [[], []]
+
+
 def test_chain_break_is_found_across_buckets(spark):
     d = spark.createDataFrame([("a", 1, "x", "r1"), ("a", 9000, "r1", "r2"), ("a", 9001, "bad", "r3")], "layer_id string, seq long, previous string, resulting string")
     assert {r["seq"]: r["broken"] for r in log.chain_breaks(d).collect()} == {1: False, 9000: False, 9001: True}
