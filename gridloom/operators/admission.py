@@ -6,11 +6,13 @@ state before it, and a later delivery of the same number can still be applied.
 
 Which delivery of a number is applied depends on when its predecessor was, so the applied ones are a path: every intact
 delivery points to the first intact delivery of the next number after it (one scan), and the path from the first number is
-found by pointer doubling, in as many rounds as the logarithm of its length.
+found inside ranges of arrivals and by pointer doubling over ranges.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +39,57 @@ def next_delivery(good: DataFrame) -> DataFrame:
     return seen.where(~c("offer") & c("to").isNotNull()).select(c("arrival").alias("node"), "to")
 
 
-def on_path(step: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node): everything that is reached from ``roots(node)`` over ``step(node, to)``, at most one step a node."""
-    jump, path = cut_lineage(step), cut_lineage(roots.select("node"))
+def _walk(batches, from_entry: bool):
+    """Inside one range of nodes: where every node leaves the range, or the nodes that are passed from the range's entry."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    get = lambda n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in batches])
+    node, to = get("node"), get("to")
+    order = np.argsort(node)
+    node, to = node[order], to[order]
+    at = np.minimum(np.searchsorted(node, to), len(node) - 1)
+    ahead = np.where(node[at] == to, at, np.arange(len(node)))
+    if from_entry:
+        here = int(np.searchsorted(node, get("entry")[0]))
+        passed = [here]
+        while ahead[here] != here:
+            here = int(ahead[here])
+            passed.append(here)
+        yield pa.RecordBatch.from_arrays([pa.array(node[passed])], names=["node"])
+        return
     while True:
-        # The path holds all nodes nearer than the length of a jump, so what a jump adds is new.
-        ahead = cut_lineage(path.join(jump, "node").select(c("to").alias("node")))
+        further = ahead[ahead]
+        if (further == ahead).all():
+            break
+        ahead = further
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(to[ahead])], names=["node", "to"])
+
+
+def on_path(step: DataFrame, root: DataFrame, parts: int | None = None) -> DataFrame:
+    """(node): everything that is reached from the one row of ``root(node)`` over ``step(node, to)`` with ``to`` > ``node``, one step a node.
+
+    Nodes are cut into ranges of their order.  A path only rises, so it passes through a range once: steps inside a range are
+    skipped first, and the rounds follow the logarithm of the number of ranges instead of the path's length.
+    """
+    cut = step.repartitionByRange(parts, "node") if parts else step.repartitionByRange("node")
+    cut = cut_lineage(cut.withColumn("_range", F.spark_partition_id()))
+    exits = cut.select("node", "to").mapInArrow(lambda b: _walk(b, False), "node long, to long")
+    exits = cut_lineage(exits)
+    entered = exits.select(c("to").alias("node")).unionByName(root.select("node")).distinct()
+    jump, reached = cut_lineage(exits.join(entered, "node", "left_semi")), cut_lineage(root.select("node"))
+    while True:
+        # What is reached holds all entries nearer than the length of a jump, so what a jump adds is new.
+        ahead = cut_lineage(reached.join(jump, "node").select(c("to").alias("node")))
         if ahead.isEmpty():
-            return path
-        # Parts of the path are kept as they were written; the last jumps are not needed once nothing lies ahead.
-        path = path.unionByName(ahead)
+            break
+        reached = reached.unionByName(ahead)
         far = jump.select(c("node").alias("to"), c("to").alias("_far"))
         jump = cut_lineage(jump.join(far, "to").select("node", c("_far").alias("to")))
+    # At most one entry a range, so there are no more rows than partitions.
+    entry = cut.join(reached, "node", "left_semi").groupBy("_range").agg(F.min("node").alias("entry"))
+    passed = cut.join(F.broadcast(entry), "_range").select("node", "to", "entry").mapInArrow(lambda b: _walk(b, True), "node long")
+    return passed.unionByName(reached).distinct()
 
 
 def admit(deliveries: DataFrame, parts: DataFrame, log: DataFrame, start: int, revision: int) -> DataFrame:

@@ -341,6 +341,21 @@ def test_consumer_equals_a_serial_one(spark, seed):
     assert got == want and {"apply", "roll back", "fetch", "ignore", "resync"} <= {s for _, s in want.values()}
 
 
+def test_path_through_ranges(spark):
+    rng = random.Random(6)
+    step = {n: n + rng.randrange(1, 9) for n in range(600) if n % 150 != 149}
+    df = spark.createDataFrame(list(step.items()), "node long, to long")
+    for start in (0, 3, 598, 10_000):
+        want, n = [start], start
+        while n in step:
+            n = step[n]
+            want.append(n)
+        for parts in (1, 7, 40):
+            got = admission.on_path(df, spark.createDataFrame([(start,)], "node long"), parts)
+            assert sorted(r["node"] for r in got.collect()) == want
+    assert admission.on_path(df, spark.createDataFrame([], "node long"), 7).count() == 0
+
+
 def test_damaged_batch_is_rolled_back(spark):
     d = spark.createDataFrame([(0, 1, 0, 2), (1, 1, 1, 2), (2, 1, 2, 1), (3, 1, 1, 2)], "arrival long, revision long, seq long, n_parts long")
     parts = spark.createDataFrame([(0, 0, "p", "p", 5, 10), (0, 1, "p", "p", 6, 11), (1, 0, "p", "p", 5, 20), (1, 1, "p", "bad", 6, 21), (2, 0, "p", "p", 5, 30),
