@@ -111,13 +111,13 @@ def site_build(spark, sf):
     rows = add_relief(fx.raster_rows(spark, sf), layers, "procedural", 0.2, 0.3, 1.0, 135.0)
     ids = F.array(*[F.lit(r["layer_id"]) for r in layers.collect()])
     seeds = stamping.crater_table(_craters(spark, sf)).withColumn("layer_id", F.explode(ids))
-    ch = stamping.crater_changes(seeds, layers)
-    rows = fold.apply_to_rows(rows, fold.final_heights(fold.ordered_fold(fold.with_base(ch, rows))))
+    stamped = stamping.stamped_heights(seeds, rows, layers)
+    rows = fold.apply_to_rows(rows, stamped)
     fine = layers.where(c("res") <= 0.125)
     rows = add_relief(rows.join(fine.select("layer_id"), "layer_id"), fine, "regolith", 2.0, 0.02).unionByName(
         rows.join(fine.select("layer_id"), "layer_id", "left_anti").select("layer_id", "row", "heights"))
     cells = grid.cells(rows, layers).withColumn("slope", stencil.interior_slope())
-    zones = stamping.last_zone(ch).select("layer_id", "row", "col", "code")
+    zones = stamped.select("layer_id", "row", "col", "code")
     j = cells.join(zones, ["layer_id", "row", "col"], "left")
     code = stencil.classify_by_slope(F.coalesce("code", F.lit(0)), c("slope"))
     return j.groupBy("layer_id", code.alias("code")).agg(F.count("*").alias("samples"), r6(F.avg("h"), 4).alias("mean_h"))

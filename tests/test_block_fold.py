@@ -37,3 +37,17 @@ def test_edits_are_moved_instead_of_their_samples(spark):
 
         plan = all_queries()[0][name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1, name
+
+
+def test_stamped_heights_are_those_of_the_fold_by_sample(spark):
+    from gridloom.operators import stamping
+    from gridloom.plans import features
+
+    seeds, layers = features.craters_on_all_layers(spark, SF)
+    rows = fx.raster_rows(spark, SF)
+    ch = stamping.crater_changes(seeds, layers)
+    want = fold.final_heights(fold.ordered_fold(fold.with_base(ch, rows))).join(stamping.last_zone(ch), ["layer_id", "row", "col"])
+    keys = ["layer_id", "row", "col", "h", "changes", "code"]
+    got = stamping.stamped_heights(seeds, rows, layers).select(*keys)
+    assert got.count() == want.count() > 0 and got.exceptAll(want.select(*keys)).isEmpty()
+    assert features.crater_stamp_grid(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
