@@ -51,3 +51,8 @@ def test_stamped_heights_are_those_of_the_fold_by_sample(spark):
     got = stamping.stamped_heights(seeds, rows, layers).select(*keys)
     assert got.count() == want.count() > 0 and got.exceptAll(want.select(*keys)).isEmpty()
     assert features.crater_stamp_grid(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_crater_seeds_send_no_table_to_the_driver(spark):
+    plan = fx.crater_seeds(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
