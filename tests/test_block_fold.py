@@ -56,3 +56,18 @@ def test_stamped_heights_are_those_of_the_fold_by_sample(spark):
 def test_crater_seeds_send_no_table_to_the_driver(spark):
     plan = fx.crater_seeds(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_polygon_totals_are_those_of_the_column_expressions(spark):
+    from gridloom.functions import brush
+
+    layers = fx.layers(spark, SF)
+    ops = edits.valid_ops(fx.operations(spark, SF), layers).where(c("kind").startswith("polygonal"))
+    s = fold.explode_boxes(edits.geometry(ops, layers), layers, edits.BOX)
+    want = {r["seq"]: r for r in s.groupBy("seq").agg(
+        F.count_if(brush.inside_polygon(c("x"), c("z"), c("segments"))).alias("inside"),
+        F.sum(brush.boundary_distance(c("x"), c("z"), c("segments"))).alias("d")).collect()}
+    got = {r["seq"]: r for r in edits.polygon_totals(ops, layers).collect()}
+    assert set(got) == set(want) and len(got) > 50
+    for seq, r in got.items():
+        assert r["inside"] == want[seq]["inside"] and abs(r["distance_sum"] - want[seq]["d"]) < 1e-9 * max(1, r["distance_sum"])
