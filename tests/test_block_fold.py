@@ -71,3 +71,10 @@ def test_polygon_totals_are_those_of_the_column_expressions(spark):
     assert set(got) == set(want) and len(got) > 50
     for seq, r in got.items():
         assert r["inside"] == want[seq]["inside"] and abs(r["distance_sum"] - want[seq]["d"]) < 1e-9 * max(1, r["distance_sum"])
+
+
+def test_rock_counts_are_dealt_out(spark):
+    from gridloom.plans import all_queries
+
+    plan = all_queries()[0]["rock_sfd"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
