@@ -78,3 +78,17 @@ def test_rock_counts_are_dealt_out(spark):
 
     plan = all_queries()[0]["rock_sfd"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_large_batches_are_staged_as_several_files(spark, tmp_path):
+    from gridloom.streaming import log_stream
+
+    df = spark.range(3000).withColumn("layer_id", F.lit("a"))
+    path, files = log_stream.stage_batches(df, f"{tmp_path}/in", "id", 3, file_rows=100)
+    assert files == 10 and len(spark.read.parquet(path).inputFiles()) == 30
+    seen = []
+    log_stream.run(log_stream.file_stream(spark, path, df.schema, files), lambda b, n: seen.append(sorted(r[0] for r in b.select("id").collect())), f"{tmp_path}/ck")
+    assert seen == [list(range(1000)), list(range(1000, 2000)), list(range(2000, 3000))]
+    # Order values with a gap: an empty group cannot have ten files.
+    path, files = log_stream.stage_batches(df.where("id < 900 or id = 2999"), f"{tmp_path}/gap", "id", 3, file_rows=30)
+    assert files == 1 and spark.read.parquet(path).count() == 901
