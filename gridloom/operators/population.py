@@ -6,6 +6,7 @@ and a lost executor makes the same ones again.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -171,36 +172,64 @@ def pick_annulus(draws: DataFrame, rims: DataFrame, cells: int = 1024) -> DataFr
         (c("pick") >= c("lo_share")) & (c("pick") < c("hi_share"))).drop("_cell", "lo_share", "hi_share")
 
 
+#: Earliest undecided features that a list of ``thin_by_exclusion`` shows in a round; sets the rounds, never the result.
+HEADS = 128
+
+
 def thin_by_exclusion(features: DataFrame, factor: float, cell: float) -> DataFrame:
     """Greedy thinning in placement order: keep a feature when no kept earlier one is too close.
 
-    ``features(ord, x, z, diameter)``.  Conflicting pairs are found once through grid buckets; then a
-    feature is kept when all its earlier neighbours are dropped and dropped when one is kept.  The
-    rounds go on until every feature is decided, which gives exactly the greedy result.
+    ``features(ord, x, z, diameter)`` with unique ``ord``; features with a null among them meet nothing and are kept.
+    Cells form levels of doubling size from ``cell``; a feature's own level is the first whose cells are as wide as its reach,
+    and it also lies in the cells of all wider levels in use.  Two features that conflict lie in the same or adjoining cells
+    of the wider one's level.  No list of conflicting pairs is made: in every round a cell shows its first undecided
+    features only.  A feature that comes no later than the last one shown anywhere around it, and conflicts with none
+    shown before it, is kept; then all that conflict with it leave at once.  The first undecided feature always
+    qualifies, so the rounds end with exactly the greedy result.
     """
-    f = features.select("ord", "x", "z", "diameter").withColumn("_gx", F.floor(c("x") / cell)).withColumn(
-        "_gz", F.floor(c("z") / cell))
-    # Neighbour reach in cells follows the larger of the two diameters, so large features look wider.
-    reach = F.ceil(c("diameter") * (factor * 0.5) / cell)
-    around = f.withColumn("_nx", F.explode(F.sequence(c("_gx") - reach, c("_gx") + reach))).withColumn(
-        "_nz", F.explode(F.sequence(c("_gz") - reach, c("_gz") + reach)))
-    a = around.select(c("ord").alias("a"), c("x").alias("ax"), c("z").alias("az"), c("diameter").alias("ad"), "_nx", "_nz")
-    b = f.select(c("ord").alias("b"), c("x").alias("bx"), c("z").alias("bz"), c("diameter").alias("bd"),
-                 c("_gx").alias("_nx"), c("_gz").alias("_nz"))
-    need = F.greatest("ad", "bd") * (factor * 0.5)
-    near = (c("ax") - c("bx")) * (c("ax") - c("bx")) + (c("az") - c("bz")) * (c("az") - c("bz")) < need * need
-    # The wider of the two finds the pair, whichever came first.
-    pairs = a.join(b, ["_nx", "_nz"]).where((c("a") != c("b")) & near & (c("ad") >= c("bd")))
-    pairs = cut_lineage(pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct())
-    state = cut_lineage(features.select("ord").withColumn("kept", F.lit(None).cast("boolean")))
-    while True:
-        early = state.select(c("ord").alias("early"), c("kept").alias("early_kept"))
-        seen = pairs.join(early, "early").groupBy("late").agg(
-            F.bool_or(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.bool_or(c("early_kept").isNull()).alias("open"))
-        nxt = state.join(seen.withColumnRenamed("late", "ord"), "ord", "left").select("ord", F.when(
-            c("kept").isNotNull(), c("kept")).when(F.coalesce("hit", F.lit(False)), False).when(
-            ~F.coalesce("open", F.lit(False)), True).alias("kept"))
-        state = cut_lineage(nxt)
-        if state.where(c("kept").isNull()).limit(1).count() == 0:
-            break
-    return features.join(state.where("kept").select("ord"), "ord")
+    from gridloom.operators.fold import task_count
+
+    near_to = lambda a, b: (
+        (c(f"{a}.x") - c(f"{b}.x")) * (c(f"{a}.x") - c(f"{b}.x")) + (c(f"{a}.z") - c(f"{b}.z")) * (c(f"{a}.z") - c(f"{b}.z"))
+        < F.greatest(f"{a}.diameter", f"{b}.diameter") * (factor * 0.5) * (F.greatest(f"{a}.diameter", f"{b}.diameter") * (factor * 0.5)))
+    placed = features.select("ord", "x", "z", "diameter").dropna()
+    reach = F.greatest(c("diameter") * (factor * 0.5 / cell), F.lit(1e-300))
+    placed = placed.withColumn("own", F.ceil(F.log2(reach) + 1e-9).cast("int"))
+    top = placed.agg(F.max("own").alias("m")).first()["m"]
+    if top is None:
+        return features
+    # Wider cells than needed are right as well, so very small features share the lowest of 24 levels.
+    placed = placed.withColumn("own", F.greatest("own", F.lit(top - 23)))
+    levels = sorted(r["own"] for r in placed.select("own").distinct().collect())
+    at = ("level", "gx", "gz")
+
+    def entries(some: DataFrame) -> DataFrame:
+        e = some.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= c("own"))))
+        size = F.pow(F.lit(2.0), c("level")) * cell
+        return e.select("*", F.floor(c("x") / size).alias("gx"), F.floor(c("z") / size).alias("gz"), (c("own") == c("level")).alias("wide"))
+
+    def around(e: DataFrame) -> DataFrame:
+        side = F.sequence(F.lit(-1), F.lit(1))
+        return e.withColumn("_i", F.explode(side)).withColumn("_j", F.explode(side)).withColumn("gx", c("gx") + c("_i")).withColumn(
+            "gz", c("gz") + c("_j")).drop("_i", "_j")
+
+    same = c("a.level").eqNullSafe(c("b.level")) & (c("a.gx") == c("b.gx")) & (c("a.gz") == c("b.gz"))
+    # What a feature meets at a level: the level's own features, and the narrower ones only at its own level.
+    met = c("a.wide") | c("b.wide")
+    rest, kept = cut_lineage(placed.repartition(task_count(placed.sparkSession), "ord")), []
+    while not rest.isEmpty():
+        e = entries(rest)
+        order = Window.partitionBy(*at, "wide").orderBy("ord")
+        shown = cut_lineage(e.withColumn("rank", F.row_number().over(order)).where(c("rank") <= HEADS))
+        last = around(shown.where(c("rank") == HEADS).select(*at, "wide", "ord"))
+        late = e.alias("a").join(last.alias("b"), same & met & (c("a.ord") > c("b.ord")), "left_semi").select("ord").distinct()
+        sure = e.join(late, "ord", "left_anti")
+        heads = around(shown.select(*at, "wide", "ord", "x", "z", "diameter"))
+        behind = sure.alias("a").join(heads.alias("b"), same & met & (c("b.ord") < c("a.ord")) & near_to("a", "b"), "left_semi")
+        won = sure.where("wide").join(behind.select("ord").distinct(), "ord", "left_anti")
+        won = cut_lineage(won.select("ord", "x", "z", "diameter", "own"))
+        kept.append(won.select("ord"))
+        gone = e.alias("a").join(around(entries(won)).alias("b"), same & met & near_to("a", "b"), "left_semi").select("ord")
+        rest = cut_lineage(rest.join(gone.union(won.select("ord")).distinct(), "ord", "left_anti"))
+    free = features.where(c("x").isNull() | c("z").isNull() | c("diameter").isNull())
+    return features.join(functools.reduce(DataFrame.union, kept), "ord").unionByName(free)

@@ -262,6 +262,23 @@ def test_thinning_is_greedy(spark):
     assert got == [k[0] for k in kept]
 
 
+def test_thinning_of_a_crowded_spot_lists_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pts = [(i, float(rng.normal(0, 0.2)), float(rng.normal(0, 0.2)), float(rng.uniform(0.01, 0.3))) for i in range(1500)]
+    pts += [(i, float(rng.uniform(-40, 40)), float(rng.uniform(-40, 40)), 60.0 if i == 1777 else float(rng.uniform(0.5, 5))) for i in range(1500, 1800)]
+    kept = []
+    for o, x, z, d in pts:
+        if all((x - a) ** 2 + (z - b) ** 2 >= (max(d, e) * 0.5) ** 2 for _, a, b, e in kept):
+            kept.append((o, x, z, d))
+    sizes, cut = [], population.cut_lineage
+    monkeypatch.setattr(population, "HEADS", 40, raising=False)
+    monkeypatch.setattr(population, "cut_lineage", lambda df: (out := cut(df), sizes.append(out.count()))[0])
+    df = spark.createDataFrame([*pts, (1800, None, 0.0, 1.0)], "ord long, x double, z double, diameter double")
+    got = sorted(r["ord"] for r in population.thin_by_exclusion(df, 1.0, 1.0).collect())
+    assert got == [k[0] for k in kept] + [1800]
+    assert max(sizes) <= 4 * len(pts)
+
+
 def test_crater_counts_follow_expectation(spark):
     ends = spark.sql("SELECT 1D AS mn, 10D AS mx")
     bins = population.crater_bins(ends, F.lit(3.5), F.lit(250_000.0))
