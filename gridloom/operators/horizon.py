@@ -1,17 +1,18 @@
-"""Skylines by ray marching as joins, their merge, and illumination statistics."""
+"""Skylines by ray marching over blocks of raster rows, their merge, and illumination statistics."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.codes import BODY_RADIUS_M
 from gridloom.functions import geo, solar
 from gridloom.operators import sampling
-from gridloom.operators.fold import task_count
+from gridloom.operators.rays import march
+from gridloom.session import cut_lineage
 
 c = F.col
 
@@ -25,32 +26,35 @@ def ladder(start: float, first_step: float, max_range: float, growth: float = 8.
     return out
 
 
-def _rays(observers: DataFrame, bins: int, steps: list[float]) -> DataFrame:
-    az = F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
-    dealt = observers.withColumn("bin", az).repartition(task_count(observers.sparkSession), "observer_id", "bin")
-    return dealt.withColumn("az", F.radians(c("bin") * (360.0 / bins))).select(
-        "*", F.posexplode(F.array(*[F.lit(s) for s in steps])).alias("step", "dist"))
+def _every_ray(observers: DataFrame, bins: int, seen: DataFrame) -> DataFrame:
+    """``seen`` with an empty row for every observer and bin."""
+    every = observers.select("observer_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return seen.unionByName(every, allowMissingColumns=True)
 
 
 def near_skyline(observers: DataFrame, rows: DataFrame, layers: DataFrame, bins: int, cell: float, max_range: float) -> DataFrame:
     """Highest angle per azimuth bin for ``observers(observer_id, layer_id, x, z)``.
 
-    A ray ends at its first sample without a height.  The box of the layer is convex, so samples
-    outside it are dropped before the join; holes inside it end the ray through the first-hole step.
+    A ray ends at its first sample without a height.  The box of the layer is convex, so a ray that has left it does not
+    come back; holes inside it end the ray in whichever block of rows has the first of them.
     """
     eye = sampling.bilinear(observers, rows, layers, "eye").where(c("eye").isNotNull())
-    r = _rays(eye, bins, ladder(cell, cell, max_range))
-    r = r.withColumn("x", c("x") + F.sin("az") * c("dist")).withColumn("z", c("z") - F.cos("az") * c("dist"))
-    box = layers.select("layer_id", "min_x", "max_x", "min_z", "max_z")
-    inside = r.join(box, "layer_id").where(
-        c("x").between(c("min_x"), c("max_x")) & c("z").between(c("min_z"), c("max_z"))).drop("min_x", "max_x", "min_z", "max_z")
-    h = sampling.bilinear(inside, rows, layers, "h")
-    stop = F.min(F.when(c("h").isNull(), c("step"))).over(Window.partitionBy("observer_id", "bin"))
-    seen = h.withColumn("stop", stop).where(c("stop").isNull() | (c("step") < c("stop")))
-    best = seen.groupBy("observer_id", "bin").agg(F.max(F.atan2(c("h") - c("eye"), c("dist"))).alias("a"))
-    all_bins = eye.select("observer_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return all_bins.join(best, ["observer_id", "bin"], "left").select(
-        "observer_id", "bin", F.coalesce(F.degrees("a"), F.lit(-90.0)).alias("angle_deg"))
+    box = eye.join(layers.select("layer_id", "res", "width", "height", "min_x", "max_x", "min_z", "max_z"), "layer_id")
+    box = cut_lineage(box.withColumn("_home", F.floor((c("z") - c("min_z")) / c("res"))))
+
+    def place(get, dist):
+        az = np.radians(get("bin") * (360.0 / bins))
+        x, z = get("x") + np.sin(az) * dist, get("z") - np.cos(az) * dist
+        inside = (x >= get("min_x")) & (x <= get("max_x")) & (z >= get("min_z")) & (z <= get("max_z"))
+        return (x - get("min_x")) / get("res"), (z - get("min_z")) / get("res"), inside
+
+    seen = march(box, rows, bins, ladder(cell, cell, max_range), place, lambda get, h, dist: np.arctan2(h - get("eye"), dist),
+                 ["x", "z", "eye", "res", "min_x", "max_x", "min_z", "max_z"], "_home", stops=True)
+    # A ray has one stretch per block; those after its first hole do not count.
+    parts = _every_ray(box, bins, seen).groupBy("observer_id", "bin").agg(
+        F.collect_list(F.when(c("first").isNotNull(), F.struct("first", "a"))).alias("parts"), F.min("stop").alias("stop"))
+    best = F.array_max(F.transform(F.filter("parts", lambda p: c("stop").isNull() | (p["first"] <= c("stop"))), lambda p: p["a"]))
+    return parts.select("observer_id", "bin", F.coalesce(F.degrees(best), F.lit(-90.0)).alias("angle_deg"))
 
 
 def far_skyline(observers: DataFrame, rows: DataFrame, height: int, width: int, layer_id: str, bins: int, map_scale: float,
@@ -59,23 +63,32 @@ def far_skyline(observers: DataFrame, rows: DataFrame, height: int, width: int,
 
     Leaving the product truncates the ray; no-data inside it is skipped.
     """
-    r = _rays(observers, bins, ladder(2 * map_scale, map_scale, max_range)).withColumn("gamma", c("dist") / BODY_RADIUS_M)
-    lat, lon = geo.destination(F.radians("lat"), F.radians("lon"), c("az"), c("gamma"))
-    r = r.withColumn("_lat", F.degrees(lat)).withColumn("_lon", F.degrees(lon))
-    px, py = geo.polar_forward(c("_lat"), c("_lon"), F.lit(True))
-    pc, pr = geo.projected_to_pixel(px, py, map_scale, (width - 1) / 2, (height - 1) / 2)
-    r = r.withColumn("pcol", pc).withColumn("prow", pr)
-    out = (c("pcol") < 0) | (c("prow") < 0) | (c("pcol") > width - 1) | (c("prow") > height - 1)
-    r = r.withColumn("cut", F.min(F.when(out, c("step"))).over(Window.partitionBy("observer_id", "bin")))
-    used = r.where(c("cut").isNull() | (c("step") < c("cut")))
-    h = sampling.read_pixels(used.select("observer_id", "bin", "radial", "dist", "gamma", "pcol", "prow"), rows, width, height, layer_id)
-    rp = c("h") + BODY_RADIUS_M
-    angle = F.degrees(F.atan2(rp * F.cos("gamma") - (c("radial") + BODY_RADIUS_M), rp * F.sin("gamma")))
-    seen = h.groupBy("observer_id", "bin").agg(F.max(angle).alias("a"), F.count("*").alias("evaluated"), F.count_if(c("h").isNull()).alias("no_data"))
-    ends = r.groupBy("observer_id", "bin").agg(F.min(F.when(out, c("dist"))).alias("truncated_at"))
-    return ends.join(seen, ["observer_id", "bin"], "left").select(
-        "observer_id", "bin", F.coalesce("a", F.lit(-90.0)).alias("angle_deg"), "truncated_at",
-        F.coalesce("evaluated", F.lit(0)).alias("evaluated"), F.coalesce("no_data", F.lit(0)).alias("no_data"))
+    steps = ladder(2 * map_scale, map_scale, max_range)
+    _, py = geo.polar_forward(c("lat"), c("lon"), F.lit(True))
+    o = observers.select("observer_id", F.lit(layer_id).alias("layer_id"), "radial", F.radians("lat").alias("la"), F.radians("lon").alias("lo"),
+                         F.lit(width).alias("width"), F.lit(height).cast("long").alias("height"),
+                         F.floor(F.lit((height - 1) / 2) - py / map_scale).alias("_home"))
+    o = cut_lineage(o)
+
+    def place(get, dist):
+        az, arc = np.radians(get("bin") * (360.0 / bins)), dist / BODY_RADIUS_M
+        la, lo = get("la"), get("lo")
+        lat = np.arcsin(np.sin(la) * np.cos(arc) + np.cos(la) * np.sin(arc) * np.cos(az))
+        lon = lo + np.arctan2(np.sin(az) * np.sin(arc) * np.cos(la), np.cos(arc) - np.sin(la) * np.sin(lat))
+        rho = 2 * BODY_RADIUS_M * np.tan(lat / 2 + math.pi / 4)
+        col, row = rho * np.sin(lon) / map_scale + (width - 1) / 2, (height - 1) / 2 - rho * np.cos(lon) / map_scale
+        return col, row, ~((col < 0) | (row < 0) | (col > width - 1) | (row > height - 1))
+
+    def angle(get, h, dist):
+        away, arc = h + BODY_RADIUS_M, dist / BODY_RADIUS_M
+        return np.degrees(np.arctan2(away * np.cos(arc) - (get("radial") + BODY_RADIUS_M), away * np.sin(arc)))
+
+    seen = march(o, rows.where(c("layer_id") == layer_id), bins, steps, place, angle, ["la", "lo", "radial"], "_home", stops=False)
+    total = _every_ray(o, bins, seen).groupBy("observer_id", "bin").agg(
+        F.max("a").alias("a"), F.coalesce(F.sum("evaluated"), F.lit(0)).alias("evaluated"), F.coalesce(F.sum("no_data"), F.lit(0)).alias("no_data"))
+    # All steps before the first one outside are read, so their number names it.
+    return total.select("observer_id", "bin", F.coalesce("a", F.lit(-90.0)).alias("angle_deg"),
+                        F.get(F.array(*[F.lit(v) for v in steps]), c("evaluated").cast("int")).alias("truncated_at"), "evaluated", "no_data")
 
 
 def merge(near: DataFrame, far: DataFrame) -> DataFrame:

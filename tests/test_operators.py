@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import crater, geo, mobility, solar
-from gridloom.operators import admission, digests, edits, ephemeris, estimate, fold, log, population, replay, rules, stencil, validation
+from gridloom.operators import admission, digests, edits, ephemeris, estimate, fold, horizon, log, population, replay, rules, stencil, validation
 from gridloom.operators.ordered import lag_in_order, running_sum_in_order, scan
 from gridloom.sources import raster_io
 
@@ -535,3 +535,38 @@ def test_raw_rasters_by_row_ranges(spark, tmp_path):
         raw_raster.read_raw(spark, str(tmp_path / "cut.raw"), 7, "a").count()
     with pytest.raises(Exception, match="do not fit"):
         raw_raster.write_raw(df, str(tmp_path / "over"), 7, dtype="i2", scale=1e-6, missing=0)
+
+
+def test_near_rays_over_several_blocks_of_rows(spark):
+    n, width, bins, res = 600, 12, 24, 0.5
+    height = lambda r, k: math.sin(r * 0.7) + 0.01 * r + 0.3 * k
+    hole = lambda r, k: (r, k) in ((300, 5), (300, 6), (40, 2), (590, 7))
+    layers = spark.sql(f"SELECT 'a' AS layer_id, {res}D AS res, {width} AS width, {n}L AS height, 0D AS min_x, 0D AS min_z, {(width - 1) * res}D AS max_x, {(n - 1) * res}D AS max_z")
+    grid = [[None if hole(r, k) else float(np.float32(height(r, k))) for k in range(width)] for r in range(n)]
+    rows = spark.createDataFrame([("a", r, grid[r]) for r in range(n)], "layer_id string, row long, heights array<float>")
+    points = [(1, 2.6, 127.9), (2, 2.7, 20.3), (3, 0.0, 0.0), (4, 50.0, 3.0)]
+    observers = spark.createDataFrame([(i, "a", x, z) for i, x, z in points], "observer_id long, layer_id string, x double, z double")
+    steps = horizon.ladder(res, res, 400.0)
+
+    def read(x, z):
+        f, g = x / res, z / res
+        if not (0 <= f <= width - 1 and 0 <= g <= n - 1):
+            return None
+        a, b, u, v = int(f), int(g), f - int(f), g - int(g)
+        four = [grid[y][k] for y in (b, min(b + 1, n - 1)) for k in (a, min(a + 1, width - 1))]
+        return None if None in four else four[0] * (1 - u) * (1 - v) + four[1] * u * (1 - v) + four[2] * (1 - u) * v + four[3] * u * v
+
+    want = {}
+    for i, x, z in points[:3]:
+        for k in range(bins):
+            az, best = math.radians(k * 15.0), -90.0
+            for d in steps:
+                h = read(x + math.sin(az) * d, z - math.cos(az) * d)
+                if h is None:
+                    break
+                best = max(best, math.degrees(math.atan2(h - read(x, z), d)))
+            want[i, k] = best
+    out = horizon.near_skyline(observers, rows, layers, bins, res, 400.0)
+    assert {(r["observer_id"], r["bin"]): pytest.approx(r["angle_deg"], abs=1e-9) for r in out.collect()} == want
+    # No row per sample: rays are followed inside tasks.
+    assert "posexplode" not in out._jdf.queryExecution().toString()
