@@ -13,6 +13,7 @@ become null heights and are written back as such.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -191,33 +192,45 @@ class RawRaster(DataSource):
 
 
 @dataclass
-class FileRange(InputPartition):
-    path: str
-    at: int
-    length: int
-    size: int
+class FileRanges(InputPartition):
+    ranges: list[tuple[str, int, int, int]]  # path, first byte, length, size of the file
 
-    def __init__(self, path: str, at: int, length: int, size: int):
+    def __init__(self, ranges: list[tuple[str, int, int, int]]):
         super().__init__(None)
-        self.path, self.at, self.length, self.size = path, at, length, size
+        self.ranges = ranges
 
 
 class DigestReader(DataSourceReader):
+    """Ranges in order of path and place, so many to a partition that it holds about ``partition_bytes``, however short they are."""
+
     def __init__(self, options: dict):
         self.path, self.step = options["path"], int(options.get("range_bytes", RANGE_BYTES))
-
-    def partitions(self) -> list[FileRange]:
-        return [FileRange(x.path, i, min(self.step, x.size - i), x.size) for x in _files(self.path) for i in range(0, max(x.size, 1), self.step)]
-
-    def read(self, part: FileRange | None) -> Iterator[tuple]:
+        self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+
+    def partitions(self) -> list[FileRanges]:
+        out, held = [], 0
+        for x in _files(self.path):
+            for i in range(0, max(x.size, 1), self.step):
+                length = min(self.step, x.size - i)
+                # A file costs its opening, so empty ones weigh something too.
+                if not out or held + length > self.bytes:
+                    out.append([])
+                    held = 0
+                out[-1].append((x.path, i, length, x.size))
+                held += max(length, 4096)
+        return [FileRanges(r) for r in out]
+
+    def read(self, part: FileRanges | None) -> Iterator[tuple]:
         if part is None:
             return
         fs, _ = _open(self.path)
-        digest = hashlib.sha256()
-        with fs.open_input_file(part.path) as f:
-            for i in range(0, part.length, 1 << 20):
-                digest.update(f.read_at(min(1 << 20, part.length - i), part.at + i))
-        yield part.path, part.size, part.at, part.length, digest.hexdigest()
+        for path, ranges in itertools.groupby(part.ranges, lambda r: r[0]):
+            with fs.open_input_file(path) as f:
+                for _, at, length, size in ranges:
+                    digest = hashlib.sha256()
+                    for i in range(0, length, 1 << 20):
+                        digest.update(f.read_at(min(1 << 20, length - i), at + i))
+                    yield path, size, at, length, digest.hexdigest()
 
 
 class FileDigests(DataSource):

@@ -570,3 +570,20 @@ def test_near_rays_over_several_blocks_of_rows(spark):
     assert {(r["observer_id"], r["bin"]): pytest.approx(r["angle_deg"], abs=1e-9) for r in out.collect()} == want
     # No row per sample: rays are followed inside tasks.
     assert "posexplode" not in out._jdf.queryExecution().toString()
+
+
+def test_digests_of_many_short_ranges_share_partitions(spark, tmp_path):
+    import hashlib
+
+    from gridloom.sources import raw_raster
+
+    bodies = {"a": bytes(range(256)) * 40, "b": b"", "c": b"x" * 5000}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    raw_raster.register(spark)
+    parts = spark.read.format("file_digests").options(path=str(tmp_path), range_bytes="16").load()
+    assert parts.rdd.getNumPartitions() == 1
+    want = {(n, i, hashlib.sha256(b[i:i + 16]).hexdigest()) for n, b in bodies.items() for i in range(0, max(len(b), 1), 16)}
+    assert {(r["path"].rsplit("/", 1)[1], r["at"], r["sha256"]) for r in parts.collect()} == want
+    several = spark.read.format("file_digests").options(path=str(tmp_path), range_bytes="4096", partition_bytes="8192").load()
+    assert several.rdd.getNumPartitions() == 3 and several.count() == 6
