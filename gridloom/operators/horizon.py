@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.codes import BODY_RADIUS_M
 from gridloom.functions import geo, solar
 from gridloom.operators import sampling
+from gridloom.operators.fold import task_count
+from gridloom.operators.ordered import running_sum_in_order
 from gridloom.operators.rays import march
 from gridloom.session import cut_lineage
 
@@ -114,18 +117,73 @@ def sunlit_fraction(profile: Column, azimuth: Column, elevation: Column, radius:
     return solar.disc_fraction(elevation - at_azimuth(profile, azimuth), radius)
 
 
+#: Epochs of an observer that are summed up in one go.
+EPOCHS = 4096
+
+
+def _stretches(batches):
+    """Per observer and run of rows that follow each other in a task: number, lit ones, sum, and unlit runs at the start, the end and at most."""
+    for b in batches:
+        n = b.num_rows
+        if n == 0:
+            continue
+        who, bucket = b.column("observer_id").to_numpy(), b.column("_b").to_numpy()
+        light = b.column("fraction").to_numpy(zero_copy_only=False)
+        new = np.ones(n, dtype=bool)
+        new[1:] = (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, n))
+        lit, dark = light > 0, light <= 0
+        # Unlit epochs up to here since the last lit one of the stretch.
+        count, at = np.cumsum(dark), np.arange(n)
+        last = np.maximum.accumulate(np.where(lit | new, at, 0))
+        run = count - count[last] + dark[last]
+        lits = np.add.reduceat(lit, start)
+        first = np.minimum.reduceat(np.where(lit, at, n), start)
+        stop = np.where(lits > 0, first, start + size) - 1
+        head = np.where(stop >= start, count[stop] - count[start] + dark[start], 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(who[start]), b.column("_at").take(pa.array(start)), pa.array(size), pa.array(lits), pa.array(np.add.reduceat(np.nan_to_num(light), start)), pa.array(head),
+             pa.array(run[start + size - 1]), pa.array(np.maximum.reduceat(run, start))],
+            names=["observer_id", "at", "n", "lit", "s", "head", "tail", "longest"])
+
+
 def illumination(lit: DataFrame, order: str = "ord") -> DataFrame:
     """Statistics per observer over ``lit(observer_id, ord, fraction)``, with the longest unlit run.
 
-    The run length comes from island numbers: the running count of lit epochs is constant inside an
-    unlit run, and it is summed in two levels so one observer's epochs need not share a task.
+    Epochs are dealt out by observer and bucket of the order and cross one exchange; a task sums stretches of them up, so one
+    observer's epochs need not share a task and no row per unlit run is held.  Runs that go on from one stretch to the next
+    are put together from the stretches' ends.
     """
-    from gridloom.operators.ordered import running_sum_in_order
+    at = c(order).cast("long")
+    cut = lit.select(c("observer_id").cast("long").alias("observer_id"), at.alias("_at"), F.floor(at / EPOCHS).alias("_b"), c("fraction").cast("double").alias("fraction"))
+    dealt = cut.repartition(task_count(lit.sparkSession), "observer_id", "_b").sortWithinPartitions("observer_id", "_b", "_at")
+    return _from_stretches(dealt)
+
 
-    f = running_sum_in_order(lit, ["observer_id"], order, (c("fraction") > 0).cast("int"), "island")
-    runs = f.groupBy("observer_id", "island").agg(
-        F.count_if(c("fraction") <= 0).alias("run"), F.sum("fraction").alias("s"), F.count("*").alias("n"),
-        F.count_if(c("fraction") > 0).alias("lit"))
-    return runs.groupBy("observer_id").agg(
+def illumination_of_all(observers: DataFrame, epochs: DataFrame, order: str, fraction: Column) -> DataFrame:
+    """``illumination`` of every observer at every epoch: epochs are put in order once, in buckets, and observers meet whole buckets.
+
+    ``observers`` is a small table with ``observer_id``; ``fraction`` reads its columns and those of ``epochs``.
+    """
+    at = c(order).cast("long")
+    names = [n for n in epochs.columns if n != order]
+    held = epochs.withColumn("_at", at).groupBy(F.floor(at / EPOCHS).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_at", *names))).alias("_all"))
+    # Epochs of a bucket leave the list in its order, so nothing is sorted or exchanged per observer.
+    met = held.crossJoin(observers).select("*", F.explode("_all").alias("_e")).select(*observers.columns, "_b", "_e.*")
+    return _from_stretches(met.select("observer_id", "_at", "_b", fraction.cast("double").alias("fraction")))
+
+
+def _from_stretches(dealt: DataFrame) -> DataFrame:
+    """Statistics from ``observer_id, _at, _b, fraction`` in order inside every observer's bucket."""
+    part = dealt.mapInArrow(_stretches, "observer_id long, at long, n long, lit long, s double, head long, tail long, longest long")
+    # Stretches without light join the run before them, so a run ends where a stretch has light: its island is the number of those before.
+    part = running_sum_in_order(part, ["observer_id"], "at", (c("lit") > 0).cast("int"), "island")
+    over = part.select("observer_id", F.explode(F.when(c("lit") > 0, F.array(
+        F.struct((c("island") - 1).alias("island"), c("head").alias("run")), F.struct(c("island").alias("island"), c("tail").alias("run")))).otherwise(
+        F.array(F.struct(c("island").alias("island"), c("head").alias("run"))))).alias("e")).groupBy("observer_id", "e.island").agg(F.sum("e.run").alias("run"))
+    longest = over.groupBy("observer_id").agg(F.max("run").alias("across"))
+    total = part.groupBy("observer_id").agg(
         (F.sum("s") / F.sum("n")).alias("mean_fraction"), (F.sum("lit") / F.sum("n")).alias("lit_share"),
-        (F.sum("lit") == 0).alias("always_dark"), F.max("run").alias("longest_dark"), F.sum("n").alias("epochs"))
+        (F.sum("lit") == 0).alias("always_dark"), F.max("longest").alias("longest_dark"), F.sum("n").alias("epochs"))
+    return total.join(longest, "observer_id").withColumn("longest_dark", F.greatest("longest_dark", "across")).drop("across")

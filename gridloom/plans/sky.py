@@ -210,11 +210,10 @@ _SUN = "SELECT event_id AS ord, (event_id*13%3600)/1e1 AS az, value/1e1-4 AS el
 def sunlit_stats(spark, sf):
     e = c("event_id")
     sun = fx.table(spark, sf, "events").select(e.alias("ord"), ((e * 13 % 3600) / 10.0).alias("az"), (c("value") / 10.0 - 4).alias("el"))
-    k = c("k")
-    sites = sun.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(fx.table(spark, sf, "nation").count() - 1))))
+    k = c("observer_id")
     prof = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda b: ((k * 7 + b * 3) % 11) / 1.0 - 4)
-    lit = sites.withColumn("profile", prof).select(k.alias("observer_id"), "ord", horizon.sunlit_fraction(c("profile"), c("az"), c("el"), F.lit(0.27)).alias("fraction"))
-    s = horizon.illumination(lit)
+    sites = spark.range(fx.table(spark, sf, "nation").count()).select(c("id").alias("observer_id")).withColumn("profile", prof)
+    s = horizon.illumination_of_all(sites, sun, "ord", horizon.sunlit_fraction(c("profile"), c("az"), c("el"), F.lit(0.27)))
     return s.select(c("observer_id").alias("site"), r6("mean_fraction").alias("mean_fraction"), r6("lit_share").alias("lit_share"), "always_dark", "longest_dark", "epochs")
 
 

@@ -587,3 +587,25 @@ def test_digests_of_many_short_ranges_share_partitions(spark, tmp_path):
     assert {(r["path"].rsplit("/", 1)[1], r["at"], r["sha256"]) for r in parts.collect()} == want
     several = spark.read.format("file_digests").options(path=str(tmp_path), range_bytes="4096", partition_bytes="8192").load()
     assert several.rdd.getNumPartitions() == 3 and several.count() == 6
+
+
+def test_unlit_runs_across_stretches(spark):
+    rng = np.random.default_rng(9)
+    light = {1: np.where(rng.random(20000) < 0.5, 0.0, 0.5), 2: np.zeros(13000), 3: np.ones(9000), 4: np.ones(30000), 5: np.array([0.0])}
+    light[4][4000:17000] = 0.0
+    rows = [(k, i, float(v)) for k, vs in light.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "observer_id long, ord long, fraction double")
+    got = {r["observer_id"]: r for r in horizon.illumination(df).collect()}
+    for k, vs in light.items():
+        longest = run = 0
+        for v in vs:
+            run = 0 if v > 0 else run + 1
+            longest = max(longest, run)
+        r = got[k]
+        assert (r["longest_dark"], r["epochs"], r["always_dark"]) == (longest, len(vs), not (vs > 0).any())
+        assert r["mean_fraction"] == pytest.approx(vs.mean()) and r["lit_share"] == pytest.approx((vs > 0).mean())
+    # Every observer at every epoch: the same figures, and no exchange of pairs.
+    sites = spark.createDataFrame([(7,), (8,)], "observer_id long")
+    both = horizon.illumination_of_all(sites, df.where("observer_id = 1").select("ord", "fraction"), "ord", c("fraction"))
+    want = got[1].asDict() | {"observer_id": None}
+    assert [r.asDict() | {"observer_id": None} for r in both.collect()] == [want, want]
