@@ -609,3 +609,16 @@ def test_unlit_runs_across_stretches(spark):
     both = horizon.illumination_of_all(sites, df.where("observer_id = 1").select("ord", "fraction"), "ord", c("fraction"))
     want = got[1].asDict() | {"observer_id": None}
     assert [r.asDict() | {"observer_id": None} for r in both.collect()] == [want, want]
+
+
+def test_painted_classes_equal_the_records_of_samples(spark):
+    layers, rows = flat_layer(spark)
+    rows = rows.withColumn("semantic", F.transform("heights", lambda _h, k: ((c("row") + k) % 12).cast("tinyint")))
+    square = [(-2.0, -2.0), (2.0, -2.0), (2.0, 2.0), (-2.0, 2.0)]
+    ops = [op(i, ("semantic_paint", "ramp", "pad", "spoil_pile", "wheel_track", "polygonal_cut", "raise")[i % 7], cx=(i % 5) - 2.0, cz=(i % 9) - 4.0,
+              heading=i * 31.0, polygon=square if i % 7 == 5 else None, semantic_class="berm" if i % 2 else edits.SEMANTIC_CLASSES[0]) for i in range(40)]
+    df = spark.createDataFrame(ops, OPS)
+    want = edits.paint_changes(edits.changes(edits.without_readings(df), layers), rows)
+    got = edits.painted(df, rows, layers)
+    key = lambda d: sorted(tuple(r) for r in d.select("layer_id", "row", "col", "code", "paints", "old_code").collect())
+    assert key(got) == key(want) and any(r[3] == 0 for r in key(got))
