@@ -52,7 +52,7 @@ def near_skyline(observers: DataFrame, rows: DataFrame, layers: DataFrame, bins:
         return (x - get("min_x")) / get("res"), (z - get("min_z")) / get("res"), inside
 
     seen = march(box, rows, bins, ladder(cell, cell, max_range), place, lambda get, h, dist: np.arctan2(h - get("eye"), dist),
-                 ["x", "z", "eye", "res", "min_x", "max_x", "min_z", "max_z"], "_home", stops=True)
+                 ["x", "z", "eye", "res", "min_x", "max_x", "min_z", "max_z"], "_home", F.lit(max_range) / c("res") + 1, stops=True)
     # A ray has one stretch per block; those after its first hole do not count.
     parts = _every_ray(box, bins, seen).groupBy("observer_id", "bin").agg(
         F.collect_list(F.when(c("first").isNotNull(), F.struct("first", "a"))).alias("parts"), F.min("stop").alias("stop"))
@@ -86,7 +86,7 @@ def far_skyline(observers: DataFrame, rows: DataFrame, height: int, width: int,
         away, arc = h + BODY_RADIUS_M, dist / BODY_RADIUS_M
         return np.degrees(np.arctan2(away * np.cos(arc) - (get("radial") + BODY_RADIUS_M), away * np.sin(arc)))
 
-    seen = march(o, rows.where(c("layer_id") == layer_id), bins, steps, place, angle, ["la", "lo", "radial"], "_home", stops=False)
+    seen = march(o, rows.where(c("layer_id") == layer_id), bins, steps, place, angle, ["la", "lo", "radial"], "_home", F.lit(max_range / map_scale * 2), stops=False)
     total = _every_ray(o, bins, seen).groupBy("observer_id", "bin").agg(
         F.max("a").alias("a"), F.coalesce(F.sum("evaluated"), F.lit(0)).alias("evaluated"), F.coalesce(F.sum("no_data"), F.lit(0)).alias("no_data"))
     # All steps before the first one outside are read, so their number names it.
