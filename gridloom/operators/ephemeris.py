@@ -109,11 +109,3 @@ def chain_positions(requests: DataFrame, segments: DataFrame, records: DataFrame
 def unit(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     n = F.sqrt(x * x + y * y + z * z)
     return x / n, y / n, z / n
-
-
-def pair_all(left: DataFrame, right: DataFrame, parts: int = 64) -> DataFrame:
-    """Every left row with every right row as an equi-join: the right side is dealt into buckets and
-    the left side is repeated once per bucket, so the pairs are made in ``parts`` independent groups."""
-    r = right.withColumn("_g", F.pmod(F.xxhash64(*right.columns), F.lit(parts)))
-    l = left.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    return l.join(r, "_g").drop("_g")

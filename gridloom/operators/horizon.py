@@ -158,7 +158,7 @@ def illumination(lit: DataFrame, order: str = "ord") -> DataFrame:
     at = c(order).cast("long")
     cut = lit.select(c("observer_id").cast("long").alias("observer_id"), at.alias("_at"), F.floor(at / EPOCHS).alias("_b"), c("fraction").cast("double").alias("fraction"))
     dealt = cut.repartition(task_count(lit.sparkSession), "observer_id", "_b").sortWithinPartitions("observer_id", "_b", "_at")
-    return _from_stretches(dealt)
+    return from_stretches(dealt)
 
 
 def illumination_of_all(observers: DataFrame, epochs: DataFrame, order: str, fraction: Column) -> DataFrame:
@@ -166,15 +166,20 @@ def illumination_of_all(observers: DataFrame, epochs: DataFrame, order: str, fra
 
     ``observers`` is a small table with ``observer_id``; ``fraction`` reads its columns and those of ``epochs``.
     """
+    met = every_epoch(observers, epochs, order)
+    return from_stretches(met.select("observer_id", "_at", "_b", fraction.cast("double").alias("fraction")))
+
+
+def every_epoch(observers: DataFrame, epochs: DataFrame, order: str) -> DataFrame:
+    """Observers with the columns of every epoch, ``_at`` for its order and ``_b`` for its bucket; the rows of a bucket stay in order and share a task."""
     at = c(order).cast("long")
     names = [n for n in epochs.columns if n != order]
     held = epochs.withColumn("_at", at).groupBy(F.floor(at / EPOCHS).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_at", *names))).alias("_all"))
     # Epochs of a bucket leave the list in its order, so nothing is sorted or exchanged per observer.
-    met = held.crossJoin(observers).select("*", F.explode("_all").alias("_e")).select(*observers.columns, "_b", "_e.*")
-    return _from_stretches(met.select("observer_id", "_at", "_b", fraction.cast("double").alias("fraction")))
+    return held.crossJoin(observers).select("*", F.explode("_all").alias("_e")).select(*observers.columns, "_b", "_e.*")
 
 
-def _from_stretches(dealt: DataFrame) -> DataFrame:
+def from_stretches(dealt: DataFrame) -> DataFrame:
     """Statistics from ``observer_id, _at, _b, fraction`` in order inside every observer's bucket."""
     part = dealt.mapInArrow(_stretches, "observer_id long, at long, n long, lit long, s double, head long, tail long, longest long")
     # Stretches without light join the run before them, so a run ends where a stretch has light: its island is the number of those before.

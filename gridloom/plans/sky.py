@@ -226,8 +226,8 @@ def site_illumination(spark, sf):
     lat, lon = geo.polar_inverse(c("ox"), c("oy"), F.lit(True))
     sky = sky.join(sites.select("observer_id", lat.alias("lat"), lon.alias("lon")), "observer_id")
     track = solar.sub_solar(fx.epochs(spark, sf)).select(F.datediff("epoch", F.lit("1995-01-01")).alias("ord"), "bx", "by", "bz", "sun_radius_deg")
-    # Every site needs every epoch; the epoch keys spread the product over all tasks.
-    t = ephemeris.pair_all(sky, cut_lineage(track))
+    # Every site needs every epoch; whole buckets of epochs meet the sites, so no pair of the two is exchanged.
+    t = horizon.every_epoch(cut_lineage(sky), cut_lineage(track), "ord")
     t = solar.at_site(t, c("lat"), c("lon"))
-    t = t.withColumn("fraction", horizon.sunlit_fraction(c("profile"), c("azimuth_deg"), c("elevation_deg"), c("sun_radius_deg")))
-    return horizon.illumination(t.select("observer_id", "ord", "fraction")).withColumn("mean_fraction", r6("mean_fraction"))
+    fraction = horizon.sunlit_fraction(c("profile"), c("azimuth_deg"), c("elevation_deg"), c("sun_radius_deg"))
+    return horizon.from_stretches(t.select("observer_id", "_at", "_b", fraction.cast("double").alias("fraction"))).withColumn("mean_fraction", r6("mean_fraction"))

@@ -29,3 +29,13 @@ def test_observers_out_of_reach_do_not_copy_a_block(spark, monkeypatch):
     assert {r["_part"] for r in far} == {0} and not any(r["layer_id"] == "b" for r in far)
     assert max(r["_part"] for r in moved[0]) == 3000 // rays.CROWD
     assert np.isclose(got.agg(F.max("angle_deg")).first()[0], 0.0)
+
+
+def test_pairs_of_sites_and_epochs_are_not_exchanged(spark):
+    from gridloom.plans import all_queries
+
+    lit = all_queries()[0]["site_illumination"](spark, "/root/testdata/sf0.001")
+    plan = lit._jdf.queryExecution().optimizedPlan().toString()
+    pairs = plan[plan.index("MapInArrow"):plan.index("Join Cross")]
+    assert "Repartition" not in pairs and "Join" not in pairs
+    assert lit.count() == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
