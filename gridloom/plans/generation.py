@@ -138,8 +138,7 @@ def replay_records(spark, sf):
     """Record of every edit of the replayed log: readers of the ground and rings included."""
     layers, rows = fx.layers(spark, sf), fx.raster_rows(spark, sf)
     ops = edits.valid_ops(fx.operations(spark, sf), layers)
-    folded, _, _ = replay.replay(ops, rows, layers)
-    rec = replay.records(folded, ops, layers)
+    rec, _, _ = replay.replay_records(ops, rows, layers)
     return rec.select("seq", "layer_id", "changed", *[r6(n, 5).alias(n) for n in (
         "removed", "deposited", "net", "before_mean", "after_mean", "foot_before_mean", "foot_after_mean")],
         r6(c("net") * BULK_DENSITY_KG_M3, 2).alias("net_mass"), r6("rel_err", 4).alias("rel_err"), "foot_samples", "no_effect")
