@@ -5,8 +5,8 @@ sequence number, each as a whole: parts that do not match their digests, or are
 state before it, and a later delivery of the same number can still be applied.
 
 Which delivery of a number is applied depends on when its predecessor was, so the applied ones are a path: every intact
-delivery points to the first intact delivery of the next number after it (one scan), and the path from the first number is
-found inside ranges of arrivals and by pointer doubling over ranges.
+delivery points to the first intact delivery of the next number after it (sorted by number; a scan in pieces where numbers
+come very often), and the path from the first number is found inside ranges of arrivals and by pointer doubling over ranges.
 """
 
 from __future__ import annotations
@@ -15,27 +15,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.operators.log import chain_breaks
 from gridloom.operators.ordered import lag_in_order, scan
 from gridloom.session import cut_lineage
 
 c = F.col
+#: Consecutive numbers that are counted together, and the deliveries of so many numbers that are sorted without being cut into pieces.
+SPAN, CROWD = 256, 1 << 17
 
 
 def intact(deliveries: DataFrame, parts: DataFrame) -> DataFrame:
-    """Deliveries with ``whole``: all of their ``n_parts`` came and every part matches its digest."""
-    one = parts.groupBy("arrival", "part").agg(F.bool_and(c("got").eqNullSafe(c("want"))).alias("ok"))
-    per = one.groupBy("arrival").agg(F.count_if("ok").alias("_good"), F.count_if(~c("ok")).alias("_bad"))
+    """Deliveries with ``whole``: all of their ``n_parts`` came and every part matches its digest.
+
+    The parts that came are marked in words of 64 bits, so that a delivery's parts meet as one row for 64 of them.  As in the
+    other joins here, both sides grow with the log, whatever their size is guessed at, so neither is sent through the driver.
+    """
+    mark = F.expr("shiftleft(1L, CAST(part & 63 AS INT))")
+    words = parts.groupBy("arrival", F.expr("shiftright(part, 6)").alias("_word")).agg(
+        F.bool_and(c("got").eqNullSafe(c("want"))).alias("_ok"), F.bit_or(mark).alias("_came"))
+    # Parts without a number are one part.
+    came = F.when(c("_word").isNull(), 1).otherwise(F.bit_count("_came"))
+    per = words.groupBy("arrival").agg(F.bool_and("_ok").alias("_ok"), F.sum(came).alias("_n")).hint("merge")
     return deliveries.join(per, "arrival", "left").withColumn(
-        "whole", F.coalesce(F.coalesce("_good", F.lit(0)) == c("n_parts"), F.lit(False)) & (F.coalesce("_bad", F.lit(0)) == 0)).drop("_good", "_bad")
+        "whole", F.coalesce(F.coalesce("_n", F.lit(0)) == c("n_parts"), F.lit(False)) & F.coalesce("_ok", F.lit(True))).drop("_ok", "_n")
+
 
+def next_delivery(good: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(node, to): the first delivery of the next sequence number that arrives later; ``good(arrival, seq)``.
 
-def next_delivery(good: DataFrame) -> DataFrame:
-    """(node, to): the first delivery of the next sequence number that arrives later; ``good(arrival, seq)``."""
+    The few deliveries of a number are sorted in one task; spans of numbers with more than ``crowd`` of them are scanned in pieces.
+    """
     asks = good.select((c("seq") + 1).alias("seq"), "arrival", F.lit(False).alias("offer"))
-    both = asks.unionByName(good.select("seq", "arrival", F.lit(True).alias("offer"))).withColumn("_back", -c("arrival"))
-    seen = scan(both, ["seq"], "_back", F.when(c("offer"), c("arrival")), "last", "to")
+    both = asks.unionByName(good.select("seq", "arrival", F.lit(True).alias("offer")))
+    span, offered = F.floor(c("seq") / SPAN), F.when(c("offer"), c("arrival"))
+    crowded = cut_lineage(both.groupBy(span.alias("_span")).agg(F.count("*").alias("_n")).where(c("_n") > crowd).select("_span"))
+    many = None
+    if not crowded.isEmpty():
+        both = both.withColumn("_span", span)
+        many = both.join(F.broadcast(crowded), "_span", "left_semi").drop("_span").withColumn("_back", -c("arrival"))
+        both = both.join(F.broadcast(crowded), "_span", "left_anti").drop("_span")
+    later = Window.partitionBy("seq").orderBy(F.desc("arrival")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("to", F.last(offered, ignorenulls=True).over(later))
+    if many is not None:
+        seen = seen.unionByName(scan(many, ["seq"], "_back", offered, "last", "to").drop("_back"))
     return seen.where(~c("offer") & c("to").isNotNull()).select(c("arrival").alias("node"), "to")
 
 
@@ -101,25 +125,41 @@ def admit(deliveries: DataFrame, parts: DataFrame, log: DataFrame, start: int, r
     Smaller numbers are ignored (null numbers too), larger ones make the consumer fetch what is missing; a number whose parts do not hold is
     undone (``roll back``).
     """
-    linked = chain_breaks(log).select("seq", (~c("broken")).alias("linked"))
+    linked = chain_breaks(log).select("seq", (~c("broken")).alias("linked")).hint("merge")
     d = intact(deliveries, parts).join(linked, "seq", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     d = cut_lineage(d.withColumn("current", F.coalesce(c("revision") == revision, F.lit(False))))
     good = d.where("current and linked and whole").select("arrival", "seq")
-    first = good.where(c("seq") == start).agg(F.min("arrival").alias("node")).where("node is not null")
-    applied = on_path(next_delivery(good), first).select(c("node").alias("arrival"), F.lit(True).alias("applied"))
-    d = d.join(applied, "arrival", "left")
+    d = d.join(_path(good, start).withColumn("applied", F.lit(True)).hint("merge"), "arrival", "left")
     d = scan(d, [], "arrival", F.when(c("applied"), c("seq")), "max", "_head").withColumn("expected", F.coalesce(c("_head") + 1, F.lit(start)))
     status = (F.when(~c("current"), "resync").when(c("seq").isNull() | (c("seq") < c("expected")), "ignore")
               .when(c("seq") > c("expected"), "fetch").when(c("applied"), "apply").when(~c("linked"), "resync").otherwise("roll back"))
     return d.withColumn("status", status).drop("applied", "_head", "current", "linked")
 
 
+def _path(good: DataFrame, start: int) -> DataFrame:
+    """(arrival): the applied ones among the deliveries that can be applied, ``good(arrival, seq)``."""
+    first = good.where(c("seq") == start).agg(F.min("arrival").alias("node")).where("node is not null")
+    return on_path(next_delivery(good), first).select(c("node").alias("arrival")).hint("merge")
+
+
+def applied(deliveries: DataFrame, parts: DataFrame, log: DataFrame, start: int, revision: int) -> DataFrame:
+    """(arrival, seq, status): the deliveries with status ``apply`` of ``admit`` alone.
+
+    Numbers rise by one along the path of the applied ones, so each of them is what the consumer waits for, and nothing has
+    to be known about the others.
+    """
+    linked = chain_breaks(log).where(~c("broken")).select("seq").hint("merge")
+    good = intact(deliveries.where(c("revision") == revision), parts).where("whole").select("arrival", "seq")
+    good = cut_lineage(good.join(linked, "seq", "left_semi").select("arrival", "seq"))
+    return good.join(_path(good, start), "arrival", "left_semi").withColumn("status", F.lit("apply"))
+
+
 def copy_after(base: DataFrame, changes: DataFrame, admitted: DataFrame) -> DataFrame:
     """The consumer's copy ``(layer_id, idx, value, seq)``: the base with the last applied change of every sample.
 
     ``changes(arrival, part, layer_id, idx, value)`` are the contents of the parts; of one delivery the last part counts.
     """
-    done = admitted.where("status = 'apply'").select("arrival", "seq")
+    done = admitted.where("status = 'apply'").select("arrival", "seq").hint("merge")
     last = changes.join(done, "arrival").groupBy("layer_id", "idx").agg(
         F.max_by(F.struct("value", "seq"), F.struct("seq", "part")).alias("_n"))
     return base.join(last, ["layer_id", "idx"], "full").select(

@@ -147,14 +147,14 @@ def _recursive(body, *names, **extra):
     return with_ctes(body, *names, **extra).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _admitted(spark, sf):
-    return admission.admit(fx.deliveries(spark, sf), fx.delivered_parts(spark, sf), fx.delta_log(spark, sf, faults=False), 0, 1)
+def _line(spark, sf):
+    return fx.deliveries(spark, sf), fx.delivered_parts(spark, sf), fx.delta_log(spark, sf, faults=False), 0, 1
 
 
 @query("consumer_admission", _recursive("SELECT arrival, seq, expected, status FROM judged", "deliveries", "delivered_parts", **_PATH))
 def consumer_admission(spark, sf):
     """What a consumer does with every delivery of a lossy line: apply, ignore, fetch, roll back or resync."""
-    return _admitted(spark, sf).select("arrival", "seq", "expected", "status")
+    return admission.admit(*_line(spark, sf)).select("arrival", "seq", "expected", "status")
 
 
 @query("consumer_copy", _recursive(
@@ -163,7 +163,7 @@ def consumer_admission(spark, sf):
 def consumer_copy(spark, sf):
     """The copy after all deliveries: undone and ignored ones leave nothing behind."""
     nothing = spark.createDataFrame([], "layer_id string, idx long, value long")
-    return admission.copy_after(nothing, fx.delivered_parts(spark, sf), _admitted(spark, sf))
+    return admission.copy_after(nothing, fx.delivered_parts(spark, sf), admission.applied(*_line(spark, sf)))
 
 
 @query("log_problems", with_ctes(
