@@ -158,17 +158,20 @@ def weight_intervals(rims: DataFrame, chunk: int = 4096) -> DataFrame:
                       (c("_run") / total).alias("hi_share"))
 
 
-def pick_annulus(draws: DataFrame, rims: DataFrame, cells: int = 1024) -> DataFrame:
+def pick_annulus(draws: DataFrame, rims: DataFrame, cells: int | None = None) -> DataFrame:
     """Interval join of ``pick`` in [0, 1) with the cumulative shares, as an equi-join on share cells.
 
     An interval is listed in every cell it overlaps and a draw looks only at its own cell, so a rim
-    that holds a third of the area is spread over a third of the cells.
+    that holds a third of the area is spread over a third of the cells.  There are as many cells as rims, so
+    both sides stay linear: a draw meets two intervals on average.  Drawn features are many more than Spark takes
+    from the few bins they come from, so neither side may be sent whole to all tasks.
     """
     iv = weight_intervals(rims)
+    cells = cells or max(1024, rims.count())
     iv = iv.withColumn("_cell", F.explode(F.sequence(
         F.floor(c("lo_share") * cells), F.least(F.floor(c("hi_share") * cells), F.lit(cells - 1)))))
     d = draws.withColumn("_cell", F.floor(c("pick") * cells))
-    return d.join(iv.withColumnRenamed("id", "rim_id"), "_cell").where(
+    return d.join(iv.withColumnRenamed("id", "rim_id").hint("merge"), "_cell").where(
         (c("pick") >= c("lo_share")) & (c("pick") < c("hi_share"))).drop("_cell", "lo_share", "hi_share")
 
 
@@ -213,6 +216,7 @@ def thin_by_exclusion(features: DataFrame, factor: float, cell: float) -> DataFr
         return e.withColumn("_i", F.explode(side)).withColumn("_j", F.explode(side)).withColumn("gx", c("gx") + c("_i")).withColumn(
             "gz", c("gz") + c("_j")).drop("_i", "_j")
 
+    # Spark takes the copies around cells for as small as the features' file; hints keep them out of the driver.
     same = c("a.level").eqNullSafe(c("b.level")) & (c("a.gx") == c("b.gx")) & (c("a.gz") == c("b.gz"))
     # What a feature meets at a level: the level's own features, and the narrower ones only at its own level.
     met = c("a.wide") | c("b.wide")
@@ -222,14 +226,14 @@ def thin_by_exclusion(features: DataFrame, factor: float, cell: float) -> DataFr
         order = Window.partitionBy(*at, "wide").orderBy("ord")
         shown = cut_lineage(e.withColumn("rank", F.row_number().over(order)).where(c("rank") <= HEADS))
         last = around(shown.where(c("rank") == HEADS).select(*at, "wide", "ord"))
-        late = e.alias("a").join(last.alias("b"), same & met & (c("a.ord") > c("b.ord")), "left_semi").select("ord").distinct()
-        sure = e.join(late, "ord", "left_anti")
+        late = e.alias("a").join(last.alias("b").hint("merge"), same & met & (c("a.ord") > c("b.ord")), "left_semi").select("ord").distinct()
+        sure = e.join(late.hint("merge"), "ord", "left_anti")
         heads = around(shown.select(*at, "wide", "ord", "x", "z", "diameter"))
-        behind = sure.alias("a").join(heads.alias("b"), same & met & (c("b.ord") < c("a.ord")) & near_to("a", "b"), "left_semi")
-        won = sure.where("wide").join(behind.select("ord").distinct(), "ord", "left_anti")
+        behind = sure.alias("a").join(heads.alias("b").hint("merge"), same & met & (c("b.ord") < c("a.ord")) & near_to("a", "b"), "left_semi")
+        won = sure.where("wide").join(behind.select("ord").distinct().hint("merge"), "ord", "left_anti")
         won = cut_lineage(won.select("ord", "x", "z", "diameter", "own"))
         kept.append(won.select("ord"))
-        gone = e.alias("a").join(around(entries(won)).alias("b"), same & met & near_to("a", "b"), "left_semi").select("ord")
-        rest = cut_lineage(rest.join(gone.union(won.select("ord")).distinct(), "ord", "left_anti"))
+        gone = e.alias("a").join(around(entries(won)).alias("b").hint("merge"), same & met & near_to("a", "b"), "left_semi").select("ord")
+        rest = cut_lineage(rest.join(gone.union(won.select("ord")).distinct().hint("merge"), "ord", "left_anti"))
     free = features.where(c("x").isNull() | c("z").isNull() | c("diameter").isNull())
-    return features.join(functools.reduce(DataFrame.union, kept), "ord").unionByName(free)
+    return features.join(functools.reduce(DataFrame.union, kept).hint("merge"), "ord").unionByName(free)
