@@ -128,9 +128,7 @@ def replay_log(spark, sf):
     """The whole valid log in sequence order, with the edits that read the ground and what conserving edits give back."""
     layers, rows = fx.layers(spark, sf), fx.raster_rows(spark, sf)
     ops = edits.valid_ops(fx.operations(spark, sf), layers)
-    folded, _, _ = replay.replay(ops, rows, layers)
-    f = fold.final_heights(folded)
-    return f.groupBy("layer_id", "row").agg(F.count("*").alias("samples"), F.sum("changes").alias("changes"), r6(F.sum(c("h").cast("double")), 4).alias("height_sum"))
+    return replay.touched_rows(replay.replay(ops, rows, layers)).withColumn("height_sum", r6("height_sum", 4))
 
 
 @query("replay_records")
