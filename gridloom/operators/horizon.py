@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -15,7 +16,7 @@ from gridloom.operators import sampling
 from gridloom.operators.fold import task_count
 from gridloom.operators.ordered import running_sum_in_order
 from gridloom.operators.rays import march
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, stored
 
 c = F.col
 
@@ -35,12 +36,31 @@ def _every_ray(observers: DataFrame, bins: int, seen: DataFrame) -> DataFrame:
     return seen.unionByName(every, allowMissingColumns=True)
 
 
+def _once(observers: DataFrame, *place: str) -> tuple[DataFrame, DataFrame]:
+    """One observer for each place, and the numbers of all with that of the one who stands for them."""
+    spots = observers.groupBy(*place).agg(F.min("observer_id").alias("_spot"))
+    who = observers.join(spots.hint("merge"), list(place)).select("observer_id", "_spot")
+    return spots.withColumnRenamed("_spot", "observer_id"), who
+
+
+def _for_all(skyline: DataFrame, who: DataFrame) -> DataFrame:
+    names = skyline.columns
+    return skyline.withColumnRenamed("observer_id", "_spot").join(who.hint("merge"), "_spot").select(*names)
+
+
+#: Steps of the first leg of near rays; every further leg ends at four times as many.
+LEG = 64
+
+
 def near_skyline(observers: DataFrame, rows: DataFrame, layers: DataFrame, bins: int, cell: float, max_range: float) -> DataFrame:
     """Highest angle per azimuth bin for ``observers(observer_id, layer_id, x, z)``.
 
     A ray ends at its first sample without a height.  The box of the layer is convex, so a ray that has left it does not
-    come back; holes inside it end the ray in whichever block of rows has the first of them.
+    come back; holes inside it end the ray in whichever block of rows has the first of them.  Rays are followed in legs, and
+    only those that no hole has ended go on to the next one, so their geometry is not worked out far beyond their end.
+    Observers at one place share their rays.
     """
+    observers, who = _once(observers, "layer_id", "x", "z")
     eye = sampling.bilinear(observers, rows, layers, "eye").where(c("eye").isNotNull())
     box = eye.join(layers.select("layer_id", "res", "width", "height", "min_x", "max_x", "min_z", "max_z"), "layer_id")
     box = cut_lineage(box.withColumn("_home", F.floor((c("z") - c("min_z")) / c("res"))))
@@ -51,22 +71,37 @@ def near_skyline(observers: DataFrame, rows: DataFrame, layers: DataFrame, bins:
         inside = (x >= get("min_x")) & (x <= get("max_x")) & (z >= get("min_z")) & (z <= get("max_z"))
         return (x - get("min_x")) / get("res"), (z - get("min_z")) / get("res"), inside
 
-    seen = march(box, rows, bins, ladder(cell, cell, max_range), place, lambda get, h, dist: np.arctan2(h - get("eye"), dist),
-                 ["x", "z", "eye", "res", "min_x", "max_x", "min_z", "max_z"], "_home", F.lit(max_range) / c("res") + 1, stops=True)
+    steps, legs, live, done = ladder(cell, cell, max_range), [], box, 0
+    while True:
+        end = min(len(steps), max(LEG, 4 * done))
+        reach = F.lit(steps[end - 1] if steps else 0.0) / c("res") + 1
+        leg = march(live, rows, bins, steps[done:end], place, lambda get, h, dist: np.arctan2(h - get("eye"), dist),
+                    ["x", "z", "eye", "res", "min_x", "max_x", "min_z", "max_z"], "_home", reach, stops=True)
+        legs.append(leg.withColumns({"first": c("first") + done, "stop": c("stop") + done}))
+        if end == len(steps):
+            break
+        legs[-1] = stored(legs[-1], "skyline-leg")
+        # A ray with a hole in another block may still be among these; what it sees behind that does not count below.
+        on = legs[-1].where(c("stop").isNull() & (c("first") + c("evaluated") == end)).groupBy("observer_id").agg(F.collect_set("bin").alias("_bins"))
+        live, done = cut_lineage(box.join(on.hint("merge"), "observer_id")), end
+        if live.isEmpty():
+            break
+    seen = functools.reduce(DataFrame.unionByName, legs)
     # A ray has one stretch per block; those after its first hole do not count.
     parts = _every_ray(box, bins, seen).groupBy("observer_id", "bin").agg(
         F.collect_list(F.when(c("first").isNotNull(), F.struct("first", "a"))).alias("parts"), F.min("stop").alias("stop"))
     best = F.array_max(F.transform(F.filter("parts", lambda p: c("stop").isNull() | (p["first"] <= c("stop"))), lambda p: p["a"]))
-    return parts.select("observer_id", "bin", F.coalesce(F.degrees(best), F.lit(-90.0)).alias("angle_deg"))
+    return _for_all(parts.select("observer_id", "bin", F.coalesce(F.degrees(best), F.lit(-90.0)).alias("angle_deg")), who)
 
 
 def far_skyline(observers: DataFrame, rows: DataFrame, height: int, width: int, layer_id: str, bins: int, map_scale: float,
                 max_range: float) -> DataFrame:
     """Great-circle march over a projected product for ``observers(observer_id, lat, lon, radial)``.
 
-    Leaving the product truncates the ray; no-data inside it is skipped.
+    Leaving the product truncates the ray; no-data inside it is skipped.  Observers at one place share their rays.
     """
     steps = ladder(2 * map_scale, map_scale, max_range)
+    observers, who = _once(observers, "lat", "lon", "radial")
     _, py = geo.polar_forward(c("lat"), c("lon"), F.lit(True))
     o = observers.select("observer_id", F.lit(layer_id).alias("layer_id"), "radial", F.radians("lat").alias("la"), F.radians("lon").alias("lo"),
                          F.lit(width).alias("width"), F.lit(height).cast("long").alias("height"),
@@ -90,8 +125,8 @@ def far_skyline(observers: DataFrame, rows: DataFrame, height: int, width: int,
     total = _every_ray(o, bins, seen).groupBy("observer_id", "bin").agg(
         F.max("a").alias("a"), F.coalesce(F.sum("evaluated"), F.lit(0)).alias("evaluated"), F.coalesce(F.sum("no_data"), F.lit(0)).alias("no_data"))
     # All steps before the first one outside are read, so their number names it.
-    return total.select("observer_id", "bin", F.coalesce("a", F.lit(-90.0)).alias("angle_deg"),
-                        F.get(F.array(*[F.lit(v) for v in steps]), c("evaluated").cast("int")).alias("truncated_at"), "evaluated", "no_data")
+    return _for_all(total.select("observer_id", "bin", F.coalesce("a", F.lit(-90.0)).alias("angle_deg"),
+                                 F.get(F.array(*[F.lit(v) for v in steps]), c("evaluated").cast("int")).alias("truncated_at"), "evaluated", "no_data"), who)
 
 
 def merge(near: DataFrame, far: DataFrame) -> DataFrame:
